@@ -32,6 +32,31 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def bounded_sample(rows: DataFrame, label_col: str, key: Column, bound: int) -> DataFrame:
+    """About ``bound`` rows of each label, or all where there are fewer: those whose key has a small hash.
+
+    The choice depends on the rows alone. Labels are classes of a model, so their counts are few.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(label_col).count().collect() if r[0] is not None}
+    if not counts:
+        return rows.limit(0)
+    share = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, min(1.0, bound / n))])
+    return rows.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < F.try_element_at(share, F.col(label_col)) * (1 << 30))
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, bound: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
+    """Texts and labels for training: bounded in number by ``bound`` per label, never from the held-out fold.
+
+    Of several labels of a document the largest counts. The sample of labels is drawn first, so the texts are found by
+    a broadcast of at most a few thousand identifiers.
+    """
+    one = labels.select(labels[id_col].alias("id"), labels[label].cast("int").alias("y")).dropna().filter(~held_out(F.col("id")))
+    one = one.groupBy("id").agg(F.max("y").alias("y"))
+    chosen = bounded_sample(one, "y", F.col("id"), bound)
+    texts = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text")).join(F.broadcast(chosen), "id")
+    return [(r.text, r.y) for r in texts.select("text", "y").orderBy("id", "text").collect()]
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)

@@ -6,7 +6,12 @@ import importlib
 
 #: Query name to the module of this subpackage that holds its ``query`` and, where SQL can express it, ``SQL``.
 MODULES = {
+    "op1_quality_crf": "quality",
+    "op3_toxicity_chain": "toxicity",
+    "op5_language_id": "langid",
     "op6_exact_dedup": "exact_dedup",
+    "op7_personal_data": "pii",
+    "op8_secrets": "secrets",
     "op9_mix_sources": "mix",
     "op10_decontaminate": "decontaminate",
 }
