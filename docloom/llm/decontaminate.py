@@ -6,10 +6,11 @@ benchmark items are joined; each hit fixes an alignment (document position minus
 verified: some ``WINDOW`` aligned tokens must hold at least ``NEEDED`` equal ones. With the masks below every window
 with one substitution is found, as are most with two.
 
-Distribution: documents are read once and never shuffled. Seeds of the benchmark are broadcast when their counted
-bytes are within ``BROADCAST_BYTES``; otherwise the same join runs as a shuffled one, and texts are joined back to the
-hits. Items with equal tokens are searched once. Hits are collapsed to distinct alignments, with partial aggregation,
-before they are verified, so a passage that a third of all documents share costs one row per document.
+Distribution: the search reads documents once and shuffles no text. Seeds of the benchmark are broadcast when their counted
+bytes are within ``BROADCAST_BYTES``; otherwise the same join runs as a shuffled one. Items with equal tokens are
+searched once. Hits are collapsed to distinct alignments, with partial aggregation, before they are verified, so a
+passage that a third of all documents share costs one row per document. Texts of documents with hits are then read
+again for the verification; the list of those is broadcast only when it is small.
 
 Defined cases: null and empty texts, and texts or items of fewer than ``SPAN`` tokens, match nothing; repeated rows each
 get the result of their text; ties between items go to the smallest item_id; empty tables give no matches; a null
@@ -66,22 +67,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", it
     same = stored(items.groupBy(F.xxhash64("item_tokens").alias("item_key"), "item_tokens").agg(F.min("item_id").alias("item_id")), "benchmark")
     same = same.filter(F.size("item_tokens") >= SPAN)
     seeds = same.withColumn("item_words", _hashed(F.col("item_tokens"))).withColumn("item_at", F.explode(_positions("item_words")))
-    seeds = seeds.select("item_key", "item_words", "item_at", F.explode(_seeds("item_words", "item_at")).alias("seed"))
-    n_bytes = seeds.agg(F.sum(F.size("item_words") * 8 + 48)).first()[0] or 0
+    seeds = stored(seeds.select("item_key", "item_at", F.explode(_seeds("item_words", "item_at")).alias("seed")), "benchmark-seeds")
+    n_bytes = seeds.count() * 64
 
     texts = docs.select(key.alias("doc_key"), _hashed(tokens(docs[text_col])).alias("words"))
     spots = texts.select("doc_key", "words", F.explode(_positions("words")).alias("at"))
-    if n_bytes <= broadcast_bytes:
-        hits = spots.select("doc_key", "words", "at", F.explode(_seeds("words", "at")).alias("seed")).join(F.broadcast(seeds), "seed")
-        equal = best_window(F.col("words"), F.col("item_words"), F.col("at") - F.col("item_at"))
-        aligned = hits.select("doc_key", "item_key", (F.col("at") - F.col("item_at")).alias("diagonal"), equal.alias("equal"))
-    else:
-        found = spots.select("doc_key", "at", F.explode(_seeds("words", "at")).alias("seed")).join(seeds.drop("item_words"), "seed")
-        found = found.select("doc_key", "item_key", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
-        words = same.select("item_key", _hashed(F.col("item_tokens")).alias("item_words"))
-        found = found.join(words, "item_key").join(texts, "doc_key")
-        aligned = found.select("doc_key", "item_key", "diagonal", best_window(F.col("words"), F.col("item_words"), F.col("diagonal")).alias("equal"))
-    verified = aligned.filter(F.col("equal") >= NEEDED).groupBy("doc_key", "item_key").agg(F.max("equal").alias("equal"))
+    hits = spots.select("doc_key", "at", F.explode(_seeds("words", "at")).alias("seed")).join(F.broadcast(seeds) if n_bytes <= broadcast_bytes else seeds, "seed")
+    aligned = stored(hits.select("doc_key", "item_key", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct(), "alignments")
+
+    # The texts of the hits: only these are split again.
+    few = (aligned.agg(F.count(F.lit(1)) * 64).first()[0] or 0) <= broadcast_bytes
+    hit_docs = aligned.select("doc_key").distinct()
+    hit_texts = docs.select(key.alias("doc_key"), text_of(docs[text_col]).alias("content"))
+    hit_texts = hit_texts.join(F.broadcast(hit_docs) if few else hit_docs, "doc_key", "left_semi").dropDuplicates(["doc_key"])
+    words = same.select("item_key", _hashed(F.col("item_tokens")).alias("item_words"))
+    pairs = aligned.join(hit_texts.select("doc_key", _hashed(tokens(F.col("content"))).alias("words")), "doc_key").join(words, "item_key")
+    scored = pairs.select("doc_key", "item_key", best_window(F.col("words"), F.col("item_words"), F.col("diagonal")).alias("equal"))
+    verified = scored.groupBy("doc_key", "item_key").agg(F.max("equal").alias("equal")).filter(F.col("equal") >= NEEDED)
     return verified.join(same.select("item_key", "item_id"), "item_key").select("doc_key", "item_id", "equal")
 
 
