@@ -19,13 +19,15 @@ item_id is kept as null. Extra columns are carried in a struct and cannot clash.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, table, text_of
 
 #: Every mask spans 13 tokens; 1 is a token that is read.
-MASKS = ("1111110000000", "0000000111111", "1101001011010", "1010110100101")
+MASKS = ("1111110000000", "0000000111111", "1110000000111", "0001110111000")
 SPAN = 13
 WINDOW = 13
 NEEDED = 11
@@ -37,9 +39,14 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text_of(text)), r"[\x00-/:-@\[-`{-\x7F]+"), "")
 
 
+def _blocks(mask: str) -> list[tuple[int, int]]:
+    """Start and length of each run of tokens that a mask reads."""
+    return [(m.start(), len(m[0])) for m in re.finditer("1+", mask)]
+
+
 def _seeds(words: str, at: str) -> Column:
     """One hash for each mask at a position counted from 0; ``words`` names an array of token hashes."""
-    each = [F.xxhash64(F.lit(k), *[F.expr(f"{words}[{at} + {i}]") for i, bit in enumerate(mask) if bit == "1"]) for k, mask in enumerate(MASKS)]
+    each = [F.xxhash64(F.lit(k), *[F.slice(words, F.col(at) + (i + 1), n) for i, n in _blocks(mask)]) for k, mask in enumerate(MASKS)]
     return F.array(*each)
 
 
