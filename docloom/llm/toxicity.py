@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_texts import SpanHashes, bytes_of, map_texts, words_of
+from .arrow_texts import SpanHashes, bytes_of, map_texts, pieces, words_of
 from .common import held_out, labelled_texts, table
 
 CATEGORIES = ("crude", "dense", "toxic")
-PER_LABEL = 4000
+PER_LABEL = 2500
 FEATURES = 1024
 PREFIX_BYTES = 5
 FOLDS = 4
@@ -96,17 +96,27 @@ class Chain:
         return [pa.array(p[:, k]) for k in range(len(CATEGORIES))]
 
 
+def _distinct_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each feature of a text once: keys and texts, and the number of words of each text; worked out piece by piece."""
+    keys, owners, n_words, done = [], [], [], 0
+    for piece in pieces(pa.RecordBatch.from_arrays([texts], ["text"]), 0):
+        k, o, n = features_of(piece.column(0))
+        order = np.lexsort((o, k))
+        k, o = k[order], o[order]
+        once = np.append(True, (k[1:] != k[:-1]) | (o[1:] != o[:-1]))[: len(k)]
+        keys.append(k[once])
+        owners.append((o[once] + done).astype(np.int32))
+        n_words.append(n)
+        done += piece.num_rows
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(n_words)
+
+
 def train(rows: list[tuple[str, int]]) -> Chain:
     labels = {y for _, y in rows}
     if len(labels) < 2:
         return Chain(np.empty(0, np.uint64), [], float(max(labels, default=0)))
     texts, toxic = pa.array([t for t, _ in rows], pa.string()), np.array([y for _, y in rows]) == 1
-    keys, owner, n_words = features_of(texts)
-    # Presence of a feature in a text, once; texts with it, by label.
-    order = np.lexsort((owner, keys))
-    keys, owner = keys[order], owner[order]
-    once = np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])
-    keys, owner = keys[once], owner[once]
+    keys, owner, n_words = _distinct_features(texts)
     names, at = np.unique(keys, return_inverse=True)
     bad, all_ = np.bincount(at, weights=toxic[owner]), np.bincount(at)
     odds = np.log((bad + 0.5) / (all_ - bad + 0.5) * (~toxic).sum() / toxic.sum())
