@@ -54,7 +54,8 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, bound: int, i
     one = one.groupBy("id").agg(F.max("y").alias("y"))
     chosen = bounded_sample(one, "y", F.col("id"), bound)
     texts = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text")).join(F.broadcast(chosen), "id")
-    return [(r.text, r.y) for r in texts.select("text", "y").orderBy("id", "text").collect()]
+    found = texts.orderBy("id", "text").select("text", "y").toArrow()
+    return list(zip(found.column("text").to_pylist(), found.column("y").to_pylist(), strict=True))
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .arrow_texts import SpanHashes, bytes_of, map_texts, words_of
+from .arrow_texts import SpanHashes, bytes_of, map_texts, pieces, words_of
 from .common import held_out, labelled_texts, table
 
 PER_LABEL = 1500
@@ -131,13 +131,22 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
+def _features_by_piece(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    parts = [lines_of(p.column(0)) for p in pieces(pa.RecordBatch.from_arrays([texts], ["text"]), 0)]
+    return np.concatenate([x for x, *_ in parts]), np.concatenate([n for *_, n in parts])
+
+
+def _means_by_piece(model: Model, texts: pa.Array) -> np.ndarray:
+    return np.concatenate([model.means(p.column(0)) for p in pieces(pa.RecordBatch.from_arrays([texts], ["text"]), 0)])
+
+
 def train(rows: list[tuple[str, int]], rounds: int = ROUNDS) -> Model:
     """Two trainings of the chain, the second with relabelled lines, then the calibration."""
     labels = {y for _, y in rows}
     if len(labels) < 2:
         return Model(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)), 1.0, 0.0, float(min(labels, default=1)))
     texts, y = pa.array([t for t, _ in rows], pa.string()), np.array([v for _, v in rows])
-    x, sizes, n_lines = lines_of(texts)
+    x, n_lines = _features_by_piece(texts)
     owner = np.repeat(np.arange(len(rows)), n_lines)
     gold = y[owner]
     inner = np.setdiff1d(np.arange(len(gold)), np.cumsum(n_lines) - n_lines)
@@ -162,7 +171,7 @@ def train(rows: list[tuple[str, int]], rounds: int = ROUNDS) -> Model:
     gold = np.where((y[owner] == 0) & (good > 0.5) & (good > worst), 1, gold)
     theta = fitted()
     model = Model(theta[:-2], theta[-2:], 1.0, 0.0)
-    m = _logit(model.means(texts))
+    m = _logit(_means_by_piece(model, texts))
     a = np.zeros(2)
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     for _ in range(50):  # Newton steps of the calibration
