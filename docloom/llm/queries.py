@@ -7,6 +7,7 @@ import importlib
 #: Query name to the module of this subpackage that holds its ``query`` and, where SQL can express it, ``SQL``.
 MODULES = {
     "op1_quality_crf": "quality",
+    "op2_jaccard_join": "jaccard_join",
     "op3_toxicity_chain": "toxicity",
     "op5_language_id": "langid",
     "op6_exact_dedup": "exact_dedup",
