@@ -9,6 +9,7 @@ MODULES = {
     "op1_quality_crf": "quality",
     "op2_jaccard_join": "jaccard_join",
     "op3_toxicity_chain": "toxicity",
+    "op4_suffix_dedup": "suffix_dedup",
     "op5_language_id": "langid",
     "op6_exact_dedup": "exact_dedup",
     "op7_personal_data": "pii",
