@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Texts are worked on in pieces of about this many bytes; one longer text is a piece of its own.
-PIECE_BYTES = 2 << 20
+#: Texts are worked on in pieces of about this many bytes, so their arrays stay in the processor's caches; one longer
+#: text is a piece of its own.
+PIECE_BYTES = 1 << 16
 
 _rng = np.random.default_rng(20240501)
 BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -23,6 +24,7 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+LOWER_VALUES = BYTE_VALUES[LOWER]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -54,8 +56,11 @@ def map_texts(docs: DataFrame, text_col: str, carry: list[str], out: str, work:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            done = []
             for piece in pieces(batch, 1):
-                yield pa.RecordBatch.from_arrays([piece.column(0), *work(piece.column(1))], names=names)
+                done.append(work(piece.column(1)))
+            if done:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.concat_arrays(x) for x in zip(*done, strict=True))], names=names)
 
     return source.mapInArrow(run, schema)
 
@@ -68,19 +73,32 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8), offsets - offsets[0]
 
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWERS, _INVERSE = _powers(BASE, 2 * PIECE_BYTES), _powers(BASE_INVERSE, 2 * PIECE_BYTES)
+
+
 class SpanHashes:
-    """64-bit hashes of any byte spans of ``data`` (A-Z in lower case) from one prefix sum."""
+    """64-bit hashes of any byte spans of ``data`` from one prefix sum; A-Z count as lower case unless ``exact``."""
 
-    def __init__(self, data: np.ndarray):
-        powers, inverse = np.full(len(data) + 1, BASE), np.full(len(data) + 1, BASE_INVERSE)
-        powers[0] = inverse[0] = 1
-        self.inverse = np.multiply.accumulate(inverse)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[LOWER[data]] * np.multiply.accumulate(powers)[:-1], out=self.sums[1:])
+    def __init__(self, data: np.ndarray, exact: bool = False):
+        n = len(data) + 1
+        powers, self.inverse = (_POWERS[:n], _INVERSE[:n]) if n <= len(_POWERS) else (_powers(BASE, n), _powers(BASE_INVERSE, n))
+        self.sums = np.zeros(n, np.uint64)
+        np.cumsum((BYTE_VALUES if exact else LOWER_VALUES)[data] * powers[:-1], out=self.sums[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
 
+    def every(self, size: int) -> np.ndarray:
+        """The hashes of all spans of one size."""
+        n = len(self.sums) - size
+        return mixed((self.sums[size:] - self.sums[:n]) * self.inverse[:n])
+
 
 def words_of(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of the texts from ``bytes_of``: starts, ends, and the text of each."""

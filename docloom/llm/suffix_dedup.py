@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_texts import BASE, BASE_INVERSE, BYTE_VALUES, bytes_of, mixed, pieces
+from .arrow_texts import BASE, SpanHashes, bytes_of, mixed, pieces
 from .common import stored, table, text_of
 
 LENGTH = 50
 K = 16
 SPAN = LENGTH - K + 1  # K-byte strings in a window
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 6 << 20
 SHARD_BYTES = 8 << 20
 CHUNK_BYTES = 4 << 20
 BROADCAST_ROWS = 1 << 20
@@ -45,20 +45,6 @@ NO_ID = (1 << 63) - 1
 _LOW = np.uint64((1 << 40) - 1)
 
 
-class ByteHashes:
-    """64-bit hashes of byte spans, case kept."""
-
-    def __init__(self, data: np.ndarray):
-        powers, inverse = np.full(len(data) + 1, BASE), np.full(len(data) + 1, BASE_INVERSE)
-        powers[0] = inverse[0] = 1
-        self.inverse = np.multiply.accumulate(inverse)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[data] * np.multiply.accumulate(powers)[:-1], out=self.sums[1:])
-
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
-
-
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     """pick (minimum or maximum) of x[i : i + width], for all i where that fits."""
     done, out = 1, x
@@ -78,9 +64,8 @@ class Anchors:
         n = len(data) - LENGTH + 1
         if n <= 0:
             return
-        hashes = ByteHashes(data)
-        every = np.arange(len(data) - K + 1)
-        h = hashes(every, every + K)
+        hashes = SpanHashes(data, exact=True)
+        h = hashes.every(K)
         least = _sliding(h, SPAN, np.minimum)[:n]
         owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
         inside = np.arange(n) + LENGTH <= offsets[owner + 1] - 1  # the space after each text is no part of it
