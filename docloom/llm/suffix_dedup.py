@@ -10,6 +10,7 @@ Removed is every byte covered by a ``LENGTH``-byte string that also starts in a
    left-most-S suffixes are sorted, the L suffixes are induced from them through one first-in-first-out queue for each
    byte value (a priority queue whose keys only grow), and the S suffixes from those in the same way backwards.
    Neighbours in this order with a common prefix of ``LENGTH`` are equal windows; each run takes its smallest document.
+   A copy of a whole text is decided before all this, so a group of copies is one document here.
 3. Decided windows return to their documents, which drop what they cover.
 
 Only ``LENGTH`` bytes count, so the first sort compares that many bytes and needs no recursion, and common prefixes are
@@ -35,12 +36,13 @@ from .arrow_texts import BASE, SpanHashes, bytes_of, mixed, pieces
 from .common import stored, table, text_of
 
 LENGTH = 50
-K = 16
+K = 20
 SPAN = LENGTH - K + 1  # K-byte strings in a window
 BUCKET_BYTES = 6 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 1 << 20
 CHUNK_BYTES = 4 << 20
 BROADCAST_ROWS = 1 << 20
+FLUSH_ANCHORS = 1 << 17
 NO_ID = (1 << 63) - 1
 _LOW = np.uint64((1 << 40) - 1)
 
@@ -83,7 +85,7 @@ class Anchors:
         first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (owner[start[1:]] != owner[start[:-1]])))
         last = np.append(first[1:], len(k)) - 1
         self.at, self.low, self.high, self.owner = chosen[k[first]], start[first], start[last], owner[start[first]]
-        self.key = h[self.at]
+        self.key = mixed(h[self.at] ^ BASE)  # anchors have small hashes; these are spread again
         self.content = mixed(hashes(self.low, self.high + LENGTH) + (self.at - self.low).astype(np.uint64) * BASE)
 
 
@@ -113,21 +115,28 @@ def _ranges(cuts: np.ndarray, n: int) -> list[tuple[int, int]]:
 def _anchor_messages(buckets: int):
     """(id, text) -> (bucket, data): low bytes of the key, of the content's hash, and the identifier, of distinct anchors."""
 
+    def packed(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, content, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+        bucket = _bucket(key, buckets)
+        order = np.argsort(bucket, kind="stable")
+        key, content, doc, bucket = key[order], content[order], doc[order], bucket[order]
+        cuts = _groups(bucket)
+        low, short = _short(key & _LOW, 5), _short(content, 6)
+        data = [np.int64(b - a).tobytes() + low[a:b].tobytes() + short[a:b].tobytes() + doc[a:b].tobytes() for a, b in _ranges(cuts, len(key))]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(data, pa.binary())], names=["bucket", "data"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
-            parts = []
             for piece in pieces(batch, 1):
                 a = Anchors(*bytes_of(piece.column(1)))
                 parts.append((a.key, a.content, piece.column(0).to_numpy()[a.owner]))
-            if parts:
-                key, content, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-                bucket = _bucket(key, buckets)
-                order = np.argsort(bucket, kind="stable")
-                key, content, doc, bucket = key[order], content[order], doc[order], bucket[order]
-                cuts = _groups(bucket)
-                low, short = _short(key & _LOW, 5), _short(content, 6)
-                data = [np.int64(b - a).tobytes() + low[a:b].tobytes() + short[a:b].tobytes() + doc[a:b].tobytes() for a, b in _ranges(cuts, len(key))]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(data, pa.binary())], names=["bucket", "data"])
+                held += len(a.key)
+                if held > FLUSH_ANCHORS:
+                    yield packed(parts)
+                    parts, held = [], 0
+        if parts:
+            yield packed(parts)
 
     return run
 
@@ -211,8 +220,8 @@ def _resolve(buckets: int, shards: int):
                     inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                     out_to.append(int(shard[x]))
                     out_kind.append(1)
-                    numbers = np.stack([ids[a.owner[i]], rows[a.owner[i]], (a.low - base)[i], sizes])
-                    out_data.append(np.int64(len(i)).tobytes() + numbers.tobytes() + data[np.repeat(a.low[i], sizes) + inner].tobytes())
+                    numbers = ids[a.owner[i]].tobytes() + rows[a.owner[i]].tobytes() + (a.low - base)[i].astype(np.uint32).tobytes() + sizes.astype(np.uint8).tobytes()
+                    out_data.append(np.int64(len(i)).tobytes() + numbers + data[np.repeat(a.low[i], sizes) + inner].tobytes())
         return pa.table({"target": pa.array(out_to, pa.int64()), "kind": pa.array(out_kind, pa.int32()), "data": pa.array(out_data, pa.binary())})
 
     return run
@@ -306,14 +315,17 @@ def smallest_documents(text: np.ndarray, starts: np.ndarray, doc: np.ndarray) ->
 
 def _sort_shard(group: pa.Table) -> pa.Table:
     """Texts around undecided anchors -> decided windows, by row."""
-    numbers, contents = [], []
+    docs, rowkeys, lows, lengths, contents = [], [], [], [], []
     for x in group.column("data"):
         data = x.as_py()
         n = int(np.frombuffer(data, np.int64, 1)[0])
-        numbers.append(np.frombuffer(data, np.int64, 4 * n, 8).reshape(4, n))
-        contents.append(np.frombuffer(data, np.uint8, offset=8 + 32 * n))
-    doc, rowkey, low, sizes = np.concatenate(numbers, axis=1)
-    text = np.concatenate(contents)
+        docs.append(np.frombuffer(data, np.int64, n, 8))
+        rowkeys.append(np.frombuffer(data, np.int64, n, 8 + 8 * n))
+        lows.append(np.frombuffer(data, np.uint32, n, 8 + 16 * n))
+        lengths.append(np.frombuffer(data, np.uint8, n, 8 + 20 * n))
+        contents.append(np.frombuffer(data, np.uint8, offset=8 + 21 * n))
+    doc, rowkey, text = np.concatenate(docs), np.concatenate(rowkeys), np.concatenate(contents)
+    low, sizes = np.concatenate(lows).astype(np.int64), np.concatenate(lengths).astype(np.int64)
     begin = np.cumsum(sizes) - sizes
     windows = sizes - LENGTH + 1
     inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -377,6 +389,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         text.alias("text"),
         F.struct(*[docs[c] for c in (carry or docs.columns)]).alias("doc"),
     )
+    # A copy of a text with a smaller identifier loses everything; only the first of equal texts goes on.
+    text_key = F.struct(F.sha2(F.col("text"), 256).alias("digest"))
+    first = rows.groupBy(text_key.alias("same")).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    named = rows.select("rowkey", "id", text_key.alias("same"))
+    copies = stored(named.join(first, "same").filter("id > first_id").select("rowkey").distinct(), "copies")
+    few_copies = F.broadcast(copies) if copies.count() <= broadcast_rows else copies
+    all_rows, rows = rows, rows.join(few_copies, "rowkey", "left_anti")
     found = rows.select("id", "text").mapInArrow(_anchor_messages(buckets), "bucket bigint, data binary")
     answers = found.groupBy("bucket").applyInArrow(_compare_anchors(chunks), "chunk bigint, data binary")
     by_id = rows.select("id", "rowkey", "text", F.pmod("id", F.lit(chunks)).alias("chunk"))
@@ -396,7 +415,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     whole = rows.join(touched, "rowkey", "left_anti").select(
         "doc", F.array().cast("array<struct<start: bigint, stop: bigint>>").alias("removed"), data.alias("kept"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(data, 256).alias("kept_sha256")
     )
-    return whole.unionByName(lost)
+    n = F.octet_length("text").cast("long")
+    copied = all_rows.join(few_copies, "rowkey", "left_semi").select(
+        "doc",
+        F.when(n >= LENGTH, F.array(F.struct(F.lit(0).cast("long").alias("start"), n.alias("stop")))).otherwise(F.array().cast("array<struct<start: bigint, stop: bigint>>")).alias("removed"),
+        F.when(n >= LENGTH, F.lit(b"")).otherwise(data).alias("kept"),
+        n.alias("n_bytes"),
+        F.sha2(F.when(n >= LENGTH, F.lit(b"")).otherwise(data), 256).alias("kept_sha256"),
+    )
+    return whole.unionByName(lost).unionByName(copied)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
