@@ -38,9 +38,9 @@ from .common import stored, table, text_of
 LENGTH = 50
 K = 20
 SPAN = LENGTH - K + 1  # K-byte strings in a window
-BUCKET_BYTES = 6 << 20
-SHARD_BYTES = 1 << 20
-CHUNK_BYTES = 4 << 20
+BUCKET_BYTES = 3 << 20
+SHARD_BYTES = 1 << 19
+CHUNK_BYTES = 2 << 20
 BROADCAST_ROWS = 1 << 20
 FLUSH_ANCHORS = 1 << 17
 NO_ID = (1 << 63) - 1
@@ -191,7 +191,7 @@ def _resolve(buckets: int, shards: int):
         name = mixed(mixed(doc.view(np.uint64)) ^ key)
         order = np.argsort(name)
         name, same = name[order], same[order]
-        out_to, out_kind, out_data = [], [], []
+        out_to, out_kind, out_data, asked = [], [], [], []
         for batch in texts.combine_chunks().to_batches() if len(name) else []:
             for piece in pieces(batch, batch.schema.get_field_index("text")):
                 data, offsets = bytes_of(piece.column("text"))
@@ -210,18 +210,22 @@ def _resolve(buckets: int, shards: int):
                     out_to.append(rowkey)
                     out_kind.append(0)
                     out_data.append(np.stack([(a.low - base)[done[x:y]], (a.high - base)[done[x:y]] + 1]).tobytes())
-                shard = (mixed(a.key[ask]) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
-                ask = ask[np.argsort(shard, kind="stable")]
-                shard = np.sort(shard)
-                cuts = _groups(shard)
-                for x, y in _ranges(cuts, len(ask)):
-                    i = ask[x:y]
-                    sizes = a.high[i] + LENGTH - a.low[i]
-                    inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                    out_to.append(int(shard[x]))
-                    out_kind.append(1)
-                    numbers = ids[a.owner[i]].tobytes() + rows[a.owner[i]].tobytes() + (a.low - base)[i].astype(np.uint32).tobytes() + sizes.astype(np.uint8).tobytes()
-                    out_data.append(np.int64(len(i)).tobytes() + numbers + data[np.repeat(a.low[i], sizes) + inner].tobytes())
+                sizes = a.high[ask] + LENGTH - a.low[ask]
+                inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                asked.append((a.key[ask], ids[a.owner[ask]], rows[a.owner[ask]], (a.low - base)[ask].astype(np.uint32), sizes, data[np.repeat(a.low[ask], sizes) + inner]))
+        if asked:
+            key, doc, rowkey, low, sizes, content = (np.concatenate(x) for x in zip(*asked, strict=True))
+            begin = np.cumsum(sizes) - sizes
+            shard = (mixed(key) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+            order = np.argsort(shard, kind="stable")
+            shard = shard[order]
+            for x, y in _ranges(_groups(shard), len(shard)):
+                i = order[x:y]
+                inner = np.arange(sizes[i].sum()) - np.repeat(np.cumsum(sizes[i]) - sizes[i], sizes[i])
+                out_to.append(int(shard[x]))
+                out_kind.append(1)
+                numbers = doc[i].tobytes() + rowkey[i].tobytes() + low[i].tobytes() + sizes[i].astype(np.uint8).tobytes()
+                out_data.append(np.int64(len(i)).tobytes() + numbers + content[np.repeat(begin[i], sizes[i]) + inner].tobytes())
         return pa.table({"target": pa.array(out_to, pa.int64()), "kind": pa.array(out_kind, pa.int32()), "data": pa.array(out_data, pa.binary())})
 
     return run
