@@ -1,0 +1 @@
+"""Document analytics on Spark: extraction, normalisation, comparison, retrieval."""
