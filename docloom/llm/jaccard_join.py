@@ -7,6 +7,8 @@
    whole part, so the hash of a part's content is a key that both have. A set has keys for the size class in which it
    is the smaller partner and for the one in which it is the larger. Keys travel as packed arrays, in buckets of bounded
    size. Components over shared keys hold every possible link within them.
+   Components of more than ``REFINE_SETS`` sets are refined: the sets of a key are joined by trees over signatures of
+   ``SIGNATURE_BITS`` bits, and only sets that may overlap enough stay together.
 3. Signature trees. The sets of a component are the leaves of a tree whose nodes hold the OR of the leaves' token bitmaps,
    their range of sizes, and by how much a leaf can have more tokens than bits. Two trees (or one with itself) are
    traversed together: a pair of nodes is dropped when the largest overlap that its bitmaps and sizes allow is too
@@ -40,7 +42,9 @@ NGRAM, PERCENT = 4, 85
 BUCKET_BYTES = 8 << 20
 BLOCK_SHINGLES = 1 << 21
 BROADCAST_ROWS = 1 << 20
-FLUSH_KEYS = 1 << 20
+FLUSH_KEYS = 1 << 18
+REFINE_SETS = 64
+SIGNATURE_BITS = 512
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _EMPTY = np.uint64(0x2545F4914F6CDD1D)
 
@@ -111,54 +115,90 @@ def keys_of(s: np.ndarray, ends: list[int], percent: int) -> np.ndarray:
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
-class SignatureTree:
-    """Leaves are sets; a node is [children], OR of bitmaps, least and largest size, excess of tokens over bits, first leaf."""
+def bitmaps(sets: list[np.ndarray], width: int) -> np.ndarray:
+    """A bit for each token, by the high bits of its hash: sets x words of 64 bits."""
+    out = np.zeros((len(sets), width // 64), np.uint64)
+    shift = np.uint64(64 - width.bit_length() + 1)
+    for row, s in zip(out, sets, strict=True):
+        at = s >> shift
+        np.bitwise_or.at(row, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
 
-    FANOUT = 8
 
-    def __init__(self, sets: list[np.ndarray]):
-        width = 1024
-        while width < 1 << 16 and width < 4 * max(len(s) for s in sets):
-            width *= 2
-        shift = np.uint64(64 - width.bit_length() + 1)
-        self.bits, self.low, self.high, self.excess, self.children, self.first = [], [], [], [], [], []
-        order = sorted(range(len(sets)), key=lambda i: (sets[i][:4].tolist(), len(sets[i])))  # near copies have the same smallest hashes
-        for i in order:
-            flags = np.zeros(width, np.uint8)
-            flags[(sets[i] >> shift).astype(np.int64)] = 1
-            bits = int.from_bytes(np.packbits(flags).tobytes(), "big")
-            self._add(bits, len(sets[i]), len(sets[i]), len(sets[i]) - bits.bit_count(), [], i)
-        level = list(range(len(sets)))
-        while len(level) > 1:
-            above = []
-            for k in range(0, len(level), self.FANOUT):
-                below = level[k : k + self.FANOUT]
-                bits = 0
-                for c in below:
-                    bits |= self.bits[c]
-                above.append(self._add(bits, min(self.low[c] for c in below), max(self.high[c] for c in below), max(self.excess[c] for c in below), below, self.first[below[0]]))
-            level = above
-        self.root = level[0]
-        self.settled = [not c for c in self.children]  # all leaves below are in one component
-
-    def _add(self, bits, low, high, excess, children, first) -> int:
-        for values, value in zip((self.bits, self.low, self.high, self.excess, self.children, self.first), (bits, low, high, excess, children, first), strict=True):
-            values.append(value)
-        return len(self.bits) - 1
-
-    def one_component(self, node: int, sets: UnionFind) -> bool:
-        if not self.settled[node]:
-            below = self.children[node]
-            root = sets.find(self.first[below[0]])
-            self.settled[node] = all(self.one_component(c, sets) and sets.find(self.first[c]) == root for c in below)
-        return self.settled[node]
-
-    def may_link(self, a: int, b: int, percent: int) -> bool:
+class SignatureTree:
+    """Leaves are sets in a given order; blocks of them, and nodes above, hold the OR of their bitmaps, the least and the
+    largest size, and by how much a leaf has more tokens than bits."""
+
+    BLOCK, FANOUT = 64, 8
+
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray):
+        self.bits, self.sizes = bits, sizes.astype(np.int64)
+        self.excess = self.sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        self.levels = []
+        level, step = (bits, self.sizes, self.sizes, self.excess), self.BLOCK
+        while not self.levels or len(level[0]) > 1:
+            cuts = np.arange(0, len(level[0]), step)
+            level = tuple(f.reduceat(x, cuts, axis=0) for f, x in zip((np.bitwise_or, np.minimum, np.maximum, np.maximum), level, strict=True))
+            self.levels.append(level)
+            step = self.FANOUT
+        self.settled = [np.zeros(len(x[0]), bool) for x in self.levels]
+
+    def leaves(self, level: int, node: int) -> tuple[int, int]:
+        size = self.BLOCK * self.FANOUT**level
+        return node * size, min((node + 1) * size, len(self.sizes))
+
+    def children(self, level: int, node: int) -> range:
+        return range(node * self.FANOUT, min((node + 1) * self.FANOUT, len(self.levels[level - 1][0])))
+
+    def one_component(self, level: int, node: int, ids: list[int], found: UnionFind) -> bool:
+        """Whether all leaves below are linked already; once they are, they stay so."""
+        if not self.settled[level][node]:
+            a, b = self.leaves(level, node)
+            root = found.find(ids[a])
+            if level:
+                self.settled[level][node] = all(self.one_component(level - 1, c, ids, found) and found.find(ids[self.leaves(level - 1, c)[0]]) == root for c in self.children(level, node))
+            else:
+                self.settled[level][node] = all(found.find(x) == root for x in ids[a:b])
+        return bool(self.settled[level][node])
+
+    def may_link(self, level: int, a: int, b: int, percent: int) -> bool:
         """Whether the largest overlap that bitmaps and sizes allow is enough for some pair of leaves."""
-        if self.high[a] * 100 < percent * self.low[b] or self.high[b] * 100 < percent * self.low[a]:
+        bits, low, high, excess = self.levels[level]
+        if high[a] * 100 < percent * low[b] or high[b] * 100 < percent * low[a]:
             return False
-        overlap = min(self.high[a], self.high[b], (self.bits[a] & self.bits[b]).bit_count() + min(self.excess[a], self.excess[b]))
-        return overlap * (100 + percent) >= percent * (self.low[a] + self.low[b])
+        overlap = min(high[a], high[b], np.bitwise_count(bits[a] & bits[b]).sum(dtype=np.int64) + min(excess[a], excess[b]))
+        return bool(overlap * (100 + percent) >= percent * (low[a] + low[b]))
+
+    def pairs(self, a: int, b: int, percent: int) -> np.ndarray:
+        """Pairs of leaves of two blocks (or one) that the bound leaves."""
+        (a0, a1), (b0, b1) = self.leaves(0, a), self.leaves(0, b)
+        both = np.bitwise_count(self.bits[a0:a1, None, :] & self.bits[None, b0:b1, :]).sum(axis=2, dtype=np.int64)
+        x, y = self.sizes[a0:a1, None], self.sizes[None, b0:b1]
+        overlap = np.minimum(np.minimum(x, y), both + np.minimum(self.excess[a0:a1, None], self.excess[None, b0:b1]))
+        ok = overlap * (100 + percent) >= percent * (x + y)
+        return np.argwhere(np.triu(ok, 1) if a == b else ok) + (a0, b0)
+
+    def join(self, percent: int, found: UnionFind, ids: list[int], test=None) -> None:
+        """Links leaves (``ids``: their places in ``found``) for which ``test`` holds (without it: that the bound leaves)."""
+        top = len(self.levels) - 1
+        todo = [(top, 0, 0)]
+        while todo:
+            level, a, b = todo.pop()
+            if self.one_component(level, a, ids, found) and self.one_component(level, b, ids, found) and found.find(ids[self.leaves(level, a)[0]]) == found.find(ids[self.leaves(level, b)[0]]):
+                continue
+            if not self.may_link(level, a, b, percent):
+                continue
+            if level:
+                if a == b:
+                    below = self.children(level, a)
+                    todo += [(level - 1, x, y) for x in below for y in below if x < y]
+                    todo += [(level - 1, x, x) for x in below]  # taken first: near copies stand side by side
+                else:
+                    todo += [(level - 1, x, y) for x in self.children(level, a) for y in self.children(level, b)]
+            else:
+                for x, y in self.pairs(a, b, percent).tolist():
+                    if found.find(ids[x]) != found.find(ids[y]) and (test is None or test(x, y)):
+                        found.union(ids[x], ids[y])
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -175,28 +215,13 @@ def tree_join(sets: list[np.ndarray], percent: int, known: list[int] | None = No
         seen: dict[int, int] = {}
         for i, label in enumerate(known):
             found.union(seen.setdefault(label, i), i)
-    if len(sets) < 2:
-        return found
-    tree = SignatureTree(sets)
-    todo = [(tree.root, tree.root)]
-    while todo:
-        a, b = todo.pop()
-        if tree.one_component(a, found) and tree.one_component(b, found) and found.find(tree.first[a]) == found.find(tree.first[b]):
-            continue
-        if not tree.may_link(a, b, percent):
-            continue
-        below_a, below_b = tree.children[a], tree.children[b]
-        if a == b:
-            todo += [(x, y) for i, x in enumerate(below_a) for y in below_a[i + 1 :]]
-            todo += [(x, x) for x in below_a]  # taken first: near copies stand side by side
-        elif not below_a and not below_b:
-            x, y = tree.first[a], tree.first[b]
-            if linked(sets[x], sets[y], percent):
-                found.union(x, y)
-        elif below_a and (not below_b or tree.high[a] >= tree.high[b]):
-            todo += [(c, b) for c in below_a]
-        else:
-            todo += [(a, c) for c in below_b]
+    if len(sets) > 1:
+        order = sorted(range(len(sets)), key=lambda i: (sets[i][:4].tolist(), len(sets[i])))  # near copies have the same smallest hashes
+        width = 1024
+        while width < 1 << 14 and width < 2 * max(len(s) for s in sets):
+            width *= 2
+        tree = SignatureTree(bitmaps([sets[i] for i in order], width), np.array([len(sets[i]) for i in order]))
+        tree.join(percent, found, order, lambda x, y: linked(sets[order[x]], sets[order[y]], percent))
     return found
 
 
@@ -243,6 +268,69 @@ def _same_keys(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _packed_signatures(ngram: int, percent: int, buckets: int):
+    """Texts -> (bucket, data): keys with the signatures (name, size, smallest hash, bitmap) of the sets that have them."""
+    ends = size_classes(percent)
+
+    def flush(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys = [keys_of(s, ends, percent) for s in sets]
+        key, owner = np.concatenate(keys), np.repeat(np.arange(len(sets)), [len(k) for k in keys])
+        table_ = np.column_stack([np.array([set_name(s) for s in sets], np.int64).view(np.uint64), np.array([len(s) for s in sets], np.uint64), np.array([s[0] for s in sets], np.uint64), bitmaps(sets, SIGNATURE_BITS)])
+        bucket = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        order = np.argsort(bucket, kind="stable")
+        key, owner, bucket = key[order], owner[order], bucket[order]
+        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))[: len(bucket)]
+        out = []
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=False):
+            names, at = np.unique(owner[a:b], return_inverse=True)
+            out.append(np.array([b - a, len(names)], np.int64).tobytes() + key[a:b].tobytes() + at.astype(np.int32).tobytes() + table_[names].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int64)), pa.array(out, pa.binary())], names=["bucket", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, held = [], 0
+        for batch in batches:
+            for piece in pieces(batch, 0):
+                new = [s for s in shingle_sets(piece.column(0), ngram) if len(s)]
+                sets += new
+                held += sum(map(len, new))
+                if held > FLUSH_KEYS:
+                    yield from flush(sets)
+                    sets, held = [], 0
+        if sets:
+            yield from flush(sets)
+
+    return run
+
+
+def _may_link(percent: int):
+    """A bucket's keys and signatures -> links between sets that share a key and that their signatures let overlap enough."""
+
+    def run(group: pa.Table) -> pa.Table:
+        keys, owners, tables, n = [], [], [], 0
+        for x in group.column("data"):
+            data = x.as_py()
+            k, m = np.frombuffer(data, np.int64, 2).tolist()
+            keys.append(np.frombuffer(data, np.uint64, k, 16))
+            owners.append(np.frombuffer(data, np.int32, k, 16 + 8 * k).astype(np.int64) + n)
+            tables.append(np.frombuffer(data, np.uint64, offset=16 + 12 * k).reshape(m, -1))
+            n += m
+        key, owner, table_ = np.concatenate(keys), np.concatenate(owners), np.concatenate(tables)
+        order = np.lexsort((table_[owner, 2], key))
+        key, owner = key[order], owner[order]
+        cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        found = UnionFind(n)
+        for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=True):
+            ids = owner[x:y].tolist()
+            if len(ids) > 1 and len({found.find(i) for i in ids}) > 1:
+                SignatureTree(np.ascontiguousarray(table_[ids, 3:]), table_[ids, 1]).join(percent, found, ids)
+        names = table_[:, 0].copy().view(np.int64)
+        roots = np.array([found.find(i) for i in range(n)], np.int64)
+        moved = np.flatnonzero(roots != np.arange(n))
+        return pa.table({"a": pa.array(names[moved], pa.int64()), "b": pa.array(names[roots[moved]], pa.int64())})
+
+    return run
+
+
 def _set_work(ngram: int):
     def work(texts: pa.Array) -> list[pa.Array]:
         return [pa.array([s.tobytes() for s in shingle_sets(texts, ngram)], pa.binary())]
@@ -291,6 +379,7 @@ def jaccard_components(
     block_shingles: int = BLOCK_SHINGLES,
     broadcast_rows: int = BROADCAST_ROWS,
     bucket_bytes: int = BUCKET_BYTES,
+    refine_sets: int = REFINE_SETS,
     one_task_links: int | None = None,
 ) -> DataFrame:
     """A row per document: doc (struct of the carried columns), n_shingles, component_id, kept (one row of each component)."""
@@ -315,9 +404,20 @@ def jaccard_components(
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 16 // bucket_bytes) + 1)
     packed = texts.join(few(copies), "key", "left_anti").select("text").mapInArrow(_packed_keys(ngram, percent, buckets), "bucket bigint, data binary")
     near = components(packed.groupBy("bucket").applyInArrow(_same_keys, "a bigint, b bigint"), **limits)
-    near = stored(near, "candidates")
-    members = near.unionByName(near.select(F.col("component").alias("node"), "component").distinct())
-    members = members.join(classes, "node").select("node", "component", "key", "n")
+    near = stored(near.unionByName(near.select(F.col("component").alias("node"), "component").distinct()), "candidates")
+
+    # Large components are mostly chains of sets that share a key by chance: those are linked anew, only where signatures
+    # of sets with the same key allow enough overlap.
+    large = near.groupBy("component").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") > refine_sets).select("component")
+    doubted = stored(near.join(large, "component", "left_semi").join(classes, "node").select("node", "component", "key", "n"), "doubted")
+    work = doubted.agg(F.sum((F.col("n") * 0.4 + 12) * (24 + SIGNATURE_BITS // 8))).first()[0]
+    if work:
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(work // bucket_bytes) + 1)
+        signed = texts.join(few(doubted.select("key")), "key", "left_semi").select("text").mapInArrow(_packed_signatures(ngram, percent, buckets), "bucket bigint, data binary")
+        anew = stored(components(signed.groupBy("bucket").applyInArrow(_may_link(percent), "a bigint, b bigint"), **limits), "refined")
+        anew = anew.unionByName(anew.select(F.col("component").alias("node"), "component").distinct())
+        near = near.join(large, "component", "left_anti").select("node", "component").unionByName(anew)
+    members = near.join(classes, "node").select("node", "component", "key", "n")
     sizes = members.groupBy("component").agg(F.sum("n").alias("total"))
     blocks = F.ceil(F.col("total") / block_shingles)
     members = members.join(sizes, "component").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
