@@ -8,7 +8,7 @@
    is the smaller partner and for the one in which it is the larger. Keys travel as packed arrays, in buckets of bounded
    size. Components over shared keys hold every possible link within them.
    Components of more than ``REFINE_SETS`` sets are refined: the sets of a key are joined by trees over signatures of
-   ``SIGNATURE_BITS`` bits, and only sets that may overlap enough stay together.
+   about two bits a token, and only sets that may overlap enough stay together.
 3. Signature trees. The sets of a component are the leaves of a tree whose nodes hold the OR of the leaves' token bitmaps,
    their range of sizes, and by how much a leaf can have more tokens than bits. Two trees (or one with itself) are
    traversed together: a pair of nodes is dropped when the largest overlap that its bitmaps and sizes allow is too
@@ -44,7 +44,6 @@ BLOCK_SHINGLES = 1 << 21
 BROADCAST_ROWS = 1 << 20
 FLUSH_KEYS = 1 << 18
 REFINE_SETS = 64
-SIGNATURE_BITS = 512
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _EMPTY = np.uint64(0x2545F4914F6CDD1D)
 
@@ -96,8 +95,8 @@ def parts_of(group: int, ends: list[int], percent: int) -> tuple[int, int]:
     return (differing + 1 + spare, spare) if differing else (0, 0)
 
 
-def keys_of(s: np.ndarray, ends: list[int], percent: int) -> np.ndarray:
-    """The keys of a set; two sets that link share one."""
+def keys_by_class(s: np.ndarray, ends: list[int], percent: int) -> list[tuple[int, np.ndarray]]:
+    """The keys of a set for each of its size classes; two sets that link share one."""
     own = int(np.searchsorted(ends, len(s), "right")) - 1
     content = mixed(s ^ _ODD[5])
     found = []
@@ -108,11 +107,24 @@ def keys_of(s: np.ndarray, ends: list[int], percent: int) -> np.ndarray:
         part = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         place = mixed(part[first] * _ODD[2] + np.uint64(group + 1))
-        found.append(mixed(np.add.reduceat(content, first) ^ place))
+        keys = mixed(np.add.reduceat(content, first) ^ place)
         if parts - len(first) > spare:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[first])
-            found.append(mixed(mixed(empty * _ODD[2] + np.uint64(group + 1)) ^ _EMPTY))
-    return np.concatenate(found) if found else np.empty(0, np.uint64)
+            keys = np.concatenate([keys, mixed(mixed(empty * _ODD[2] + np.uint64(group + 1)) ^ _EMPTY)])
+        found.append((group, keys))
+    return found
+
+
+def keys_of(s: np.ndarray, ends: list[int], percent: int) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.uint64), *(k for _, k in keys_by_class(s, ends, percent))])
+
+
+def signature_bits(group: int, ends: list[int]) -> int:
+    """Bits of the signatures of a size class: about two for each token."""
+    width = 512
+    while width < 1 << 14 and width < 2 * ends[group + 1]:
+        width *= 2
+    return width
 
 
 def bitmaps(sets: list[np.ndarray], width: int) -> np.ndarray:
@@ -269,22 +281,29 @@ def _same_keys(group: pa.Table) -> pa.Table:
 
 
 def _packed_signatures(ngram: int, percent: int, buckets: int):
-    """Texts -> (bucket, data): keys with the signatures (name, size, smallest hash, bitmap) of the sets that have them."""
+    """Texts -> (bucket, data): keys with the signatures (name, size, smallest hash, bitmap) of the sets that have them. A
+    bucket belongs to one size class; a signature is sent once for each bucket, not for each key."""
     ends = size_classes(percent)
 
     def flush(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys = [keys_of(s, ends, percent) for s in sets]
-        key, owner = np.concatenate(keys), np.repeat(np.arange(len(sets)), [len(k) for k in keys])
-        table_ = np.column_stack([np.array([set_name(s) for s in sets], np.int64).view(np.uint64), np.array([len(s) for s in sets], np.uint64), np.array([s[0] for s in sets], np.uint64), bitmaps(sets, SIGNATURE_BITS)])
-        bucket = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-        order = np.argsort(bucket, kind="stable")
-        key, owner, bucket = key[order], owner[order], bucket[order]
-        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))[: len(bucket)]
-        out = []
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=False):
-            names, at = np.unique(owner[a:b], return_inverse=True)
-            out.append(np.array([b - a, len(names)], np.int64).tobytes() + key[a:b].tobytes() + at.astype(np.int32).tobytes() + table_[names].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int64)), pa.array(out, pa.binary())], names=["bucket", "data"])
+        by_class: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for i, x in enumerate(sets):
+            for group, keys in keys_by_class(x, ends, percent):
+                by_class.setdefault(group, []).append((i, keys))
+        at_bucket, out = [], []
+        for group, found in by_class.items():
+            mine = [sets[i] for i, _ in found]
+            table_ = np.column_stack([np.array([set_name(x) for x in mine], np.int64).view(np.uint64), np.array([len(x) for x in mine], np.uint64), np.array([x[0] for x in mine], np.uint64), bitmaps(mine, signature_bits(group, ends))])
+            key, owner = np.concatenate([k for _, k in found]), np.repeat(np.arange(len(mine)), [len(k) for _, k in found])
+            bucket = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            order = np.argsort(bucket, kind="stable")
+            key, owner, bucket = key[order], owner[order], bucket[order]
+            cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=True):
+                names, at = np.unique(owner[a:b], return_inverse=True)
+                at_bucket.append((group << 40) + int(bucket[a]))
+                out.append(np.array([b - a, len(names)], np.int64).tobytes() + key[a:b].tobytes() + at.astype(np.int32).tobytes() + table_[names].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(at_bucket, pa.int64()), pa.array(out, pa.binary())], names=["bucket", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, held = [], 0
@@ -410,9 +429,9 @@ def jaccard_components(
     # of sets with the same key allow enough overlap.
     large = near.groupBy("component").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") > refine_sets).select("component")
     doubted = stored(near.join(large, "component", "left_semi").join(classes, "node").select("node", "component", "key", "n"), "doubted")
-    work = doubted.agg(F.sum((F.col("n") * 0.4 + 12) * (24 + SIGNATURE_BITS // 8))).first()[0]
+    work = doubted.agg(F.sum((F.col("n") * 0.4 + 12) * 12 + 600)).first()[0]
     if work:
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(work // bucket_bytes) + 1)
+        buckets = int(work // (4 * bucket_bytes)) + 1  # of each of some tens of size classes
         signed = texts.join(few(doubted.select("key")), "key", "left_semi").select("text").mapInArrow(_packed_signatures(ngram, percent, buckets), "bucket bigint, data binary")
         anew = stored(components(signed.groupBy("bucket").applyInArrow(_may_link(percent), "a bigint, b bigint"), **limits), "refined")
         anew = anew.unionByName(anew.select(F.col("component").alias("node"), "component").distinct())
