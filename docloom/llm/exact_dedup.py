@@ -25,7 +25,12 @@ from pyspark.sql import functions as F
 
 from .common import scratch_path, stored, text_of
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; without files allocated ahead, as there are many small stores.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+}
 BROADCAST_BYTES = 16 << 20
 GROUP_SLICE = 256
 
@@ -46,14 +51,19 @@ def fold_stream(stream: DataFrame, checkpoint: str) -> DataFrame:
     A later call with the same checkpoint reads only files that are new since.
     """
     spark = stream.sparkSession
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    old = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         seen = stream.groupBy("digest").agg(F.max("at").alias("keep"), F.count(F.lit(1)).alias("n"))
         run = seen.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         run.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     state = spark.read.format("statestore").load(checkpoint)
     keep, n = state.schema["value"].dataType.names
     return state.select(F.col("key.digest").alias("digest"), F.col("value").getField(keep).alias("keep"), F.col("value").getField(n).alias("n"))

@@ -39,7 +39,7 @@ from .common import stored, table, text_of
 from .components import UnionFind, components, forest
 
 NGRAM, PERCENT = 4, 85
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
 BLOCK_SHINGLES = 1 << 21
 BROADCAST_ROWS = 1 << 20
 FLUSH_KEYS = 1 << 18
@@ -420,7 +420,7 @@ def jaccard_components(
 
     # Candidates: sets that share a key.
     total = classes.agg(F.sum(F.col("n") * 0.4 + 12)).first()[0] or 0
-    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 16 // bucket_bytes) + 1)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 16 // bucket_bytes) + 1)
     packed = texts.join(few(copies), "key", "left_anti").select("text").mapInArrow(_packed_keys(ngram, percent, buckets), "bucket bigint, data binary")
     near = components(packed.groupBy("bucket").applyInArrow(_same_keys, "a bigint, b bigint"), **limits)
     near = stored(near.unionByName(near.select(F.col("component").alias("node"), "component").distinct()), "candidates")
