@@ -44,6 +44,7 @@ BLOCK_SHINGLES = 1 << 21
 BROADCAST_ROWS = 1 << 20
 FLUSH_KEYS = 1 << 18
 REFINE_SETS = 64
+LEAST_BUCKETS = 16
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _EMPTY = np.uint64(0x2545F4914F6CDD1D)
 
@@ -420,7 +421,7 @@ def jaccard_components(
 
     # Candidates: sets that share a key.
     total = classes.agg(F.sum(F.col("n") * 0.4 + 12)).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 16 // bucket_bytes) + 1)
+    buckets = max(LEAST_BUCKETS, int(total * 16 // bucket_bytes) + 1)  # a set has a link in each bucket at most
     packed = texts.join(few(copies), "key", "left_anti").select("text").mapInArrow(_packed_keys(ngram, percent, buckets), "bucket bigint, data binary")
     near = components(packed.groupBy("bucket").applyInArrow(_same_keys, "a bigint, b bigint"), **limits)
     near = stored(near.unionByName(near.select(F.col("component").alias("node"), "component").distinct()), "candidates")
