@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,7 +18,9 @@ FUZZY, ADDRESS, PARTIAL, LENGTHS, COUNTRY = 0.85, 0.6, 82, 0.6, 90
 
 def _of(ok: Column, score: Column | None = None) -> Column:
     ok = F.coalesce(ok, F.lit(False))
-    return F.struct(F.when(ok, "match").otherwise("mismatch").alias("status"), (score if score is not None else ok.cast("double")).alias("score"))
+    if score is not None:
+        return F.struct(F.when(ok, "match").otherwise("mismatch").alias("status"), score.alias("score"))
+    return nz.let(ok, lambda x: F.struct(F.when(x, "match").otherwise("mismatch").alias("status"), x.cast("double").alias("score")))
 
 
 def numbers_equal(a, b) -> Column:
@@ -33,7 +35,8 @@ def close(a, b) -> Column:
 
 
 def compare_number(a, b) -> Column:
-    return _of(numbers_equal(nz.normalize_amount(col(a).cast("string")), nz.normalize_amount(col(b).cast("string"))))
+    both = F.struct(*[nz.normalize_amount(col(c).cast("string")).alias(n) for c, n in ((a, "a"), (b, "b"))])
+    return _of(nz.let(both, lambda x: numbers_equal(x["a"], x["b"])))
 
 
 def compare_date(a, b) -> Column:
@@ -54,6 +57,7 @@ def compare_id(a, b) -> Column:
     return _of((looks(a) == looks(b)) | (sounds(a) == sounds(b)))
 
 
+@lru_cache(fuzzy.REMEMBERED)
 def text_score(x: str, y: str) -> float:
     """For normalised texts: the best of the token ratios and the ratio without spaces, 0 to 1."""
     best = max(fuzzy.token_sort_ratio(x, y), fuzzy.token_set_ratio(x, y))
@@ -74,6 +78,7 @@ def same_company(a, b) -> Column:
     return ~nz.is_blank(a) & ~nz.is_blank(b) & (_text_score(nz.norm_text(a), nz.norm_text(b)) >= FUZZY)
 
 
+@lru_cache(fuzzy.REMEMBERED)
 def toponym_root(token: str) -> str:
     """A place name without an adjective's ending, by the name that stands for it."""
     for end in fixed.ADJECTIVE_ENDINGS:
@@ -124,7 +129,7 @@ def compare_contains(a, b) -> Column:
 
 def _code(ok: Column) -> Column:
     """Codes without an entry are unknown, not different."""
-    return F.when(ok.isNull(), F.struct(F.lit("unknown_code").alias("status"), F.lit(0.0).alias("score"))).otherwise(_of(ok))
+    return nz.let(ok, lambda x: F.struct(F.when(x.isNull(), "unknown_code").when(x, "match").otherwise("mismatch").alias("status"), F.coalesce(x.cast("double"), F.lit(0.0)).alias("score")))
 
 
 def same_number(a, b) -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Pairs of texts whose similarity a Python worker remembers: names, countries and units repeat over many contracts.
+REMEMBERED = 1 << 14
+
 
 def common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, by bit vectors over the shorter text."""
@@ -46,6 +51,7 @@ def token_set_ratio(a: str, b: str) -> float:
     return best
 
 
+@lru_cache(REMEMBERED)
 def partial_ratio(a: str, b: str) -> float:
     """The best ratio of the shorter text with any window of the longer one, short windows at both ends too."""
     short, long = (a, b) if len(a) <= len(b) else (b, a)

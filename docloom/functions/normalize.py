@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -20,6 +21,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, function: Callable[[Column], Column]) -> Column:
+    """``function`` of a value that is worked out once, however often the function names it."""
+    return F.get(F.transform(F.array(value), lambda x: function(x)), F.lit(0))
+
+
 def strip(c) -> Column:
     """Without white space of any script at the ends."""
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
@@ -64,12 +70,8 @@ def normalize_amount(c) -> Column:
     """A number from a text: the last of "." and "," is the decimal sign if one or two characters follow it, else all of
     them separate thousands. Texts that are no plain number give null."""
     s = F.regexp_replace(strip(c), r"[  ]", "")
-    dot, comma = F.length(s) - F.instr(F.reverse(s), "."), F.length(s) - F.instr(F.reverse(s), ",")
-    last = F.greatest(F.when(F.instr(s, ".") > 0, dot).otherwise(-1), F.when(F.instr(s, ",") > 0, comma).otherwise(-1))
-    after = F.length(s) - last - 1
-    whole = F.regexp_replace(F.substring(s, F.lit(1), last), "[.,]", "")
-    plain = F.when((last >= 0) & after.between(1, 2), F.concat(whole, F.lit("."), F.substring(s, last + 2, after))).otherwise(F.regexp_replace(s, "[.,]", ""))
-    return F.when(plain.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"), plain.try_cast("double"))
+    plain = F.replace(F.regexp_replace(s, r"[.,](?![^.,]{1,2}\z)", ""), F.lit(","), F.lit("."))
+    return F.regexp_extract(plain, r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$", 0).try_cast("double")
 
 
 DATE = r"\b(\d{1,2})[./\-](\d{1,2})[./\-](\d{4})\b|\b(\d{4})[./\-](\d{1,2})[./\-](\d{1,2})\b"
