@@ -160,8 +160,8 @@ def plain_letters(c) -> Column:
 
 
 def _folded(c) -> Column:
-    x = F.translate(plain_letters(translit(F.lower(col(c)))), "ıx", "ih")
-    return F.regexp_replace(x, "[’'`ʻʼ´]", "")
+    x = F.translate(translit(F.lower(col(c))), "".join(_MARKED) + "ıx", "".join(_PLAIN) + "ih")
+    return F.regexp_replace(x, r"[\p{M}’'`ʻʼ´]", "")
 
 
 def _fold_word(w: str) -> str:
@@ -175,10 +175,9 @@ PLACE_NAMES = {_fold_word(name): _fold_word(names[0]) for names in fixed.PLACES
 
 
 def norm_tokens(c) -> Column:
-    words = F.array_remove(F.split(F.regexp_replace(_folded(c), r"(?U)[^0-9a-z\s]", " "), r"(?U)\s+"), "")
-    words = F.filter(words, lambda w: ~F.array_contains(F.array(*map(F.lit, fixed.LEGAL_FORMS)), w))
+    words = F.filter(F.split(_folded(c), "[^0-9a-z]+"), lambda w: ~w.isin("", *fixed.LEGAL_FORMS))
     places = F.create_map(*[F.lit(x) for kv in PLACE_NAMES.items() for x in kv])
-    return F.transform(words, lambda w: F.coalesce(F.try_element_at(places, w), w))
+    return F.transform(words, lambda w: F.when(w.isin(*PLACE_NAMES), F.try_element_at(places, w)).otherwise(w))
 
 
 def norm_text(c) -> Column:
@@ -186,8 +185,13 @@ def norm_text(c) -> Column:
     return F.array_join(norm_tokens(c), " ")
 
 
+def digit_tokens(normalised) -> Column:
+    """Of a normalised name the distinct numbers, with letters beside them."""
+    return F.array_distinct(F.regexp_extract_all(col(normalised), F.lit(r"[a-z]*[0-9]+[a-z]*"), F.lit(0)))
+
+
 def key_tokens(c) -> Column:
-    return F.array_distinct(F.regexp_extract_all(norm_text(c), F.lit(r"[a-z]*[0-9]+[a-z]*"), F.lit(0)))
+    return digit_tokens(norm_text(c))
 
 
 def split_bilingual(c) -> Column:

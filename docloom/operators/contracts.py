@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -166,9 +166,15 @@ def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(contract, product, best, score)], columns=["contract_id", "p", "g", "score"])
 
 
+@lru_cache(fuzzy.REMEMBERED)
+def _lines_score(ours: str, lines: str) -> float:
+    return name_score(ours, lines.split("\n"))
+
+
 @F.pandas_udf(T.DoubleType())
 def _name_scores(ours: pd.Series, names: pd.Series) -> pd.Series:
-    return pd.Series([name_score(o, list(n)) for o, n in zip(ours, names, strict=True)], dtype="float64")
+    """``names``: normalised names, which hold no line ends, one a line."""
+    return pd.Series([_lines_score(o, n) for o, n in zip(ours, names, strict=True)], dtype="float64")
 
 
 def match_products(products: DataFrame, goods_: DataFrame) -> DataFrame:
@@ -178,8 +184,10 @@ def match_products(products: DataFrame, goods_: DataFrame) -> DataFrame:
     Candidates are an equi join on the contract and scored in the JVM and one vectorised function; only the greedy
     choice, which depends on order, runs by contract, on pairs that passed the floor.
     """
-    a = products.select("contract_id", "p", nz.norm_text("name").alias("norm"), nz.key_tokens("name").alias("keys"), F.col("hs_code").alias("hs"), F.col("quantity").alias("qty"))
-    b = goods_.select("contract_id", "g", F.transform(nz.split_bilingual("name"), nz.norm_text).alias("norms"), nz.key_tokens("name").alias("g_keys"), F.col("hs_code").alias("g_hs"), F.col("quantity").alias("g_qty"))
+    a = products.select("contract_id", "p", nz.norm_text("name").alias("norm"), F.col("hs_code").alias("hs"), F.col("quantity").alias("qty"))
+    a = a.withColumn("keys", nz.digit_tokens("norm"))
+    b = goods_.select("contract_id", "g", F.transform(nz.split_bilingual("name"), nz.norm_text).alias("each"), F.col("hs_code").alias("g_hs"), F.col("quantity").alias("g_qty"))
+    b = b.withColumns({"norms": F.array_join("each", "\n"), "g_keys": nz.digit_tokens(F.get("each", F.lit(0)))}).drop("each")
     pairs = a.join(b, "contract_id").filter((F.size("keys") == 0) | (F.size("g_keys") == 0) | F.arrays_overlap("keys", "g_keys"))
     name = _name_scores(F.coalesce("norm", F.lit("")), "norms")
     pairs = pairs.withColumn("name_score", name).filter(F.col("name_score") >= FLOOR)
