@@ -109,6 +109,8 @@ def test_parse_document(spark):
     pages = spark.createDataFrame([("-1", HTML), ("-2", "<p>no</p>"), ("-3", None)], "document_id string, html string")
     parsed = documents.parse_documents(pages)
     assert parsed.filter("error IS NOT NULL").count() == 2
+    context = [r[0] for r in parsed.filter("error IS NULL").orderBy("pos").select("context_text").collect()]
+    assert context[0] == "Title\nChapter 1\n\n" + rows[0]["embed_text"] + "\n\n" + rows[1]["embed_text"] and context[2] == rows[2]["embed_text"]
     chunks = documents.to_chunks(parsed).collect()
     assert len(chunks) == 3 and len({c.chunk_id for c in chunks}) == 3 and all(len(c.chunk_id) == 36 for c in chunks)
 
