@@ -15,8 +15,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    """Null where a vector has no length."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, *, k: int = 8, section: Column | None = None, threshold: float | None = None, query_id: str = "query_id", item_id: str = "item_id", vector: str = "vector") -> DataFrame:
@@ -24,12 +29,14 @@ def top_k(queries: DataFrame, corpus: DataFrame, *, k: int = 8, section: Column
 
     Queries are a stated set in blocks against all items: the side of queries is broadcast when its counted bytes are
     small, and cut into blocks of that size otherwise. Each partition of items keeps its own k best of a query first (a
-    limit within the window that runs before the shuffle), so the shuffle carries k rows a query and partition.
+    limit within the window that runs before the shuffle), so the shuffle carries k rows a query and partition. Lengths of
+    vectors are worked out once a vector, before the join; a vector without length has a null score and ranks last.
     """
     if not 1 <= k <= 50:
         raise ValueError("top_k is 1 to 50")
     items = corpus.filter(section) if section is not None else corpus
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("query_vector"))
+    items = items.select(F.col(item_id).alias("item_id"), F.col(vector).alias("item_vector"), norm(F.col(vector)).alias("item_norm"))
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("query_vector"), norm(F.col(vector)).alias("query_norm"))
     width = queries.agg(F.max(F.size(vector))).first()[0] or 1
     per_block = max(1, BROADCAST_BYTES // (width * 8 + 64))
     blocks = -(-q.count() // per_block) or 1
@@ -37,7 +44,8 @@ def top_k(queries: DataFrame, corpus: DataFrame, *, k: int = 8, section: Column
     for block in range(blocks):
         part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
         pairs = items.join(F.broadcast(part))
-        scored = pairs.select("query_id", F.col(item_id).alias("item_id"), cosine(F.col("query_vector"), F.col(vector)).alias("score"))
+        score = F.try_divide(dot(F.col("query_vector"), F.col("item_vector")), F.col("query_norm") * F.col("item_norm"))
+        scored = pairs.select("query_id", "item_id", score.alias("score"))
         scored = scored if threshold is None else scored.filter(F.col("score") >= threshold)
         found = scored if found is None else found.unionByName(scored)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "item_id"))

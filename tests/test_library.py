@@ -182,6 +182,9 @@ def test_search_bounds(spark):
     with pytest.raises(ValueError):
         retrieve.top_k(spark.range(1), spark.range(1), k=51)
     assert math.isclose(one(spark, retrieve.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(2.0), F.lit(0.0)))), 1.0)
+    items = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 0.0]), (3, [1.0, 0.0])], "item_id long, vector array<double>")
+    found = retrieve.top_k(items.filter("item_id = 2").withColumnRenamed("item_id", "query_id"), items, k=3).orderBy("rank").collect()
+    assert [(r.item_id, r.score) for r in found] == [(2, 1.0), (3, 1.0), (1, None)]
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
