@@ -17,6 +17,8 @@ from ..functions import normalize as nz
 
 FLOOR, ACCEPT, HS_BONUS, QTY_BONUS, RELAXED = 0.45, 0.6, 0.3, 0.2, 0.7
 
+ITEM_COLUMNS = ["name", "hs_code", "quantity", "price", "amount", "unit"]
+
 #: (extracted path, API path, kind); FOR and UZ stand for the foreign and the domestic party.
 FIELDS = [
     ("contract_number", "docNo", "id"),
@@ -206,10 +208,34 @@ def compare_items(matched: DataFrame) -> DataFrame:
     fields = [F.struct(F.lit(n).alias("field"), F.lit(k).alias("kind"), F.col(n).cast("string").alias("ours"), F.col(f"g_{n}").cast("string").alias("theirs")) for n, k in spec]
     rows = matched.select("contract_id", "p", "g", "name_score", F.explode(F.array(*fields)).alias("x")).select("contract_id", "p", "g", "name_score", "x.*")
     rows = compared(rows.filter(~((F.col("field") == "unit") & nz.is_blank("ours"))))
-    status = F.when((F.col("field") == "name") & (F.col("status") == "mismatch") & ~nz.is_blank("ours") & (F.col("name_score") >= RELAXED), "match").when(F.col("field").isin("name", "hs_code") & nz.is_blank("ours"), "missing_pdf").otherwise(F.col("status"))
+    ours, theirs = nz.is_blank("ours"), nz.is_blank("theirs")
+    status = (
+        F.when(((F.col("field") == "name") & (ours | theirs)) | ((F.col("field") == "hs_code") & ours), "missing_pdf")
+        .when((F.col("field") == "unit") & theirs, "unknown_code")
+        .when(ours | theirs, "mismatch")  # a number on one side alone differs, unlike in the fields of contracts
+        .when((F.col("field") == "name") & (F.col("status") == "mismatch") & (F.col("name_score") >= RELAXED), "match")
+        .otherwise(F.col("status"))
+    )
     return rows.withColumn("status", status)
 
 
+def item_pairs(matches: DataFrame, products: DataFrame, goods_: DataFrame) -> DataFrame:
+    """Matched items with the columns of both sides (those of goods as g_*) and the score of their names."""
+    ours = products.select("contract_id", "p", *ITEM_COLUMNS)
+    theirs = goods_.select("contract_id", "g", *[F.col(c).alias(f"g_{c}") for c in ITEM_COLUMNS])
+    both = matches.filter("p IS NOT NULL AND g IS NOT NULL").select("contract_id", "p", "g").join(ours, ["contract_id", "p"]).join(theirs, ["contract_id", "g"])
+    names = F.array_join(F.transform(nz.split_bilingual("g_name"), nz.norm_text), "\n")
+    return both.withColumn("name_score", _name_scores(F.coalesce(nz.norm_text("name"), F.lit("")), names))
+
+
+def product_issues(matches: DataFrame, item_fields: DataFrame) -> DataFrame:
+    """For each contract the fields of matched items that differ, items without a partner on either side, and their sum."""
+    alone = matches.groupBy("contract_id").agg(F.count_if(F.col("g").isNull()).alias("unmatched_pdf"), F.count_if(F.col("p").isNull()).alias("unmatched_api"))
+    differing = item_fields.groupBy("contract_id").agg(F.count_if(F.col("status") == "mismatch").alias("differing"))
+    out = alone.join(differing, "contract_id", "left").withColumn("differing", F.coalesce("differing", F.lit(0)).cast("long"))
+    return out.withColumn("product_issues", F.col("differing") + F.col("unmatched_pdf") + F.col("unmatched_api"))
+
+
 def product_totals(products: DataFrame, goods_: DataFrame) -> DataFrame:
     a = products.groupBy("contract_id").agg(F.round(F.sum("amount"), 2).alias("pdf_sum"))
     b = goods_.groupBy("contract_id").agg(F.round(F.sum("amount"), 2).alias("api_sum"))

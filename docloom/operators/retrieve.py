@@ -9,6 +9,8 @@ from ..functions import normalize as nz
 
 THRESHOLD, CONTEXT_CHARS, HISTORY_TURNS = 0.80, 18_000, 3
 BROADCAST_BYTES = 64 << 20
+#: Kind of a request to its least and most characters and its most items.
+REQUESTS = {"question": (3, 2000, 20), "query": (2, 2000, 50)}
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -52,6 +54,15 @@ def top_k(queries: DataFrame, corpus: DataFrame, *, k: int = 8, section: Column
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def request_error(kind: str, text, top_k=None) -> Column:
+    """Why a request is refused, null if it is not: ``question`` and ``query`` have 3 and 2 to 2000 characters and ask for
+    at most 20 and 50 items."""
+    least, most, items = REQUESTS[kind]
+    n = F.length(nz.col(text))
+    wrong = F.when(n.isNull() | ~n.between(least, most), F.lit(f"{kind} has {least} to {most} characters"))
+    return wrong if top_k is None else wrong.when(~nz.col(top_k).between(1, items), F.lit(f"top_k is 1 to {items}"))
+
+
 def budgeted_context(chunks: DataFrame, *, by: str = "query_id", budget: int = CONTEXT_CHARS) -> DataFrame:
     """Best chunks first (by rank), equal texts once, up to the first that would pass the budget."""
     once = chunks.withColumn("copy", F.row_number().over(Window.partitionBy(by, "text").orderBy("rank"))).filter("copy = 1").drop("copy")

@@ -307,6 +307,14 @@ def unique_sources(spark, sf_dir):
     return retrieve.unique_sources(h).select("query_id", "document_id", "band_number", F.coalesce("element_id", F.lit("-")).alias("element_id"), "rank")
 
 
+@query("""
+SELECT conv_id, turn, CASE WHEN text IS NULL OR length(text) < 3 OR length(text) > 2000 THEN 'question has 3 to 2000 characters' WHEN turn + 1 > 20 THEN 'top_k is 1 to 20' END AS error
+FROM conversations""")
+def request_errors(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", retrieve.request_error("question", "text", F.col("turn") + 1).alias("error"))
+
+
 @query("""
 WITH q AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id)
 SELECT conv_id, 'passage: ' || text AS passage, greatest(1024, least(8192, 20480 - (length(text) // 2 + 500))) AS tokens FROM conversations JOIN q USING (conv_id) WHERE turn = last""")
@@ -408,6 +416,15 @@ def product_match(spark, sf_dir):
     return contracts.match_products(*_items(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
+@query()
+def product_issues(spark, sf_dir):
+    ours, theirs = _items(spark, sf_dir)
+    ours = ours.withColumns({"price": F.col("amount") / F.col("quantity"), "unit": F.lit("kg")})
+    theirs = theirs.withColumns({"price": F.col("amount") / F.col("quantity") * F.when(F.col("g") % 3 == 0, 1.1).otherwise(1.0), "unit": F.lit("166")})
+    matches = contracts.match_products(ours, theirs)
+    return contracts.product_issues(matches, contracts.compare_items(contracts.item_pairs(matches, ours, theirs)))
+
+
 @query("""
 WITH a AS (SELECT l_orderkey AS contract_id, round(sum(CAST(l_extendedprice AS DECIMAL(18,2)))::DOUBLE, 2) AS pdf_sum FROM lineitem GROUP BY 1),
 b AS (SELECT l_orderkey AS contract_id, round(sum(CAST(l_extendedprice AS DECIMAL(18,2)))::DOUBLE, 2) AS api_sum FROM lineitem WHERE l_linenumber % 5 <> 4 GROUP BY 1)

@@ -83,6 +83,16 @@ def test_product_match_is_greedy(spark):
     assert got == {(0, 0), (1, None), (2, None), (None, 1)}
 
 
+def test_item_fields_and_issues(spark):
+    schema = "contract_id long, {} long, name string, hs_code string, quantity double, price double, amount double, unit string"
+    ours = spark.createDataFrame([(1, 0, "Nasos X100", "84", 1.0, 5.0, 5.0, "kg"), (1, 1, "Kabel", None, None, None, None, None)], schema.format("p"))
+    theirs = spark.createDataFrame([(1, 0, "Насос X100 / Nasos X100", "84", 1.0, None, 9.0, None), (1, 1, "Lampa", "85", 2.0, 1.0, 2.0, "166")], schema.format("g"))
+    matches = contracts.match_products(ours, theirs)
+    fields = contracts.compare_items(contracts.item_pairs(matches, ours, theirs))
+    assert {r.field: r.status for r in fields.collect()} == {"name": "match", "hs_code": "match", "quantity": "match", "price": "mismatch", "amount": "mismatch", "unit": "unknown_code"}
+    assert contracts.product_issues(matches, fields).first().asDict() == {"contract_id": 1, "unmatched_pdf": 1, "unmatched_api": 1, "differing": 2, "product_issues": 4}
+
+
 def test_merge_and_totals(spark):
     rows = spark.createDataFrame([(1, 0, "Насос 24", "1", 1.0, 2.0, 2.0), (1, 1, "Pump 24", "1", 1.0, 2.0, 2.0), (1, 2, "Pump 25", "1", 1.0, 2.0, 2.0)], "contract_id long, p long, name string, hs_code string, quantity double, price double, amount double")
     assert [r.name for r in contracts.merge_bilingual(rows).orderBy("p").collect()] == ["Насос 24 / Pump 24", "Pump 25"]
