@@ -34,9 +34,14 @@ def close(a, b) -> Column:
     return F.abs(a - b) <= F.greatest(0.01 * F.greatest(F.abs(a), F.abs(b)), F.lit(0.05))
 
 
+def compare_amounts(a, b) -> Column:
+    """Numbers as they are."""
+    return _of(nz.let(F.struct(col(a).alias("a"), col(b).alias("b")), lambda x: numbers_equal(x["a"], x["b"])))
+
+
 def compare_number(a, b) -> Column:
-    both = F.struct(*[nz.normalize_amount(col(c).cast("string")).alias(n) for c, n in ((a, "a"), (b, "b"))])
-    return _of(nz.let(both, lambda x: numbers_equal(x["a"], x["b"])))
+    """Texts read as amounts."""
+    return compare_amounts(*[nz.normalize_amount(col(c).cast("string")) for c in (a, b)])
 
 
 def compare_date(a, b) -> Column:

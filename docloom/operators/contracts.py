@@ -203,11 +203,16 @@ def match_products(products: DataFrame, goods_: DataFrame) -> DataFrame:
 
 
 def compare_items(matched: DataFrame) -> DataFrame:
-    """Matched items (name, hs_code, quantity, price, amount, unit beside g_*) -> a row for each compared field."""
-    spec = [("name", "text"), ("hs_code", "id"), ("quantity", "number"), ("price", "number"), ("amount", "number"), ("unit", "unit")]
-    fields = [F.struct(F.lit(n).alias("field"), F.lit(k).alias("kind"), F.col(n).cast("string").alias("ours"), F.col(f"g_{n}").cast("string").alias("theirs")) for n, k in spec]
+    """Matched items (name, hs_code, quantity, price, amount, unit beside g_*) -> a row for each compared field. Columns of
+    numbers are compared as they are, texts are read as amounts first."""
+    def number(name: str) -> Column:
+        return nz.normalize_amount(name) if dict(matched.dtypes)[name] == "string" else F.col(name).cast("double")
+
+    results = {n: cp.compare_amounts(number(n), number(f"g_{n}")) for n in ("quantity", "price", "amount")}
+    results |= {"name": cp.compare_text("name", "g_name"), "hs_code": cp.compare_id("hs_code", "g_hs_code"), "unit": cp.COMPARATORS["unit"]("unit", "g_unit")}
+    fields = [F.struct(F.lit(n).alias("field"), F.col(n).cast("string").alias("ours"), F.col(f"g_{n}").cast("string").alias("theirs"), results[n]["status"].alias("status"), results[n]["score"].cast("double").alias("score")) for n in ITEM_COLUMNS]
     rows = matched.select("contract_id", "p", "g", "name_score", F.explode(F.array(*fields)).alias("x")).select("contract_id", "p", "g", "name_score", "x.*")
-    rows = compared(rows.filter(~((F.col("field") == "unit") & nz.is_blank("ours"))))
+    rows = rows.filter(~((F.col("field") == "unit") & nz.is_blank("ours")))
     ours, theirs = nz.is_blank("ours"), nz.is_blank("theirs")
     status = (
         F.when(((F.col("field") == "name") & (ours | theirs)) | ((F.col("field") == "hs_code") & ours), "missing_pdf")

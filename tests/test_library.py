@@ -85,8 +85,8 @@ def test_product_match_is_greedy(spark):
 
 def test_item_fields_and_issues(spark):
     schema = "contract_id long, {} long, name string, hs_code string, quantity double, price double, amount double, unit string"
-    ours = spark.createDataFrame([(1, 0, "Nasos X100", "84", 1.0, 5.0, 5.0, "kg"), (1, 1, "Kabel", None, None, None, None, None)], schema.format("p"))
-    theirs = spark.createDataFrame([(1, 0, "Насос X100 / Nasos X100", "84", 1.0, None, 9.0, None), (1, 1, "Lampa", "85", 2.0, 1.0, 2.0, "166")], schema.format("g"))
+    ours = spark.createDataFrame([(1, 0, "Nasos X100", "84", 10.005, 5.0, 5.0, "kg"), (1, 1, "Kabel", None, None, None, None, None)], schema.format("p"))
+    theirs = spark.createDataFrame([(1, 0, "Насос X100 / Nasos X100", "84", 10.004, None, 9.0, None), (1, 1, "Lampa", "85", 2.0, 1.0, 2.0, "166")], schema.format("g"))
     matches = contracts.match_products(ours, theirs)
     fields = contracts.compare_items(contracts.item_pairs(matches, ours, theirs))
     assert {r.field: r.status for r in fields.collect()} == {"name": "match", "hs_code": "match", "quantity": "match", "price": "mismatch", "amount": "mismatch", "unit": "unknown_code"}
