@@ -167,8 +167,7 @@ def country_matches(a, code) -> Column:
 
 
 def unit_matches(a, code) -> Column:
-    keys = {k: list(dict.fromkeys(names)) for k, names in fixed.UNITS.items()}
-    names = F.transform(_lookup(keys, nz.zfill(nz.strip(code), 3)), nz.unit_key)
+    names = _lookup(nz.UNIT_KEYS, nz.zfill(nz.strip(code), 3))
     parts = F.transform(F.filter(F.split(col(a), "[/,;]"), lambda p: nz.strip(p) != ""), nz.unit_key)
     return F.when(same_number(a, code), True).when(names.isNotNull(), F.arrays_overlap(parts, names))
 

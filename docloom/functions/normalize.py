@@ -242,6 +242,13 @@ def unit_key(c) -> Column:
     return F.regexp_replace(F.replace(translit(F.lower(strip(c))), F.lit(" "), F.lit("")), r"\.+$", "")
 
 
+#: The names of each unit's code as unit keys.
+UNIT_KEYS = {
+    code: list(dict.fromkeys("".join(fixed.CYRILLIC_TO_LATIN.get(ch, ch) for ch in name.strip().lower()).replace(" ", "").rstrip(".") for name in names))
+    for code, names in fixed.UNITS.items()
+}
+
+
 def clean_query(rewritten, original) -> Column:
     """The first line of a rewritten question without quotes; blank or over 300 characters: the original."""
     first = F.regexp_replace(strip(F.element_at(F.split(strip(rewritten), "\n"), 1)), "^[\"'«»“” ]+|[\"'«»“” ]+$", "")

@@ -71,6 +71,13 @@ def test_comparators(spark, kind, ours, theirs, status):
     assert df.select(cp.compare_value("a", "b", kind)["status"]).first()[0] == status
 
 
+def test_unit_keys(spark):
+    from docloom.functions import fixed
+
+    names = spark.createDataFrame([(code, name) for code, all_ in fixed.UNITS.items() for name in all_], "code string, name string")
+    assert all(r.key in nz.UNIT_KEYS[r.code] for r in names.select("code", nz.unit_key("name").alias("key")).collect())
+
+
 def test_bank(spark):
     df = spark.createDataFrame([("DEUTDEFF", "1234567890, 99887766", "SWIFT DEUT-DEFF No 1234567890 and 99 88 77 66"), (None, None, "x"), ("A", "", None)], "s string, a string, t string")
     assert [r[0] for r in df.select(cp.compare_bank("s", "a", "t")["status"]).collect()] == ["match", "missing_pdf", "missing_api"]
