@@ -136,6 +136,23 @@ def test_decontamination(spark, docs, none, limit):
     assert decontaminate.decontaminate(none, bench).count() == 0 and decontaminate.decontaminate(d, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontamination_finds_all_substitutions(spark):
+    """Every choice of substituted tokens against the rule itself: 11 equal ones in some 13 aligned tokens."""
+    import itertools
+
+    want, data = {}, []
+    for n, changes in ((13, 2), (14, 3), (15, 2)):
+        item = [f"w{n}x{i}" for i in range(n)]
+        for places in itertools.combinations(range(n), changes):
+            same = [i not in places for i in range(n)]
+            want[len(data)] = max(sum(same[k : k + 13]) for k in range(n - 12)) >= 11
+            data.append((len(data), " ".join(w if ok else "other" for w, ok in zip(item, same, strict=True))))
+    bench = spark.createDataFrame([(n, " ".join(f"w{n}x{i}" for i in range(n))) for n in (13, 14, 15)], "item_id long, text string")
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    found = {r.doc.doc_id: r.contaminated for r in decontaminate.decontaminate(d, bench).collect()}
+    assert found == want and sum(want.values()) > 200
+
+
 def test_suffix_dedup(spark, docs, none):
     def brute(data):
         first, out = {}, {}
