@@ -5,7 +5,8 @@ ignores the others, so a substituted token at an ignored place does not change t
 benchmark items are joined; each hit fixes an alignment (document position minus item position), and the alignment is
 verified: some ``WINDOW`` aligned tokens must hold at least ``NEEDED`` equal ones. The masks read each pair of the four
 blocks of tokens 0-2, 3-5, 7-9 and 10-12. Two substitutions touch two blocks at most, so every window that passes the
-verification is found.
+verification is found. Items of fewer than ``SPAN`` tokens are joined whole: documents also have a hash of every run of
+each such length that occurs, and all tokens of the item must be equal.
 
 Distribution: the search reads documents once and shuffles no text. Seeds of the benchmark are broadcast when their counted
 bytes are within ``BROADCAST_BYTES``; otherwise the same join runs as a shuffled one. Items with equal tokens are
@@ -13,8 +14,8 @@ searched once. Hits are collapsed to distinct alignments, with partial aggregati
 passage that a third of all documents share costs one row per document. Texts of documents with hits are then read
 again for the verification; the list of those is broadcast only when it is small.
 
-Defined cases: null and empty texts, and texts or items of fewer than ``SPAN`` tokens, match nothing; repeated rows each
-get the result of their text; ties between items go to the smallest item_id; empty tables give no matches; a null
+Defined cases: null texts and texts without a token match nothing; an item of fewer than ``SPAN`` tokens matches the
+documents that hold it whole, however short they are; repeated rows each get the result of their text; ties between items go to the smallest item_id; empty tables give no matches; a null
 item_id is kept as null. Extra columns are carried in a struct and cannot clash.
 """
 
@@ -34,11 +35,15 @@ SPAN = 13
 WINDOW = 13
 NEEDED = 11
 BROADCAST_BYTES = 64 << 20
+#: Characters of scripts that put no spaces between words (Thai, Lao, Tibetan, Burmese, Khmer and their neighbours, kana,
+#: Han, Yi); each is a token.
+UNSEGMENTED = r"[\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u1950-\u19FF\u1A20-\u1AAF\u1B00-\u1B7F\u2E80-\u2FDF\u3005-\u3007\u3040-\u312F\u31A0-\u31BF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uA000-\uA4CF\uA980-\uA9FF\uAA60-\uAADF\uF900-\uFAFF\uFF66-\uFF9F\x{1AFF0}-\x{1B16F}\x{20000}-\x{3FFFF}]"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs without ASCII white space, controls or punctuation."""
-    return F.array_remove(F.split(F.lower(text_of(text)), r"[\x00-/:-@\[-`{-\x7F]+"), "")
+    """Lower-case runs without ASCII white space, controls or punctuation, and single characters of unsegmented scripts."""
+    spaced = F.regexp_replace(F.lower(text_of(text)), f"({UNSEGMENTED})", " $1 ")
+    return F.array_remove(F.split(spaced, r"[\x00-/:-@\[-`{-\x7F]+"), "")
 
 
 def _blocks(mask: str) -> list[tuple[int, int]]:
@@ -46,15 +51,21 @@ def _blocks(mask: str) -> list[tuple[int, int]]:
     return [(m.start(), len(m[0])) for m in re.finditer("1+", mask)]
 
 
-def _seeds(words: str, at: str) -> Column:
-    """One hash for each mask at a position counted from 0; ``words`` names an array of token hashes."""
-    each = [F.xxhash64(F.lit(k), *[F.slice(words, F.col(at) + (i + 1), n) for i, n in _blocks(mask)]) for k, mask in enumerate(MASKS)]
-    return F.array(*each)
+def _whole(words: str, at: str, n: Column) -> Column:
+    """The hash of all of ``n`` tokens from a position on."""
+    return F.xxhash64(F.lit("whole"), F.slice(words, F.col(at) + 1, n))
 
 
-def _positions(words: str) -> Column:
-    """All positions from which a whole mask fits."""
-    n = F.size(words) - SPAN
+def _seeds(words: str, at: str, lengths: list[int]) -> Column:
+    """One hash for each mask and each length of a run at a position counted from 0, null where it does not fit; ``words`` names an array of token hashes."""
+    left = F.size(words) - F.col(at)
+    each = [F.when(left >= SPAN, F.xxhash64(F.lit(k), *[F.slice(words, F.col(at) + (i + 1), n) for i, n in _blocks(mask)])) for k, mask in enumerate(MASKS)]
+    return F.array(*each, *[F.when(left >= n, _whole(words, at, F.lit(n))) for n in lengths])
+
+
+def _positions(words: str, span: int = SPAN) -> Column:
+    """All positions from which ``span`` tokens fit."""
+    n = F.size(words) - span
     return F.when(n >= 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
 
 
@@ -63,36 +74,44 @@ def _hashed(words: Column) -> Column:
 
 
 def best_window(doc_words: Column, item_words: Column, diagonal: Column) -> Column:
-    """Most equal tokens in any WINDOW tokens of an alignment (item token i beside document token i + diagonal)."""
+    """Most equal tokens in any WINDOW tokens, or all of a shorter item, of an alignment (item token i beside document token i + diagonal)."""
+    window = F.least(F.size(item_words), F.lit(WINDOW))
     first, last = F.greatest(-diagonal, F.lit(0)), F.least(F.size(item_words), F.size(doc_words) - diagonal)
     same = F.transform(F.sequence(first, last - 1), lambda i: (F.get(doc_words, i + diagonal) == F.get(item_words, i)).cast("int"))
-    sums = F.transform(F.sequence(F.lit(1), last - first - WINDOW + 1), lambda k: F.aggregate(F.slice(same, k, WINDOW), F.lit(0), lambda a, x: a + x))
-    return F.when(last - first >= WINDOW, F.array_max(sums)).otherwise(0)
+    sums = F.transform(F.sequence(F.lit(1), last - first - window + 1), lambda k: F.aggregate(F.slice(same, k, window), F.lit(0), lambda a, x: a + x))
+    return F.when(last - first >= window, F.array_max(sums)).otherwise(0)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", key: Column, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Verified matches: doc_key, item_id, equal (tokens of the best window); a row per document and item."""
     items = benchmark.select(benchmark[item_col].alias("item_id"), tokens(benchmark[item_text_col]).alias("item_tokens"))
     same = stored(items.groupBy(F.xxhash64("item_tokens").alias("item_key"), "item_tokens").agg(F.min("item_id").alias("item_id")), "benchmark")
-    same = same.filter(F.size("item_tokens") >= SPAN)
-    seeds = same.withColumn("item_words", _hashed(F.col("item_tokens"))).withColumn("item_at", F.explode(_positions("item_words")))
-    seeds = stored(seeds.select("item_key", "item_at", F.explode(_seeds("item_words", "item_at")).alias("seed")), "benchmark-seeds")
+    words = same.filter(F.size("item_tokens") > 0).select("item_key", _hashed(F.col("item_tokens")).alias("item_words"), (F.size("item_tokens") < SPAN).alias("short"))
+    lengths = sorted(r[0] for r in words.filter("short").select(F.size("item_words")).distinct().collect())  # fewer than SPAN numbers
+    masked = words.filter("NOT short").withColumn("item_at", F.explode(_positions("item_words")))
+    masked = masked.select("item_key", "short", "item_at", F.explode(_seeds("item_words", "item_at", [])).alias("seed"))
+    whole = words.filter("short").withColumn("item_at", F.lit(0))
+    whole = whole.select("item_key", "short", "item_at", _whole("item_words", "item_at", F.size("item_words")).alias("seed"))
+    seeds = stored(masked.unionByName(whole), "benchmark-seeds")
     n_bytes = seeds.count() * 64
 
     texts = docs.select(key.alias("doc_key"), _hashed(tokens(docs[text_col])).alias("words"))
-    spots = texts.select("doc_key", "words", F.explode(_positions("words")).alias("at"))
-    hits = spots.select("doc_key", "at", F.explode(_seeds("words", "at")).alias("seed")).join(F.broadcast(seeds) if n_bytes <= broadcast_bytes else seeds, "seed")
-    aligned = stored(hits.select("doc_key", "item_key", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct(), "alignments")
+    spots = texts.select("doc_key", "words", F.explode(_positions("words", min([SPAN, *lengths]))).alias("at"))
+    hits = spots.select("doc_key", "at", F.explode(_seeds("words", "at", lengths)).alias("seed")).join(F.broadcast(seeds) if n_bytes <= broadcast_bytes else seeds, "seed")
+    # All tokens of a short item are in its hash, so its first place in a document stands for the others.
+    diagonal = F.col("at") - F.col("item_at")
+    places = hits.groupBy("doc_key", "item_key", F.when(~F.col("short"), diagonal).alias("place")).agg(F.min(diagonal).alias("diagonal"))
+    aligned = stored(places.drop("place"), "alignments")
 
     # The texts of the hits: only these are split again.
     few = (aligned.agg(F.count(F.lit(1)) * 64).first()[0] or 0) <= broadcast_bytes
     hit_docs = aligned.select("doc_key").distinct()
     hit_texts = docs.select(key.alias("doc_key"), text_of(docs[text_col]).alias("content"))
     hit_texts = hit_texts.join(F.broadcast(hit_docs) if few else hit_docs, "doc_key", "left_semi").dropDuplicates(["doc_key"])
-    words = same.select("item_key", _hashed(F.col("item_tokens")).alias("item_words"))
     pairs = aligned.join(hit_texts.select("doc_key", _hashed(tokens(F.col("content"))).alias("words")), "doc_key").join(words, "item_key")
-    scored = pairs.select("doc_key", "item_key", best_window(F.col("words"), F.col("item_words"), F.col("diagonal")).alias("equal"))
-    verified = scored.groupBy("doc_key", "item_key").agg(F.max("equal").alias("equal")).filter(F.col("equal") >= NEEDED)
+    enough = F.when(F.col("short"), F.size("item_words")).otherwise(NEEDED)
+    scored = pairs.select("doc_key", "item_key", best_window(F.col("words"), F.col("item_words"), F.col("diagonal")).alias("equal"), enough.alias("enough"))
+    verified = scored.filter("equal >= enough").groupBy("doc_key", "item_key").agg(F.max("equal").alias("equal"))
     return verified.join(same.select("item_key", "item_id"), "item_key").select("doc_key", "item_id", "equal")
 
 

@@ -153,6 +153,19 @@ def test_decontamination_finds_all_substitutions(spark):
     assert found == want and sum(want.values()) > 200
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_decontamination_of_short_and_unsegmented_items(spark, limit):
+    han = "天地玄黄宇宙洪荒日月盈昃辰宿列张"
+    bench = spark.createDataFrame([(1, "Who wrote it?"), (2, "a b c d e f g h i j k l"), (3, han), (4, "ฉันรักแมว"), (5, "..."), (6, "Yes")], "item_id long, text string")
+    texts = [
+        "who wrote it", "so, WHO wrote it -- and when", "who wrote that", "a b c d e f g h i j k l", "a b c d e f g h i j k x", "前言" + han + "后记",
+        han[:3] + "人" + han[4:9] + "人" + han[10:], han[:10], "เพราะฉันรักแมวมาก", "ฉันรักหมา", "yes yes who wrote it", "", None,
+    ]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc.doc_id: (r.item_id, r.n_items, r.equal) for r in decontaminate.decontaminate(d, bench, broadcast_bytes=limit).collect() if r.contaminated}
+    assert got == {0: (1, 1, 3), 1: (1, 1, 3), 3: (2, 1, 12), 5: (3, 1, 13), 6: (3, 1, 11), 8: (4, 1, 9), 10: (1, 2, 3)}
+
+
 def test_suffix_dedup(spark, docs, none):
     def brute(data):
         first, out = {}, {}
