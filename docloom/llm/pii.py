@@ -1,8 +1,8 @@
 """Operator 7: personal data by a linear-chain CRF over word-shape features, beside the base patterns.
 
 The CRF is trained on ``LABELLED``, a small table of labelled lines, and decoded by Viterbi in numpy batches. Its
-sequences are the runs of tokens that lie at most ``REACH`` tokens from one with a digit or an at sign: elsewhere the
-label is O by construction, as every kind holds such a token. Whole texts are read. Spans that the CRF finds and that
+sequences are the runs of tokens that lie at most ``REACH`` tokens from one with a digit or an at sign, or from an address
+with the word "at" in brackets: elsewhere the label is O by construction, as every kind holds such a token. Whole texts are read. Spans that the CRF finds and that
 touch no base span are added under their own kinds; base spans always stay.
 
 Distribution: the model is a few thousand numbers, trained on the driver from the table in this module; the scan is one
@@ -50,6 +50,12 @@ write to/O jane/E (at)/E mail/E dot/E com/E soon/O
 contact bob.smith/E [at]/E example.org/E now/O
 mail me:/O info/E (at)/E shop.net/E thanks/O
 reach a.b/E [at]/E uni.edu/E for/O help/O
+jane/E (at)/E mail/E dot/E com/E
+bob.smith/E [at]/E example.org/E
+ask/O ann/E (/E at/E )/E post/E dot/E org/E please/O
+kim/E [/E at/E ]/E web.net/E
+mail/O sales/E (at)/E firm/E dot/E co/E dot/E uk/E today/O
+lee/E (/E at/E )/E home/E dot/E com/E
 his ssn is/O 123-45-6789/N and/O
 ssn:/O 987-65-4321/N on/O file/O
 number 078-05-1120/N was/O used/O
@@ -87,13 +93,17 @@ mail/O someone@example.com/O or/O call/O +1/O
 REACH = 3
 WIDTH = 1 << 12
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+#: The middle and the end of a written-out address.
+AT, REST = r"[(\[]\s*at\s*[)\]]", r"\s*[\w.-]+(\s+dot\s+\w+)*"
 #: A span of the CRF must also look like one, so that a few labelled lines cannot mark clean documents.
 CHECKS = {
-    1: re.compile(r"[\w.+-]+\s*[(\[]\s*at\s*[)\]]\s*[\w.-]+(\s+dot\s+\w+)*", re.I),
+    1: re.compile(rf"[\w.+-]+\s*{AT}{REST}", re.I),
     2: re.compile(r"(\([0-9]{3}\)\s*|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}"),
     3: re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
     4: re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"),
 }
+#: Every span of ``CHECKS`` holds one of these; after the word "at" the rest of the address belongs to it.
+MARK = re.compile(rf"[0-9@]|{AT}(?:{REST})?", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -181,36 +191,37 @@ def trained(rows: list[tuple[list[str], list[int]]] | None = None, rounds: int =
     return theta[:-k], theta[-k:]
 
 
+def _reach(text: str, at: int) -> int:
+    """The end of the last token that lies more than REACH tokens before the one at a position."""
+    for _ in range(REACH + 1):
+        while at > 0 and not text[at - 1].isspace():
+            at -= 1
+        while at > 0 and text[at - 1].isspace():
+            at -= 1
+    return at
+
+
 def sequences(text: str) -> list[tuple[list[str], list[int]]]:
-    """Tokens and their starts, in runs near a token with a digit or an at sign (or the word "at" in brackets)."""
-    marks = [m.start() for m in re.finditer(r"[0-9@]|[(\[]at[)\]]", text)]
+    """Tokens and their starts, in runs near a token with a digit or an at sign or near an address with "at" in brackets."""
+    marks = [m.span() for m in MARK.finditer(text)]
     out: list[tuple[list[str], list[int]]] = []
-    done = -1
     k = 0
     while k < len(marks):
-        at = marks[k]
-        left = at  # REACH tokens before
-        for _ in range(REACH + 1):
-            while left > 0 and not text[left - 1].isspace():
-                left -= 1
-            while left > 0 and text[left - 1].isspace():
-                left -= 1
-        left = max(left, done + 1)
-        tokens, starts, since, stop = [], [], 0, left
+        at = marks[k][0]
+        left = _reach(text, at)
+        tokens, starts, since, held = [], [], 0, 0
         for m in TOKEN.finditer(text, left):
             tokens.append(m[0])
             starts.append(m.start())
             stop = m.end()
-            while k < len(marks) and marks[k] < stop:
+            while k < len(marks) and marks[k][0] < stop:
+                held = marks[k][1]
                 k, since = k + 1, -1
-            since += 1
-            if m.end() > at and since >= REACH:
+            since = 0 if m.start() < held else since + 1
+            # Runs that would share tokens are one run, so that none is cut before its mark.
+            if stop > at and since >= REACH and not (k < len(marks) and _reach(text, marks[k][0]) < stop):
                 break
-        done = stop
-        if tokens:
-            out.append((tokens, starts))
-        while k < len(marks) and marks[k] < stop:
-            k += 1
+        out.append((tokens, starts))
     return out
 
 
@@ -240,6 +251,8 @@ def tagger(weights: np.ndarray, trans: np.ndarray):
                     first = int(ends[k] - lengths[k])
                     start, stop = starts[a - first], starts[b - 1 - first] + len(tokens[b - 1 - first])
                     for m in CHECKS[label].finditer(values[owners[k]], start, stop):
+                        if label == 1:  # whole, also where the chain leaves it before its last part
+                            m = CHECKS[label].match(values[owners[k]], m.start())
                         if not any(x < m.end() and m.start() < y for _, x, y in found[owners[k]]):
                             found[owners[k]].append((len(KINDS) + label - 1, m.start(), m.end()))
         return [pa.array([[{"kind": k, "start": a, "stop": b} for k, a, b in sorted(spans)] for spans in found], _SPAN)]
