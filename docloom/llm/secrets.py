@@ -3,15 +3,17 @@
 Each text is scanned for the base kinds (assign, access, hex) and for other random-looking tokens. All candidates are
 hashed, and the hashes are aggregated over the corpus by distinct repositories and owners (here: documents and their
 ``source``). A candidate that several owners hold is a copied example; one that stays with an owner in few repositories
-looks live. The base spans always stay; random-looking tokens are added, as kind ``token``, when they look live.
+looks live. The base spans always stay; random-looking tokens are added, as kind ``token``: those that look live beside
+the base spans, the others as examples. Every span says whether it looks live.
 
 Distribution: the scan is one map over Arrow batches whose result, a few numbers a document, is written to the shared
-folder. Ownership is counted in three aggregations, each combined before it moves: distinct (hash, owner, repository),
-then per (hash, owner), then per hash; a hash in a third of all documents is a third of the rows only of the first one,
-whose key is even. Verdicts are joined back by hash, where adaptive execution splits hot hashes.
+folder. Ownership is counted in four aggregations, each combined before it moves: distinct (hash, owner, text), then
+distinct (hash, owner, repository), then per (hash, owner), then per hash; a hash in a third of all documents is a third
+of the rows only of the first two, whose keys are even. Verdicts are joined back by hash, where adaptive execution splits hot hashes.
 
 Defined cases: null and empty texts have no spans; a null owner counts as an owner of its own, a null identifier as a
-repository of its own; repeated rows are scanned each but count as one repository; an empty table gives an empty result.
+repository of its own; repeated rows are scanned each but count as one repository, as do an owner's repositories with
+the same text, under the smallest identifier; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -87,30 +89,33 @@ def scan(docs: DataFrame, *, text_col: str = "text", carry: list[str] | None = N
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """hash, owner, repository -> hash, owners, repositories (distinct, over the corpus)."""
-    once = candidates.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one"))
+    """hash, owner, repository, text (its digest) -> hash, owners, repositories (distinct, over the corpus; an owner's copies of a text count once)."""
+    texts = candidates.groupBy("hash", "owner", "text").agg(F.min("repository").alias("repository"))
+    once = texts.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one"))
     by_owner = once.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
     return by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
 
 
 def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
-    """A row per document: doc, found (spans with kind, start, stop, owners, repositories, live), sorted by start and kind.
+    """A row per document: doc, found and examples (spans with kind, start, stop, owners, repositories, live), sorted by start and kind.
 
-    Loose tokens that do not look live are left out of ``found``.
+    ``found`` holds the base spans and the loose tokens that look live, ``examples`` the other loose tokens.
     """
     carried = carry or docs.columns
-    held = docs.withColumns({"__owner": docs[owner_col], "__repository": docs[repository_col]})
-    scanned = scan(held, text_col=text_col, carry=[*carried, "__owner", "__repository"]).withColumn("row", F.monotonically_increasing_id())
+    held = docs.withColumns({"__owner": docs[owner_col], "__repository": docs[repository_col], "__text": F.sha2(docs[text_col].cast("binary"), 256)})
+    scanned = scan(held, text_col=text_col, carry=[*carried, "__owner", "__repository", "__text"]).withColumn("row", F.monotonically_increasing_id())
     scanned = stored(scanned, "secrets")
-    each = scanned.filter(F.size("found") > 0).select("row", F.col("doc.__owner").alias("owner"), F.col("doc.__repository").alias("repository"), F.explode("found").alias("at"))
-    each = each.select("row", "owner", "repository", "at.*")
+    each = scanned.filter(F.size("found") > 0).select("row", F.col("doc.__owner").alias("owner"), F.col("doc.__repository").alias("repository"), F.col("doc.__text").alias("text"), F.explode("found").alias("at"))
+    each = each.select("row", "owner", "repository", "text", "at.*")
     counts = stored(ownership(each), "ownership")
     live = (F.col("owners") <= LIVE_OWNERS) & (F.col("repositories") <= LIVE_REPOSITORIES)
-    judged = each.join(counts, "hash").withColumn("live", live).filter(F.col("live") | (F.col("kind") < len(KINDS)))
+    judged = each.join(counts, "hash").withColumn("live", live)
     spans = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "owners", "repositories", "live"))).alias("found"))
     doc = F.struct(*[F.col("doc").getField(c).alias(c) for c in carried]).alias("doc")
     none = F.array().cast(spans.schema["found"].dataType)
-    return scanned.drop("found").join(spans, "row", "left").select(doc, F.coalesce("found", none).alias("found"))
+    every = scanned.drop("found").join(spans, "row", "left").select(doc, F.coalesce("found", none).alias("every"))
+    example = lambda s: ~s["live"] & (s["kind"] >= len(KINDS))
+    return every.select("doc", F.filter("every", lambda s: ~example(s)).alias("found"), F.filter("every", example).alias("examples"))
 
 
 def joined_spans(spans, kinds: tuple[str, ...]):
@@ -121,6 +126,7 @@ def joined_spans(spans, kinds: tuple[str, ...]):
 
 def query(spark, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    found = found.select("doc", F.array_sort(F.concat("found", "examples")).alias("found"))
     base = F.filter("found", lambda s: s["kind"] < len(KINDS))
     n = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select(
@@ -128,6 +134,7 @@ def query(spark, sf_dir: str) -> DataFrame:
         *n,
         F.sha2(joined_spans(base, KINDS).cast("binary"), 256).alias("base_sha256"),
         joined_spans(F.col("found"), (*KINDS, "token")).alias("spans"),
+        F.array_join(F.transform("found", lambda s: F.when(s["live"], "live").otherwise("example")), ",").alias("classes"),
         F.size(F.filter("found", lambda s: s["live"])).cast("long").alias("n_live"),
         F.size(F.filter("found", lambda s: ~s["live"])).cast("long").alias("n_example"),
     )

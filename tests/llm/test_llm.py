@@ -247,6 +247,21 @@ def test_secrets(spark, docs, none):
     assert secrets.find_secrets(docs).count() == len(rows()) and secrets.find_secrets(none).count() == 0
 
 
+def test_secrets_returns_examples_and_counts_copies_once(spark, tmp_path):
+    copied, spread, shared, base = "Zx81kQ0p7LmN3vTt92Rb", "Qw81kE0p7RmN3yTt92Ub", "Pw71kE0p6RmN2yTt83Vb", "0123456789abcdef01234567"
+    data = [(i, f"key {copied}", "a") for i in range(6)] + [(10 + i, f"{i}: {spread} {base}", "a") for i in range(4)]
+    data += [(20, shared, "a"), (21, shared, "b"), (22, shared, None), (30, None, "a")]
+    spark.createDataFrame(data, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    d = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc.doc_id: (r.found, r.examples) for r in secrets.find_secrets(d).collect()}
+    assert all([(s.owners, s.repositories, s.live) for s in got[i][0]] == [(1, 1, True)] and got[i][1] == [] for i in range(6))
+    assert all([(s.kind, s.live) for s in got[10 + i][0]] == [(2, False)] and [(s.owners, s.repositories, s.live) for s in got[10 + i][1]] == [(1, 4, False)] for i in range(4))
+    assert all(got[i][0] == [] and [(s.owners, s.repositories) for s in got[i][1]] == [(3, 3)] for i in (20, 21, 22)) and got[30] == ([], [])
+    rows_ = {r.doc_id: r for r in secrets.query(spark, str(tmp_path)).collect()}
+    assert (rows_[10].spans, rows_[10].classes, rows_[10].n_live, rows_[10].n_example) == ("token:3:23,hex:24:48", "example,example", 0, 2)
+    assert (rows_[0].spans, rows_[0].classes, rows_[20].classes, rows_[30].classes) == ("token:4:24", "live", "example", "")
+
+
 def _fold(i):
     return zlib.crc32(str(i).encode()) % 3 == 1
 
