@@ -37,7 +37,11 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lower = [(t or "").lower() for t in texts]
     codes = np.frombuffer(("  ".join(lower) + "  ").encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.array([len(t) + 2 for t in lower])
-    letters = np.where(codes < 1 << 16, _letter[np.minimum(codes, (1 << 16) - 1)], True)
+    letters = _letter[np.minimum(codes, (1 << 16) - 1)]  # U+FFFF is no letter
+    high = codes >= 1 << 16
+    if high.any():
+        distinct, at = np.unique(codes[high], return_inverse=True)
+        letters[high] = np.array([chr(c).isalpha() for c in distinct])[at]
     c = np.where(letters, codes, 32).astype(np.uint64)
     two = c[:-1] << np.uint64(21) | c[1:]
     c, two = c[:-2], two[:-1]

@@ -292,6 +292,14 @@ def test_classifiers_without_examples(spark, docs, none):
         assert score(docs, model).count() == len(rows()) and score(none, model).count() == 0
 
 
+def test_language_of_texts_with_astral_symbols():
+    model = langid.train([("the cat sat", "en"), ("der hund lief", "de")] * 5)
+    texts = ["\U0001f600\U0001f601", "\U0001d7d8 \U0001f600 12", "\U00020000\U00010400", "the \U0001f600 cat", "\U0001f600"]
+    names, scores = (x.to_pylist() for x in model(pa.array(texts)))
+    assert [n == "und" for n in names] == [s == 0 for s in scores] == [not any(c.isalpha() for c in t) for t in texts] == [True, True, False, False, True]
+    assert model(pa.array(["the cat"]))[0].to_pylist() == ["en"]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
