@@ -82,10 +82,22 @@ def best_window(doc_words: Column, item_words: Column, diagonal: Column) -> Colu
     return F.when(last - first >= window, F.array_max(sums)).otherwise(0)
 
 
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    tokens_of = tokens(benchmark[item_text_col])
+    return benchmark.select(benchmark[item_col].alias("item_id"), tokens_of.alias("item_tokens")).withColumn("item_key", F.xxhash64("item_tokens"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", key: Column, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Verified matches: doc_key, item_id, equal (tokens of the best window); a row per document and item."""
-    items = benchmark.select(benchmark[item_col].alias("item_id"), tokens(benchmark[item_text_col]).alias("item_tokens"))
-    same = stored(items.groupBy(F.xxhash64("item_tokens").alias("item_key"), "item_tokens").agg(F.min("item_id").alias("item_id")), "benchmark")
+    """Verified matches: doc_key, item_id, equal (tokens of the best window); a row per document and item, also of items with equal tokens."""
+    found = distinct_matches(docs, benchmark, text_col=text_col, item_col=item_col, item_text_col=item_text_col, key=key, broadcast_bytes=broadcast_bytes)
+    members = _items(benchmark, item_col, item_text_col).select("item_key", "item_id").distinct()
+    return found.drop("item_id").join(members, "item_key").groupBy("doc_key", "item_id").agg(F.max("equal").alias("equal"))
+
+
+def distinct_matches(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", key: Column, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Verified matches: doc_key, item_key, item_id (the smallest), equal; a row per document and class of items with equal tokens."""
+    items = _items(benchmark, item_col, item_text_col)
+    same = stored(items.groupBy("item_key", "item_tokens").agg(F.min("item_id").alias("item_id")), "benchmark")
     words = same.filter(F.size("item_tokens") > 0).select("item_key", _hashed(F.col("item_tokens")).alias("item_words"), (F.size("item_tokens") < SPAN).alias("short"))
     lengths = sorted(r[0] for r in words.filter("short").select(F.size("item_words")).distinct().collect())  # fewer than SPAN numbers
     masked = words.filter("NOT short").withColumn("item_at", F.explode(_positions("item_words")))
@@ -112,7 +124,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", it
     enough = F.when(F.col("short"), F.size("item_words")).otherwise(NEEDED)
     scored = pairs.select("doc_key", "item_key", best_window(F.col("words"), F.col("item_words"), F.col("diagonal")).alias("equal"), enough.alias("enough"))
     verified = scored.filter("equal >= enough").groupBy("doc_key", "item_key").agg(F.max("equal").alias("equal"))
-    return verified.join(same.select("item_key", "item_id"), "item_key").select("doc_key", "item_id", "equal")
+    return verified.join(same.select("item_key", "item_id"), "item_key").select("doc_key", "item_key", "item_id", "equal")
 
 
 def _key(docs: DataFrame, id_col: str, text_col: str) -> Column:
@@ -122,9 +134,12 @@ def _key(docs: DataFrame, id_col: str, text_col: str) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """A row per document: doc (struct of the carried columns), contaminated, n_items, item_id and equal of the best match."""
+    """A row per document: doc (struct of the carried columns), contaminated, n_items, item_id and equal of the best match.
+
+    As in the SQL, items with equal tokens count as one in ``n_items``, under their smallest item_id; ``matches`` has them all.
+    """
     key = _key(docs, id_col, text_col)
-    found = matches(docs, benchmark, text_col=text_col, key=key, broadcast_bytes=broadcast_bytes)
+    found = distinct_matches(docs, benchmark, text_col=text_col, key=key, broadcast_bytes=broadcast_bytes)
     per_doc = stored(found.groupBy("doc_key").agg(F.count(F.lit(1)).alias("items"), F.max("equal").alias("equal"), F.max_by("item_id", F.struct("equal", -F.col("item_id"))).alias("item_id")), "leaks")
     per_doc = per_doc.select(F.col("doc_key.id").alias("id"), F.col("doc_key.h").alias("h"), F.col("doc_key.n").alias("n"), "items", "equal", "item_id")
     keyed = docs.select(F.struct(*[docs[c] for c in (carry or docs.columns)]).alias("doc"), key.alias("doc_key"))

@@ -166,6 +166,15 @@ def test_decontamination_of_short_and_unsegmented_items(spark, limit):
     assert got == {0: (1, 1, 3), 1: (1, 1, 3), 3: (2, 1, 12), 5: (3, 1, 13), 6: (3, 1, 11), 8: (4, 1, 9), 10: (1, 2, 3)}
 
 
+def test_decontamination_matches_have_every_item(spark):
+    text = " ".join(f"w{i}" for i in range(15))
+    bench = spark.createDataFrame([(1, text), (2, text.upper()), (3, text.replace(" ", ", ")), (3, text), (4, text + " more"), (5, "none of it"), (None, text)], "item_id long, text string")
+    d = spark.createDataFrame([(1, "so " + text), (2, "nothing here")], "doc_id long, text string")
+    got = [(r.doc_key, r.item_id, r.equal) for r in decontaminate.matches(d, bench, key=F.col("doc_id")).collect()]
+    assert sorted(got, key=str) == [(1, 1, 13), (1, 2, 13), (1, 3, 13), (1, 4, 13), (1, None, 13)]
+    assert [(r.n_items, r.item_id) for r in decontaminate.decontaminate(d, bench).filter("contaminated").collect()] == [(2, 1)]
+
+
 def test_suffix_dedup(spark, docs, none):
     def brute(data):
         first, out = {}, {}
