@@ -5,12 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed by the query contracts: a word is a run of bytes that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Most bytes of text that a sample for training brings to the driver.
+SAMPLE_BYTES = 128 << 20
+
 _own_scratch: list[str] = []
 
 
@@ -18,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_struct(df: DataFrame, carry: list[str] | None = None) -> Column:
+    """The carried columns (all by default) as one struct, so that no name clashes; names may hold dots or backticks."""
+    quoted = ["`" + c.replace("`", "``") + "`" for c in (carry or df.columns)]
+    return F.struct(*[F.col(c) for c in quoted])
+
+
 def text_of(col: Column) -> Column:
     """Null texts count as empty ones."""
     return F.coalesce(col, F.lit(""))
@@ -44,6 +53,19 @@ def bounded_sample(rows: DataFrame, label_col: str, key: Column, bound: int) ->
     return rows.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < F.try_element_at(share, F.col(label_col)) * (1 << 30))
 
 
+def one_text_each(sample: DataFrame, label_col: str, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, object]]:
+    """(text, label) of a bounded sample with columns id, text and the label, in the order of identifiers.
+
+    Rows that repeat an identifier with a label count once, with their smallest text, so a repeated or missing
+    identifier adds one row however many rows have it. Texts beyond ``most_bytes`` in the order of a hash are left out.
+    """
+    once = sample.groupBy("id", label_col).agg(F.min("text").alias("text"))
+    by_hash = Window.orderBy(F.xxhash64("id", F.lit("order")), "id", label_col)  # over the sample only
+    within = once.withColumn("so_far", F.sum(F.octet_length("text").cast("long")).over(by_hash)).filter(F.col("so_far") <= most_bytes)
+    found = within.orderBy("id", "text").select("text", label_col).toArrow()
+    return list(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, bound: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
     """Texts and labels for training: bounded in number by ``bound`` per label, never from the held-out fold.
 
@@ -54,14 +76,15 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, bound: int, i
     one = one.groupBy("id").agg(F.max("y").alias("y"))
     chosen = bounded_sample(one, "y", F.col("id"), bound)
     texts = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text")).join(F.broadcast(chosen), "id")
-    found = texts.orderBy("id", "text").select("text", "y").toArrow()
-    return list(zip(found.column("text").to_pylist(), found.column("y").to_pylist(), strict=True))
+    return one_text_each(texts, "y")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; where that is unset, a temporary one, in local mode only."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own_scratch:
             _own_scratch.append(tempfile.mkdtemp(prefix="docloom-"))
         shared = f"file://{_own_scratch[0]}"

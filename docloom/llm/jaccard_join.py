@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_texts import SpanHashes, bytes_of, map_texts, mixed, pieces, words_of
-from .common import stored, table, text_of
+from .common import row_struct, stored, table, text_of
 from .components import UnionFind, components, forest
 
 NGRAM, PERCENT = 4, 85
@@ -239,18 +239,26 @@ def tree_join(sets: list[np.ndarray], percent: int, known: list[int] | None = No
 
 
 def _packed_keys(ngram: int, percent: int, buckets: int):
-    """Texts -> (bucket, keys): the keys of their sets, with the sets' names, packed by bucket."""
+    """Texts -> (bucket, kind, data): the keys of their sets with the sets' names, packed by bucket (kind 0), combined first:
+    sets that share a key here are linked here (kind 1), and only one of them goes on under that key."""
     ends = size_classes(percent)
 
     def flush(keys: list[np.ndarray], nodes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if keys:
+        # Sets of few shingles have no keys: they link with equal sets only.
+        if any(map(len, keys)):
             key, node = np.concatenate(keys), np.concatenate(nodes)
+            order = np.lexsort((node, key))  # buckets are ranges of keys
+            key, node = key[order], node[order]
+            fresh = np.append(True, key[1:] != key[:-1])
+            a, b = _linked_to_first(key, node, fresh)
+            key, node = key[fresh], node[fresh]
             bucket = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-            order = np.argsort(bucket, kind="stable")
-            key, node, bucket = key[order], node[order], bucket[order]
             cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            data = [key[a:b].tobytes() + node[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(key)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int64)), pa.array(data, pa.binary())], names=["bucket", "data"])
+            data = [key[x:y].tobytes() + node[x:y].tobytes() for x, y in zip(cuts, [*cuts[1:], len(key)], strict=True)]
+            at, kind = bucket[cuts].astype(np.int64).tolist(), [0] * len(cuts)
+            if len(a):
+                at, kind, data = [*at, at[0]], [*kind, 1], [*data, a.tobytes() + b.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "kind", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, held = [], [], 0
@@ -269,15 +277,25 @@ def _packed_keys(ngram: int, percent: int, buckets: int):
     return run
 
 
+def _linked_to_first(key: np.ndarray, node: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest that links every set with the first one of the same key, for sorted keys."""
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
+    pairs = np.unique(np.stack([node[first], node], axis=1)[node[first] != node], axis=0)
+    return forest(pairs[:, 0], pairs[:, 1]) if len(pairs) else (np.empty(0, np.int64),) * 2
+
+
 def _same_keys(group: pa.Table) -> pa.Table:
     """Links between the sets that share a key, as a forest."""
+    kinds = group.column("kind").to_pylist()
     parts = [np.frombuffer(x.as_buffer(), np.int64).reshape(2, -1) for x in group.column("data")]
-    key, node = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    first = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), np.arange(len(key)), 0))
-    pairs = np.unique(np.stack([node[first], node], axis=1)[node[first] != node], axis=0)
-    a, b = forest(pairs[:, 0], pairs[:, 1]) if len(pairs) else (np.empty(0, np.int64),) * 2
+    links = [p for p, kind in zip(parts, kinds, strict=True) if kind]
+    keyed = [p for p, kind in zip(parts, kinds, strict=True) if not kind]
+    if keyed:
+        key, node = np.concatenate(keyed, axis=1)
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        links.append(np.stack(_linked_to_first(key, node, np.append(True, key[1:] != key[:-1]))))
+    a, b = forest(*np.concatenate(links, axis=1))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -406,7 +424,7 @@ def jaccard_components(
     spark = docs.sparkSession
     limits = {} if one_task_links is None else {"one_task_links": one_task_links}
     key = F.struct(F.xxhash64(docs[id_col], text_of(docs[text_col])).alias("h"), F.crc32(text_of(docs[text_col]).cast("binary")).alias("c"))
-    keyed = docs.select(key.alias("key"), docs[id_col].alias("id"), docs[text_col].alias("text"), F.struct(*[docs[c] for c in (carry or docs.columns)]).alias("row"))
+    keyed = docs.select(key.alias("key"), docs[id_col].alias("id"), docs[text_col].alias("text"), row_struct(docs, carry).alias("row"))
     named = map_texts(keyed, "text", ["key", "id", "row"], "n bigint, node bigint", _name_work(ngram))
     rows = stored(named.select("doc.*", "n", "node").withColumn("at", F.monotonically_increasing_id()), "shingled")
 
@@ -422,7 +440,7 @@ def jaccard_components(
     # Candidates: sets that share a key.
     total = classes.agg(F.sum(F.col("n") * 0.4 + 12)).first()[0] or 0
     buckets = max(LEAST_BUCKETS, int(total * 16 // bucket_bytes) + 1)  # a set has a link in each bucket at most
-    packed = texts.join(few(copies), "key", "left_anti").select("text").mapInArrow(_packed_keys(ngram, percent, buckets), "bucket bigint, data binary")
+    packed = texts.join(few(copies), "key", "left_anti").select("text").mapInArrow(_packed_keys(ngram, percent, buckets), "bucket bigint, kind int, data binary")
     near = components(packed.groupBy("bucket").applyInArrow(_same_keys, "a bigint, b bigint"), **limits)
     near = stored(near.unionByName(near.select(F.col("component").alias("node"), "component").distinct()), "candidates")
 
@@ -443,7 +461,7 @@ def jaccard_components(
     members = members.join(sizes, "component").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     members = stored(members, "members")
     small = members.filter("blocks = 1").agg(F.sum("n")).first()[0] or 0
-    groups = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(small // (block_shingles // 4)) + 1)
+    groups = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(small // max(block_shingles // 4, 1)) + 1)
 
     def links(tasks: DataFrame) -> DataFrame:
         """tasks: key, node, known, task, part -> links among the sets of each part."""

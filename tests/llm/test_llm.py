@@ -76,6 +76,26 @@ def test_jaccard(docs, none, limits):
     assert jaccard_join.jaccard_components(none).count() == 0
 
 
+@pytest.mark.parametrize("texts", [["a b c d e f"], ["a b " * 25, "a b " * 25], ["x " * 6000], ["a b c d e", "A b c d e", "q", None, "r s t u v w"]])
+@pytest.mark.parametrize("limits", [{}, {"block_shingles": 2, "refine_sets": 0, "broadcast_rows": 0}])
+def test_jaccard_of_short_sets_only(spark, texts, limits):
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(d, **limits).select("doc.doc_id", "n_shingles", "component_id").collect()}
+    sets = [shingles(t, 4) for t in texts]
+    assert got == {i: (len(s), min((j for j, o in enumerate(sets) if o == s), default=i) if s else i) for i, s in enumerate(sets)}
+
+
+def test_jaccard_of_one_large_group(spark):
+    """Near copies of one text, each with its own change, in one partition: they share most keys."""
+    words = [f"w{k}" for k in range(120)]
+    texts = [" ".join(words[:k] + [f"own{k}"] + words[k + 1 :]) for k in range(100)] + [" ".join(f"other{j}x{k}" for k in range(90)) for j in range(20)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(d).select("doc.doc_id", "component_id").collect()}
+    sets = [shingles(t, 4) for t in texts]
+    assert all(100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) for i in range(100) for j in range(i))
+    assert got == {i: 0 if i < 100 else i for i in range(120)}
+
+
 def test_components_in_rounds(spark):
     links = [(i, i + 1) for i in range(40) if i % 10 != 9] + [(100, 100 + k) for k in range(1, 50)]
     df = spark.createDataFrame(links, "a long, b long")
