@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import row_struct
+
 #: Texts are worked on in pieces of about this many bytes, so their arrays stay in the processor's caches; one longer
 #: text is a piece of its own.
 PIECE_BYTES = 1 << 16
@@ -49,7 +51,7 @@ def pieces(batch: pa.RecordBatch, at: int, limit: int = PIECE_BYTES) -> Iterator
 
 def map_texts(docs: DataFrame, text_col: str, carry: list[str], out: str, work: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
     """A row per document: doc (struct of the carried columns) and the columns of ``out``, made by ``work`` from pieces of texts."""
-    source = docs.select(F.struct(*[docs[c] for c in carry]).alias("doc"), docs[text_col].cast("string").alias("text"))
+    source = docs.select(row_struct(docs, carry).alias("doc"), docs[text_col].cast("string").alias("text"))
     fields = T._parse_datatype_string(out).fields
     schema = T.StructType([T.StructField("doc", source.schema["doc"].dataType), *fields])
     names = [f.name for f in schema.fields]

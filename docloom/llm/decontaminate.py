@@ -26,7 +26,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_of
+from .common import row_struct, stored, table, text_of
 
 #: Every mask spans 13 tokens; 1 is a token that is read. The SQL, which is fixed, has the first ``SQL_MASKS`` of them.
 MASKS = ("1111110000000", "0000000111111", "1110000000111", "0001110111000", "1110000111000", "0001110000111")
@@ -142,7 +142,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     found = distinct_matches(docs, benchmark, text_col=text_col, key=key, broadcast_bytes=broadcast_bytes)
     per_doc = stored(found.groupBy("doc_key").agg(F.count(F.lit(1)).alias("items"), F.max("equal").alias("equal"), F.max_by("item_id", F.struct("equal", -F.col("item_id"))).alias("item_id")), "leaks")
     per_doc = per_doc.select(F.col("doc_key.id").alias("id"), F.col("doc_key.h").alias("h"), F.col("doc_key.n").alias("n"), "items", "equal", "item_id")
-    keyed = docs.select(F.struct(*[docs[c] for c in (carry or docs.columns)]).alias("doc"), key.alias("doc_key"))
+    keyed = docs.select(row_struct(docs, carry).alias("doc"), key.alias("doc_key"))
     joined = keyed.join(per_doc, keyed.doc_key.id.eqNullSafe(per_doc.id) & (keyed.doc_key.h == per_doc.h) & (keyed.doc_key.n == per_doc.n), "left")
     return joined.select("doc", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.lit(0)).cast("long").alias("n_items"), "item_id", F.coalesce("equal", F.lit(0)).alias("equal"))
 

@@ -10,6 +10,7 @@ Scoring is one map over Arrow batches of whole texts without a shuffle: per text
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; repeated rows are scored each; with no
 labelled document everything is ``und``; ties go to the first language by name; an empty table gives an empty result.
+Very long texts are read whole, each as a piece of its own. Columns are carried in a struct and cannot clash.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_texts import map_texts, mixed
-from .common import bounded_sample, held_out, table
+from .common import bounded_sample, held_out, one_text_each, table
 
 PER_LANGUAGE = 1000
 BITS = 16
@@ -95,14 +96,15 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS) -> Model:
     if not rows:
         return Model([], np.zeros((size, 0)), np.zeros(size), 1.0)
     vectors = []
-    seen = np.zeros(size)
     for text, y in rows:
         hashed = grams([text])[0]
         at, n = np.unique(hashed[hashed >= 0], return_counts=True)
-        seen[at] += 1
         vectors.append((at, n / n.sum(), languages.index(y)))
-    idf = np.log((1 + len(rows)) / (1 + seen)) + 1
     fit, rest = ([v for i, v in enumerate(vectors) if i % 5], vectors[::5]) if len(vectors) >= 5 * k else (vectors, vectors)
+    seen = np.zeros(size)
+    for at, *_ in fit:
+        seen[at] += 1
+    idf = np.log((1 + len(fit)) / (1 + seen)) + 1
     z, n = np.zeros((size, k)), np.zeros((size, k))
 
     def weights(at=slice(None)) -> np.ndarray:
@@ -133,7 +135,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
     sample = bounded_sample(rows, "lang", F.col("id"), per_language)
-    return train([(r.text, r.lang) for r in sample.orderBy("id", "text").collect()])
+    return train(one_text_each(sample, "lang"))
 
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:

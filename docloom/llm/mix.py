@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, table, text_of
+from .common import n_words, row_struct, table, text_of
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -68,7 +68,7 @@ def mix(
     """A row per document: doc (struct of the carried columns), size, source_size, target, copies (long)."""
     text, key = docs[text_col], docs[id_col].cast("string")
     rows = docs.select(
-        F.struct(*[docs[c] for c in (carry or docs.columns)]).alias("doc"),
+        row_struct(docs, carry).alias("doc"),
         F.coalesce(F.concat(F.lit("s"), docs[source_col]), F.lit("t")).alias("skey"),
         n_words(text).alias("size"),
         F.substring(F.md5(F.concat(F.coalesce(key, F.lit("")), F.lit("|"), text_of(text)).cast("binary")), 1, 16).alias("mark"),

@@ -391,7 +391,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"),
         F.xxhash64(docs[id_col], text).alias("rowkey"),
         text.alias("text"),
-        F.struct(*[docs[c] for c in (carry or docs.columns)]).alias("doc"),
+        row_struct(docs, carry).alias("doc"),
     )
     # A copy of a text with a smaller identifier loses everything; only the first of equal texts goes on.
     text_key = F.struct(F.sha2(F.col("text"), 256).alias("digest"))
