@@ -1,50 +1,64 @@
-"""Operator 4: removal of repeated byte strings by sharded induced sorting of suffixes; exact, up to 64-bit hashes.
+"""Operator 4: removal of repeated byte strings by external induced sorting of suffixes.
 
 Removed is every byte covered by a ``LENGTH``-byte string that also starts in a document with a smaller identifier.
 
 1. Every such string (a window) belongs to its anchor: the position of the smallest hash among the ``K``-byte strings in
    it. Equal windows have equal anchors at equal places, so anchors split the suffixes into shards that never share a
-   window. Anchors with a hash of the text that their windows cover are compared across documents, in packed buckets.
-   Where all documents agree on that text, the windows are decided at once.
-2. Where they differ, the texts around these anchors go to their shard. There the suffixes are sorted by induction: the
-   left-most-S suffixes are sorted, the L suffixes are induced from them through one first-in-first-out queue for each
-   byte value (a priority queue whose keys only grow), and the S suffixes from those in the same way backwards.
-   Neighbours in this order with a common prefix of ``LENGTH`` are equal windows; each run takes its smallest document.
-   A copy of a whole text is decided before all this, so a group of copies is one document here.
+   window. Anchors with equal text around them (128 bits of hashes) are a class; of a class only the smallest document
+   goes on, for the others' windows are repeats already. Copies of a whole text are set aside in the same way before.
+2. Where several classes have an anchor, the text around it goes to the anchor's shard, once a class. There the suffixes
+   are sorted by external induced sorting (``induced_sort``): recursive, with disk-backed queues of tuples that carry
+   common prefixes, in memory bounded by ``limit`` whatever the size of the shard. Neighbours with a common prefix of
+   ``LENGTH`` are equal windows; each run takes its smallest document.
 3. Decided windows return to their documents, which drop what they cover.
 
-Only ``LENGTH`` bytes count, so the first sort compares that many bytes and needs no recursion, and common prefixes are
-compared directly. The queues of a shard are bounded by the shard (``SHARD_BYTES``); what lies on disk between the
-steps is Spark's shuffle.
+Distribution: anchors travel packed. Each task first combines what it holds: of a class only its smallest document is
+sent to the class's bucket, and what the others lose is known at once, so a passage in a third of all documents is an
+entry a task. Anchors that a sample of documents finds in more than ``HOT_SHARE`` of them are compared class by class
+instead of in one bucket, and their windows go to shards one by one, by their own hash, combined first in the same way:
+no anchor fills a shard. Files of a shard lie in Spark's own local folders, as its spills do, and last as long as the task.
 
 Defined cases: null and empty texts have no bytes; texts shorter than a window lose nothing; equal identifiers count as
-one document, so repeated rows take nothing from each other; a null identifier counts as the largest; an empty table
-gives an empty result; columns are carried in a struct and cannot clash.
+one document, so repeated rows take nothing from each other; a null identifier counts as the largest (identifiers are
+numbers); an empty table gives an empty result; very long texts are read whole, each as a piece of its own; columns are
+carried in a struct and cannot clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
+import shutil
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrow_texts import BASE, SpanHashes, bytes_of, mixed, pieces
-from .common import stored, table, text_of
+from .common import row_struct, stored, table, text_of
+from .induced_sort import END, PADDING, groups, ranges, sorted_suffixes
 
 LENGTH = 50
 K = 20
 SPAN = LENGTH - K + 1  # K-byte strings in a window
 BUCKET_BYTES = 3 << 20
-SHARD_BYTES = 1 << 19
+SHARD_BYTES = 1 << 20
 CHUNK_BYTES = 2 << 20
 BROADCAST_ROWS = 1 << 20
-FLUSH_ANCHORS = 1 << 17
+FLUSH_ANCHORS = 1 << 19
+#: Items that a sort holds in memory, per queue and tape; longer texts are files.
+SORT_LIMIT = 1 << 22
+SAMPLE_DOCS, HOT_SHARE, LEAST_HOT = 8192, 1 / 400, 20
 NO_ID = (1 << 63) - 1
-_LOW = np.uint64((1 << 40) - 1)
+LOSE, ASK = 0, 1
+#: An answer: 64 bits for document, key and content, 32 more of the content, and what becomes of the windows.
+ANSWER = np.dtype([("name", "<u8"), ("check", "<u4"), ("state", "u1")])
+#: A piece of text in a shard.
+PIECE = np.dtype([("doc", "<i8"), ("row", "<i8"), ("low", "<u4"), ("size", "u1")])
 
 
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -57,7 +71,7 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 class Anchors:
-    """Anchors of all texts of ``bytes_of``: position, hash, first and last window, hash of the covered text, its text."""
+    """Anchors of all texts of ``bytes_of``: position, hash, first and last window, hash of the covered text, the text's number."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         empty = np.empty(0, np.int64)
@@ -89,41 +103,57 @@ class Anchors:
         self.content = mixed(hashes(self.low, self.high + LENGTH) + (self.at - self.low).astype(np.uint64) * BASE)
 
 
-def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
-    return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def _answer_names(doc: np.ndarray, key: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    name = mixed(mixed(mixed(doc.view(np.uint64)) ^ key) ^ content)
+    return name, (content >> np.uint64(32)).astype(np.uint32)
 
 
-def _short(values: np.ndarray, size: int) -> np.ndarray:
-    """The low bytes of 64-bit numbers, as rows of ``size`` bytes."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :size]
+def _answers(doc: np.ndarray, key: np.ndarray, content: np.ndarray, state: np.ndarray, chunks: int) -> list[tuple[int, bytes]]:
+    """Answers packed by the chunk of their document."""
+    out = np.empty(len(doc), ANSWER)
+    out["name"], out["check"] = _answer_names(doc, key, content)
+    out["state"] = state
+    chunk = np.mod(doc, chunks)
+    order = np.argsort(chunk, kind="stable")
+    out, chunk = out[order], chunk[order]
+    return [(int(chunk[x]), out[x:y].tobytes()) for x, y in ranges(groups(chunk), len(chunk))]
 
 
-def _long(data: bytes, size: int) -> np.ndarray:
-    out = np.zeros((len(data) // size, 8), np.uint8)
-    out[:, :size] = np.frombuffer(data, np.uint8).reshape(-1, size)
-    return out.view(np.uint64).reshape(-1)
+def _among(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
+    if not len(sorted_set):
+        return np.zeros(len(values), bool)
+    return sorted_set[np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)] == values
 
 
-def _groups(sorted_values: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1])) if len(sorted_values) else np.empty(0, np.int64)
+def _share(hashed: np.ndarray, parts: int) -> np.ndarray:
+    return ((hashed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _ranges(cuts: np.ndarray, n: int) -> list[tuple[int, int]]:
-    return list(zip(cuts.tolist(), [*cuts[1:].tolist(), n], strict=True)) if n else []
+def _classes(key: np.ndarray, content: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (key, content, doc) in this order, and for each whether it is the smallest document of its class."""
+    order = np.lexsort((doc, content, key))
+    key, content, doc = key[order], content[order], doc[order]
+    change = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
+    once = np.append(True, change | (doc[1:] != doc[:-1]))[: len(key)]
+    first = np.append(True, change)[: len(key)]
+    return key[once], content[once], doc[once], first[once]
 
 
-def _anchor_messages(buckets: int):
-    """(id, text) -> (bucket, data): low bytes of the key, of the content's hash, and the identifier, of distinct anchors."""
+def _anchor_messages(buckets: int, chunks: int, hot: np.ndarray):
+    """(id, text) -> (target, kind, data). Kind 0, to a bucket: key, content and document of the smallest document of each
+    class here. Kind 1, to a bucket that passes them on: answers for a chunk of documents, whose number comes first."""
 
     def packed(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        key, content, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-        bucket = _bucket(key, buckets)
+        key, content, doc, first = _classes(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        lost = ~first
+        found = [(int(k), 1, np.int64(k).tobytes() + data) for k, data in _answers(doc[lost], key[lost], content[lost], np.full(int(lost.sum()), LOSE, np.uint8), chunks)]
+        key, content, doc = key[first], content[first], doc[first]
+        bucket = _share(np.where(_among(key, hot), mixed(key ^ content), key), buckets)
         order = np.argsort(bucket, kind="stable")
         key, content, doc, bucket = key[order], content[order], doc[order], bucket[order]
-        cuts = _groups(bucket)
-        low, short = _short(key & _LOW, 5), _short(content, 6)
-        data = [np.int64(b - a).tobytes() + low[a:b].tobytes() + short[a:b].tobytes() + doc[a:b].tobytes() for a, b in _ranges(cuts, len(key))]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(data, pa.binary())], names=["bucket", "data"])
+        found += [(int(bucket[x]), 0, key[x:y].tobytes() + content[x:y].tobytes() + doc[x:y].tobytes()) for x, y in ranges(groups(bucket), len(key))]
+        target, kind, data = zip(*found, strict=True) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(target, pa.int64()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], names=["target", "kind", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -141,219 +171,244 @@ def _anchor_messages(buckets: int):
     return run
 
 
-def _compare_anchors(chunks: int):
-    """A bucket's messages -> (chunk, data): identifier, bucket and low bytes of anchors that several documents have, and
-    whether all agree on the text around (then only those that are not the smallest document) or not."""
+def _compare_anchors(chunks: int, hot: np.ndarray):
+    """A bucket's messages -> (chunk, data): answers. A class's other documents lose their windows; its smallest one asks,
+    if other classes have the anchor. Classes of hot anchors are elsewhere, so those always ask."""
 
     def run(group: pa.Table) -> pa.Table:
-        low, content, doc = [], [], []
-        for x in group.column("data"):
+        kinds = group.column("kind").to_pylist()
+        out, parts = [], []
+        for kind, x in zip(kinds, group.column("data"), strict=True):
             data = x.as_py()
-            n = int(np.frombuffer(data, np.int64, 1)[0])
-            low.append(_long(data[8 : 8 + 5 * n], 5))
-            content.append(_long(data[8 + 5 * n : 8 + 11 * n], 6))
-            doc.append(np.frombuffer(data, np.int64, n, 8 + 11 * n))
-        low, content, doc = np.concatenate(low), np.concatenate(content), np.concatenate(doc)
-        order = np.lexsort((doc, low))
-        low, content, doc = low[order], content[order], doc[order]
-        cuts = _groups(low)
-        sizes = np.diff(np.append(cuts, len(low)))
-        smallest = np.repeat(doc[cuts], sizes)
-        shared = np.repeat(doc[cuts] != doc[cuts + sizes - 1], sizes)
-        same = np.repeat(np.minimum.reduceat(content, cuts) == np.maximum.reduceat(content, cuts), sizes)
-        keep = np.flatnonzero(shared & (~same | (doc != smallest)))
-        low, doc, same = low[keep], doc[keep], same[keep]
-        chunk = np.mod(doc, chunks)
-        order = np.lexsort((low, doc, chunk))
-        low, doc, same, chunk = low[order], doc[order], same[order], chunk[order]
-        once = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]))) if len(low) else keep
-        low, doc, same, chunk = low[once], doc[once], same[once], chunk[once]
-        cuts = _groups(chunk)
-        bucket = np.uint64(group.column("bucket")[0].as_py())
-        data = [np.int64(b - a).tobytes() + np.int64(bucket).tobytes() + doc[a:b].tobytes() + _short(low[a:b], 5).tobytes() + same[a:b].astype(np.uint8).tobytes() for a, b in _ranges(cuts, len(low))]
-        return pa.table({"chunk": pa.array(chunk[cuts], pa.int64()), "data": pa.array(data, pa.binary())})
+            if kind:
+                out.append((int(np.frombuffer(data, np.int64, 1)[0]), data[8:]))
+            else:
+                n = len(data) // 24
+                parts.append((np.frombuffer(data, np.uint64, n), np.frombuffer(data, np.uint64, n, 8 * n), np.frombuffer(data, np.int64, n, 16 * n)))
+        if parts:
+            key, content, doc, first = _classes(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            cuts = groups(key)
+            sizes = np.diff(np.append(cuts, len(key)))
+            shared = np.repeat(np.minimum.reduceat(doc, cuts) != np.maximum.reduceat(doc, cuts), sizes)
+            several = np.repeat(np.add.reduceat(first, cuts, dtype=np.int64) > 1, sizes)
+            ask = first & ((shared & several) | _among(key, hot))
+            said = ask | ~first
+            out += _answers(doc[said], key[said], content[said], np.where(ask[said], ASK, LOSE).astype(np.uint8), chunks)
+        chunk, data = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"chunk": pa.array(chunk, pa.int64()), "data": pa.array(data, pa.binary())})
 
     return run
 
 
-def _resolve(buckets: int, shards: int):
-    """Texts of a chunk and the answers for it -> decided windows (by row) and texts of the undecided ones (by shard)."""
+def _stretch(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All positions of the spans, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def _of_smallest(windows: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the windows (rows of bytes) belong to the smallest document that has their content here, and which to others."""
+    _, at = np.unique(windows.view(f"V{LENGTH}")[:, 0], return_inverse=True)
+    order = np.lexsort((doc, at))
+    cuts = groups(at[order])
+    least = np.repeat(doc[order][cuts], np.diff(np.append(cuts, len(order))))
+    smallest, gone = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
+    smallest[order] = doc[order] == least
+    gone[order] = doc[order] > least
+    return smallest, gone
+
+
+def _resolve(shards: int, hot: np.ndarray):
+    """Texts of a chunk and the answers for it -> decided windows by row (kind 0) and texts of those that ask by shard (kind 1)."""
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        docs, keys, sames = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, bool)]
-        for x in answers.column("data"):
-            data = x.as_py()
-            n, bucket = np.frombuffer(data, np.int64, 2).tolist()
-            docs.append(np.frombuffer(data, np.int64, n, 16))
-            keys.append(_long(data[16 + 8 * n : 16 + 13 * n], 5) | np.uint64(bucket << 40))
-            sames.append(np.frombuffer(data, np.uint8, n, 16 + 13 * n) > 0)
-        doc, key, same = np.concatenate(docs), np.concatenate(keys), np.concatenate(sames)
-        name = mixed(mixed(doc.view(np.uint64)) ^ key)
-        order = np.argsort(name)
-        name, same = name[order], same[order]
-        out_to, out_kind, out_data, asked = [], [], [], []
+        parts = [np.frombuffer(x.as_buffer(), ANSWER) for x in answers.column("data")]
+        known = np.concatenate(parts) if parts else np.empty(0, ANSWER)
+        known = known[np.argsort(known["name"], kind="stable")]
+        name, check, state = (np.ascontiguousarray(known[c]) for c in ("name", "check", "state"))
+        ids, rows, kinds, out, asked, singles = [], [], [], [], [], []
+
+        def decided(doc: np.ndarray, row: np.ndarray, first: np.ndarray, stop: np.ndarray) -> None:
+            """Windows that start in [first, stop), given in the order of their rows."""
+            for x, y in ranges(groups(row), len(row)):
+                ids.append(int(doc[x]))
+                rows.append(int(row[x]))
+                kinds.append(0)
+                out.append(np.stack([first[x:y], stop[x:y]]).astype(np.int64).tobytes())
+
         for batch in texts.combine_chunks().to_batches() if len(name) else []:
             for piece in pieces(batch, batch.schema.get_field_index("text")):
                 data, offsets = bytes_of(piece.column("text"))
                 a = Anchors(data, offsets)
                 if not len(a.at):
                     continue
-                ids, rows = piece.column("id").to_numpy(), piece.column("rowkey").to_numpy()
-                mine = mixed(mixed(ids[a.owner].view(np.uint64)) ^ ((a.key & _LOW) | (_bucket(a.key, buckets).astype(np.uint64) << np.uint64(40))))
+                doc, row = piece.column("id").to_numpy()[a.owner], piece.column("row").to_numpy()[a.owner]
+                mine, mine_check = _answer_names(doc, a.key, a.content)
                 at = np.minimum(np.searchsorted(name, mine), len(name) - 1)
-                hit = name[at] == mine
-                done, ask = np.flatnonzero(hit & same[at]), np.flatnonzero(hit & ~same[at])
+                hit = (name[at] == mine) & (check[at] == mine_check)
                 base = offsets[a.owner]
-                cuts = _groups(a.owner[done])
-                for x, y in _ranges(cuts, len(done)):
-                    rowkey = rows[a.owner[done[x]]]
-                    out_to.append(rowkey)
-                    out_kind.append(0)
-                    out_data.append(np.stack([(a.low - base)[done[x:y]], (a.high - base)[done[x:y]] + 1]).tobytes())
-                sizes = a.high[ask] + LENGTH - a.low[ask]
-                inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                asked.append((a.key[ask], ids[a.owner[ask]], rows[a.owner[ask]], (a.low - base)[ask].astype(np.uint32), sizes, data[np.repeat(a.low[ask], sizes) + inner]))
+                done = np.flatnonzero(hit & (state[at] == LOSE))
+                decided(doc[done], row[done], (a.low - base)[done], (a.high - base)[done] + 1)
+                ask = hit & (state[at] == ASK)
+                wide, narrow = np.flatnonzero(ask & ~_among(a.key, hot)), np.flatnonzero(ask & _among(a.key, hot))
+                if len(narrow):  # window by window
+                    n = (a.high - a.low + 1)[narrow]
+                    start, which = _stretch(a.low[narrow], n), np.repeat(narrow, n)
+                    singles.append((doc[which], row[which], start - base[which], data[start[:, None] + np.arange(LENGTH)]))
+                if len(wide):
+                    sizes = a.high[wide] + LENGTH - a.low[wide]
+                    asked.append((mixed(a.key[wide]), doc[wide], row[wide], (a.low - base)[wide], sizes, data[_stretch(a.low[wide], sizes)]))
+        if singles:
+            doc, row, place, windows = (np.concatenate(x) for x in zip(*singles, strict=True))
+            smallest, gone = _of_smallest(windows, doc)
+            decided(doc[gone], row[gone], place[gone], place[gone] + 1)
+            words = np.ascontiguousarray(windows[smallest, :48]).view(np.uint64)
+            shard = mixed((words * BASE ** np.arange(1, 7, dtype=np.uint64)).sum(axis=1, dtype=np.uint64))
+            asked.append((shard, doc[smallest], row[smallest], place[smallest], np.full(len(shard), LENGTH), windows[smallest].reshape(-1)))
         if asked:
-            key, doc, rowkey, low, sizes, content = (np.concatenate(x) for x in zip(*asked, strict=True))
+            shard, doc, row, low, sizes, content = (np.concatenate(x) for x in zip(*asked, strict=True))
             begin = np.cumsum(sizes) - sizes
-            shard = (mixed(key) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+            shard = _share(shard, shards)
             order = np.argsort(shard, kind="stable")
-            shard = shard[order]
-            for x, y in _ranges(_groups(shard), len(shard)):
+            for x, y in ranges(groups(shard[order]), len(order)):
                 i = order[x:y]
-                inner = np.arange(sizes[i].sum()) - np.repeat(np.cumsum(sizes[i]) - sizes[i], sizes[i])
-                out_to.append(int(shard[x]))
-                out_kind.append(1)
-                numbers = doc[i].tobytes() + rowkey[i].tobytes() + low[i].tobytes() + sizes[i].astype(np.uint8).tobytes()
-                out_data.append(np.int64(len(i)).tobytes() + numbers + content[np.repeat(begin[i], sizes[i]) + inner].tobytes())
-        return pa.table({"target": pa.array(out_to, pa.int64()), "kind": pa.array(out_kind, pa.int32()), "data": pa.array(out_data, pa.binary())})
+                numbers = np.empty(len(i), PIECE)
+                numbers["doc"], numbers["row"], numbers["low"], numbers["size"] = doc[i], row[i], low[i], sizes[i]
+                ids.append(int(shard[i[0]]))
+                rows.append(0)
+                kinds.append(1)
+                out.append(np.int64(len(i)).tobytes() + numbers.tobytes() + content[_stretch(begin[i], sizes[i])].tobytes())
+        return pa.table({"target": pa.array(ids, pa.int64()), "row": pa.array(rows, pa.int64()), "kind": pa.array(kinds, pa.int32()), "data": pa.array(out, pa.binary())})
 
     return run
 
 
-def induced_order(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """Positions in the order of their suffixes, compared by ``depth`` bytes at least (equal ones side by side).
-
-    The suffix at the end is smaller than any other. Types: S where a suffix is smaller than the next one, else L.
-    """
-    n = len(text)
-    if n < 2:
-        return np.arange(n)
-    # S or L by the first differing byte to the right; the last position is L.
-    differs = np.flatnonzero(text[1:] != text[:-1])
-    is_s = np.zeros(n, bool)
-    rises = text[differs + 1] > text[differs]
-    runs = np.diff(np.concatenate([[-1], differs]))
-    is_s[: differs[-1] + 1 if len(differs) else 0] = np.repeat(rises, runs)
-    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    # The left-most-S suffixes, by their first bytes as big-endian words.
-    padded = np.concatenate([text, np.zeros(depth + 8, np.uint8)])
-    words = []
-    for k in range(0, depth, 8):
-        word = np.zeros(len(lms), np.uint64)
-        for b in range(8):
-            word = word << np.uint64(8) | padded[lms + k + b]
-        words.append(word)
-    lms = lms[np.lexsort(words[::-1])]
-
-    first = text[lms]
-    # The end of the text is smaller than everything and induces the last position.
-    l_queues = _induce(text, ~is_s, {int(v): lms[first == v] for v in np.unique(first)}, range(256), {int(text[-1]): [np.array([n - 1])]})
-    l_sorted = {v: np.concatenate(x) for v, x in l_queues.items()}
-    s_queues = _induce(text, is_s, {v: x[::-1] for v, x in l_sorted.items()}, range(255, -1, -1), {})
-    out = []
-    for v in range(256):
-        if v in l_sorted:
-            out.append(l_sorted[v])
-        if v in s_queues:
-            out.append(np.concatenate(s_queues[v])[::-1])
-    return np.concatenate(out)
-
-
-def _induce(text: np.ndarray, wanted: np.ndarray, seeds: dict[int, np.ndarray], values: range, queues: dict[int, list[np.ndarray]]) -> dict[int, list[np.ndarray]]:
-    """Serves one queue for each byte value in the order of ``values``, then that value's seeds.
-
-    A served suffix puts the one before it into the queue of its first byte, if its type is wanted; that byte is never
-    behind the one being served, so the queues together are a priority queue whose keys only grow.
-    """
-
-    def push(positions: np.ndarray) -> None:
-        before = positions[positions > 0] - 1
-        before = before[wanted[before]]
-        if not len(before):
-            return
-        value = text[before]
-        order = np.argsort(value, kind="stable")
-        before, value = before[order], value[order]
-        cuts = _groups(value)
-        for x, y in _ranges(cuts, len(value)):
-            queues.setdefault(int(value[x]), []).append(before[x:y])
-
-    for v in values:
-        served = 0
-        while served < len(queues.get(v, [])):
-            waiting = queues[v][served:]
-            served += len(waiting)
-            push(np.concatenate(waiting))
-        if v in seeds:
-            push(seeds[v])
-    return queues
-
-
-def smallest_documents(text: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For windows at ``starts`` (any order) the smallest document among those with equal windows."""
-    place = np.full(len(text), -1)
-    place[starts] = np.arange(len(starts))
-    order = place[induced_order(text)]
-    order = order[order >= 0]
-    at = starts[order]
-    equal = np.ones(max(len(at) - 1, 0), bool)
-    for k in range(LENGTH):  # the common prefix of neighbours
-        equal &= text[at[1:] + k] == text[at[:-1] + k]
-    cuts = np.flatnonzero(np.append(True, ~equal))
-    least = np.repeat(np.minimum.reduceat(doc[order], cuts), np.diff(np.append(cuts, len(order))))
-    out = np.empty(len(starts), np.int64)
-    out[order] = least
-    return out
-
-
-def _sort_shard(group: pa.Table) -> pa.Table:
-    """Texts around undecided anchors -> decided windows, by row."""
-    docs, rowkeys, lows, lengths, contents = [], [], [], [], []
-    for x in group.column("data"):
-        data = x.as_py()
-        n = int(np.frombuffer(data, np.int64, 1)[0])
-        docs.append(np.frombuffer(data, np.int64, n, 8))
-        rowkeys.append(np.frombuffer(data, np.int64, n, 8 + 8 * n))
-        lows.append(np.frombuffer(data, np.uint32, n, 8 + 16 * n))
-        lengths.append(np.frombuffer(data, np.uint8, n, 8 + 20 * n))
-        contents.append(np.frombuffer(data, np.uint8, offset=8 + 21 * n))
-    doc, rowkey, text = np.concatenate(docs), np.concatenate(rowkeys), np.concatenate(contents)
-    low, sizes = np.concatenate(lows).astype(np.int64), np.concatenate(lengths).astype(np.int64)
-    begin = np.cumsum(sizes) - sizes
-    windows = sizes - LENGTH + 1
-    inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    starts = np.repeat(begin, windows) + inner
-    doc, rowkey, at = np.repeat(doc, windows), np.repeat(rowkey, windows), np.repeat(low, windows) + inner
-    gone = np.flatnonzero(smallest_documents(text, starts, doc) < doc)
-    order = gone[np.lexsort((at[gone], rowkey[gone]))]
-    rowkey, at = rowkey[order], at[order]
-    cuts = _groups(rowkey)
-    data = []
-    for x, y in _ranges(cuts, len(at)):
-        edges = np.flatnonzero(np.append(True, np.diff(at[x:y]) > 1))
-        ends = np.append(at[x:y][edges[1:] - 1], at[y - 1]) + 1
-        data.append(np.stack([at[x:y][edges], ends]).tobytes())
-    return pa.table({"target": pa.array(rowkey[cuts], pa.int64()), "kind": pa.array([0] * len(cuts), pa.int32()), "data": pa.array(data, pa.binary())})
+class _Spool:
+    """Arrays one after the other: in memory, or in a file where there are more than ``limit`` items."""
+
+    def __init__(self, folder: str, limit: int, dtype: np.dtype):
+        self.path, self.limit, self.dtype = tempfile.mktemp(dir=folder), limit, np.dtype(dtype)
+        self.parts, self.held, self.written = [], 0, False
+
+    def append(self, x: np.ndarray) -> None:
+        self.parts.append(x)
+        self.held += len(x)
+        if self.held > self.limit:
+            self.flush()
+
+    def flush(self) -> None:
+        with open(self.path, "ab") as f:
+            for x in self.parts:
+                f.write(x.tobytes())
+        self.parts, self.held, self.written = [], 0, True
+
+    def whole(self) -> np.ndarray:
+        if self.written:
+            self.flush()
+            return np.memmap(self.path, self.dtype, "r")
+        return np.concatenate(self.parts) if self.parts else np.empty(0, self.dtype)
+
+
+def repeated_windows(pieces_: Iterator[tuple[np.ndarray, np.ndarray]], folder: str, limit: int = SORT_LIMIT) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pieces (numbers, text) -> blocks of document, row and place of the windows that a smaller document also has."""
+    numbers, texts = _Spool(folder, limit, PIECE), _Spool(folder, limit, np.uint8)
+    ends, n_bytes = _Spool(folder, limit, np.int64), 0
+    for n, content in pieces_:
+        numbers.append(n)
+        texts.append(content)
+        ends.append(np.cumsum(n["size"], dtype=np.int64) + n_bytes)
+        n_bytes += len(content)
+    texts.append(np.array([END] + [0] * PADDING, np.uint8))
+    numbers, ends = numbers.whole(), ends.whole()
+
+    def gone(at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, ...]:
+        piece = np.searchsorted(ends, at, "right")
+        here = np.asarray(numbers[piece])
+        doc = here["doc"]
+        cuts = groups(group)
+        least = np.repeat(np.minimum.reduceat(doc, cuts), np.diff(np.append(cuts, len(doc))))
+        lost = np.flatnonzero(doc > least)
+        begin = ends[piece[lost]] - here["size"][lost]
+        return doc[lost], here["row"][lost], here["low"][lost].astype(np.int64) + at[lost] - begin
+
+    held, least = np.empty(0, np.int64), LENGTH  # windows of the run that is still open, smallest prefix since
+    for position, prefix in sorted_suffixes(texts.whole(), folder, depth=LENGTH, limit=limit):
+        piece = np.searchsorted(ends, position, "right")
+        w = np.flatnonzero(piece < len(ends))
+        w = w[position[w] + LENGTH <= ends[piece[w]]]
+        if not len(w):
+            least = min(least, int(prefix.min()))
+            continue
+        between = np.minimum.reduceat(prefix[: w[-1] + 1], np.append(0, w[:-1] + 1))
+        between[0] = min(between[0], least)
+        least = int(prefix[w[-1] + 1 :].min(initial=LENGTH))
+        at = np.append(held, position[w])
+        fresh = np.append(np.zeros(len(held), bool), between < LENGTH)
+        last = int(np.flatnonzero(fresh)[-1]) if fresh.any() else 0
+        if last:
+            yield gone(at[:last], np.cumsum(fresh[:last]))
+        held = at[last:]
+    if len(held):
+        yield gone(held, np.zeros(len(held), np.int64))
+
+
+def _sort_shard(limit: int):
+    """Texts around anchors that ask -> decided windows, by row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in batches:
+                for x in batch.column(batch.schema.get_field_index("data")):
+                    data = x.as_buffer()
+                    n = int(np.frombuffer(data, np.int64, 1)[0])
+                    yield np.frombuffer(data, PIECE, n, 8), np.frombuffer(data, np.uint8, offset=8 + n * PIECE.itemsize)
+
+        folder = tempfile.mkdtemp(prefix="docloom-", dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
+        try:
+            for doc, row, at in repeated_windows(each(), folder, limit):
+                order = np.lexsort((at, row, doc))
+                doc, row, at = doc[order], row[order], at[order]
+                ids, rows, data = [], [], []
+                cuts = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]))[: len(doc)])
+                for x, y in ranges(cuts, len(at)):
+                    edges = np.flatnonzero(np.append(True, np.diff(at[x:y]) > 1))
+                    stops = np.append(at[x:y][edges[1:] - 1], at[y - 1]) + 1
+                    ids.append(int(doc[x]))
+                    rows.append(int(row[x]))
+                    data.append(np.stack([at[x:y][edges], stops]).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(data, pa.binary())], names=["target", "row", "data"])
+        finally:
+            shutil.rmtree(folder, ignore_errors=True)
+
+    return run
+
+
+def _anchor_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct anchors of each text."""
+    for batch in batches:
+        for piece in pieces(batch, 0):
+            a = Anchors(*bytes_of(piece.column(0)))
+            order = np.lexsort((a.key, a.owner))
+            key, owner = a.key[order], a.owner[order]
+            once = np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))[: len(key)]
+            yield pa.RecordBatch.from_arrays([pa.array(key[once].view(np.int64))], names=["key"])
+
+
+def hot_anchors(rows: DataFrame, n_rows: int, sample_docs: int = SAMPLE_DOCS, share: float = HOT_SHARE, least: int = LEAST_HOT) -> np.ndarray:
+    """Anchors in at least this share of a sample of the texts; a sample has few of those. They only steer the distribution."""
+    sample = rows.filter(F.pmod(F.xxhash64("id", "row"), F.lit(1 << 30)) < int(min(1.0, sample_docs / max(n_rows, 1)) * (1 << 30)))
+    most = max(least, int(min(n_rows, sample_docs) * share))
+    found = sample.select("text").mapInArrow(_anchor_keys, "key bigint").groupBy("key").count().filter(F.col("count") >= most)
+    return np.sort(found.select("key").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _remove(texts: pa.Table, windows: pa.Table) -> pa.Table:
     """Rows of a chunk and their decided windows -> what is left of each."""
-    by_row: dict[int, list[np.ndarray]] = {}
-    for row, data in zip(windows.column("target").to_pylist(), windows.column("data").to_pylist(), strict=True):
-        by_row.setdefault(row, []).append(np.frombuffer(data, np.int64).reshape(2, -1))
+    by_row: dict[tuple[int, int], list[np.ndarray]] = {}
+    for doc, row, data in zip(*(windows.column(c).to_pylist() for c in ("target", "row", "data")), strict=True):
+        by_row.setdefault((doc, row), []).append(np.frombuffer(data, np.int64).reshape(2, -1))
     kept, spans = [], []
-    for row, text in zip(texts.column("rowkey").to_pylist(), texts.column("text").to_pylist(), strict=True):
+    for doc, h, text in zip(*(texts.column(c).to_pylist() for c in ("id", "row", "text")), strict=True):
+        row = (doc, h)
         data = (text or "").encode("utf-8", "surrogatepass")
         if row not in by_row:
             kept.append(data)
@@ -378,49 +433,62 @@ def _remove(texts: pa.Table, windows: pa.Table) -> pa.Table:
     )
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES, chunk_bytes: int = CHUNK_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    carry: list[str] | None = None,
+    bucket_bytes: int = BUCKET_BYTES,
+    shard_bytes: int = SHARD_BYTES,
+    chunk_bytes: int = CHUNK_BYTES,
+    broadcast_rows: int = BROADCAST_ROWS,
+    sort_limit: int = SORT_LIMIT,
+    least_hot: int = LEAST_HOT,
+) -> DataFrame:
     """A row per document: doc (struct of the carried columns), removed (spans of bytes), kept (bytes), n_bytes, kept_sha256."""
     spark = docs.sparkSession
     text = text_of(docs[text_col])
     least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = docs.select(F.octet_length(text).alias("n")).agg(F.sum("n")).first()[0] or 0
-    buckets = max(least, total // 16 * 12 // bucket_bytes + 1)
+    total, n_rows = docs.select(F.octet_length(text).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    buckets = max(least, total * 3 // 2 // bucket_bytes + 1)
     shards = max(least, total // 4 // shard_bytes + 1)
     chunks = max(least, total // chunk_bytes + 1) | 1
-    rows = docs.select(
-        F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"),
-        F.xxhash64(docs[id_col], text).alias("rowkey"),
-        text.alias("text"),
-        row_struct(docs, carry).alias("doc"),
-    )
+    # Rows with the same identifier and text have the same result: the pair (id, row) names them.
+    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("row"), text.alias("text"), row_struct(docs, carry).alias("doc"))
+
+    def few(names: DataFrame) -> DataFrame:
+        return F.broadcast(names) if names.count() <= broadcast_rows else names
+
     # A copy of a text with a smaller identifier loses everything; only the first of equal texts goes on.
-    text_key = F.struct(F.sha2(F.col("text"), 256).alias("digest"))
-    first = rows.groupBy(text_key.alias("same")).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    named = rows.select("rowkey", "id", text_key.alias("same"))
-    copies = stored(named.join(first, "same").filter("id > first_id").select("rowkey").distinct(), "copies")
-    few_copies = F.broadcast(copies) if copies.count() <= broadcast_rows else copies
-    all_rows, rows = rows, rows.join(few_copies, "rowkey", "left_anti")
-    found = rows.select("id", "text").mapInArrow(_anchor_messages(buckets), "bucket bigint, data binary")
-    answers = found.groupBy("bucket").applyInArrow(_compare_anchors(chunks), "chunk bigint, data binary")
-    by_id = rows.select("id", "rowkey", "text", F.pmod("id", F.lit(chunks)).alias("chunk"))
-    resolved = by_id.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_resolve(buckets, shards), "target bigint, kind int, data binary")
+    same = F.sha2(F.col("text"), 256)
+    first = rows.groupBy(same.alias("same")).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = rows.select("row", "id", same.alias("same")).join(first, "same").filter("id > first_id").select("id", "row").distinct()
+    copies = few(stored(copies, "copies"))
+    all_rows, rows = rows, rows.join(copies, ["id", "row"], "left_anti")
+    hot = hot_anchors(rows, n_rows, least=least_hot)
+    found = rows.select("id", "text").mapInArrow(_anchor_messages(buckets, chunks, hot), "target bigint, kind int, data binary")
+    answers = found.withColumn("bucket", F.when(F.col("kind") == 0, F.col("target")).otherwise(F.pmod("target", F.lit(buckets))))
+    answers = answers.groupBy("bucket").applyInArrow(_compare_anchors(chunks, hot), "chunk bigint, data binary")
+    by_id = rows.select("id", "row", "text", F.pmod("id", F.lit(chunks)).alias("chunk"))
+    resolved = by_id.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_resolve(shards, hot), "target bigint, row bigint, kind int, data binary")
     resolved = stored(resolved, "windows")
-    sorted_ = resolved.filter("kind = 1").select("target", "data").groupBy("target").applyInArrow(_sort_shard, "target bigint, kind int, data binary")
-    decided = stored(resolved.filter("kind = 0").unionByName(sorted_).select("target", "data"), "decided")
+    sorted_ = resolved.filter("kind = 1").select("target", "data").groupBy("target").applyInArrow(_sort_shard(sort_limit), "target bigint, row bigint, data binary")
+    decided = stored(resolved.filter("kind = 0").select("target", "row", "data").unionByName(sorted_), "decided")
 
     # Only texts that lose something meet their windows; the others keep all their bytes.
-    touched = decided.select(F.col("target").alias("rowkey")).distinct()
-    touched = F.broadcast(touched) if touched.count() <= broadcast_rows else touched
-    losing = rows.join(touched, "rowkey", "left_semi").select("rowkey", "text", "doc", F.pmod("rowkey", F.lit(chunks)).alias("chunk"))
+    touched = few(decided.select(F.col("target").alias("id"), "row").distinct())
+    losing = rows.join(touched, ["id", "row"], "left_semi").select("id", "row", "text", "doc", F.pmod("id", F.lit(chunks)).alias("chunk"))
     windows = decided.withColumn("chunk", F.pmod("target", F.lit(chunks)))
-    doc_type = rows.schema["doc"].dataType.simpleString()
-    lost = losing.groupBy("chunk").cogroup(windows.groupBy("chunk")).applyInArrow(_remove, f"doc {doc_type}, removed array<struct<start: bigint, stop: bigint>>, kept binary, n_bytes bigint, kept_sha256 string")
+    doc_type = rows.schema["doc"].dataType
+    out_type = T.StructType([T.StructField("doc", doc_type), *T._parse_datatype_string("removed array<struct<start: bigint, stop: bigint>>, kept binary, n_bytes bigint, kept_sha256 string").fields])
+    lost = losing.groupBy("chunk").cogroup(windows.groupBy("chunk")).applyInArrow(_remove, out_type)
     data = F.col("text").cast("binary")
-    whole = rows.join(touched, "rowkey", "left_anti").select(
+    whole = rows.join(touched, ["id", "row"], "left_anti").select(
         "doc", F.array().cast("array<struct<start: bigint, stop: bigint>>").alias("removed"), data.alias("kept"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(data, 256).alias("kept_sha256")
     )
     n = F.octet_length("text").cast("long")
-    copied = all_rows.join(few_copies, "rowkey", "left_semi").select(
+    copied = all_rows.join(copies, ["id", "row"], "left_semi").select(
         "doc",
         F.when(n >= LENGTH, F.array(F.struct(F.lit(0).cast("long").alias("start"), n.alias("stop")))).otherwise(F.array().cast("array<struct<start: bigint, stop: bigint>>")).alias("removed"),
         F.when(n >= LENGTH, F.lit(b"")).otherwise(data).alias("kept"),

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import crf, decontaminate, exact_dedup, jaccard_join, langid, mix, pii, quality, secrets, suffix_dedup, toxicity
+from docloom.llm import crf, decontaminate, exact_dedup, induced_sort, jaccard_join, langid, mix, pii, quality, secrets, suffix_dedup, toxicity
 from docloom.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, copies string, size string, component_id string, doc string, kept string"
@@ -195,35 +195,95 @@ def test_decontamination_matches_have_every_item(spark):
     assert [(r.n_items, r.item_id) for r in decontaminate.decontaminate(d, bench).filter("contaminated").collect()] == [(2, 1)]
 
 
-def test_suffix_dedup(spark, docs, none):
-    def brute(data):
-        first, out = {}, {}
-        docs_ = sorted(((i if i is not None else 1 << 62, (t or "").encode()) for i, t, *_ in data), key=lambda x: x[0])
-        for i, b in docs_:
-            for j in range(len(b) - 49):
-                first.setdefault(b[j : j + 50], i)
-        for i, b in docs_:
-            m = np.zeros(len(b), bool)
-            for j in range(len(b) - 49):
-                if first[b[j : j + 50]] < i:
-                    m[j : j + 50] = True
-            kept = bytes(np.frombuffer(b, np.uint8)[~m])
-            out.setdefault(i, []).append((len(b), hashlib.sha256(kept).hexdigest()))
-        return {k: sorted(v) for k, v in out.items()}
-
+def _without_repeats(data):
+    """Brute force over rows (id, text): for each identifier the sorted (bytes, digest of what stays)."""
+    first, out = {}, {}
+    docs_ = sorted(((i if i is not None else 1 << 62, (t or "").encode()) for i, t, *_ in data), key=lambda x: x[0])
+    for i, b in docs_:
+        for j in range(len(b) - 49):
+            first.setdefault(b[j : j + 50], i)
+    for i, b in docs_:
+        m = np.zeros(len(b), bool)
+        for j in range(len(b) - 49):
+            if first[b[j : j + 50]] < i:
+                m[j : j + 50] = True
+        kept = bytes(np.frombuffer(b, np.uint8)[~m])
+        out.setdefault(i, []).append((len(b), hashlib.sha256(kept).hexdigest()))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def _removed(df, **limits):
     got = {}
-    for r in suffix_dedup.remove_repeats(docs, broadcast_rows=0).collect():
+    for r in suffix_dedup.remove_repeats(df, **limits).collect():
         assert hashlib.sha256(r.kept).hexdigest() == r.kept_sha256
-        got.setdefault(r.doc.doc_id if r.doc.doc_id is not None else 1 << 62, []).append((r.n_bytes, r.kept_sha256))
-    assert {k: sorted(v) for k, v in got.items()} == brute(rows())
+        got.setdefault(r.doc[0] if r.doc[0] is not None else 1 << 62, []).append((r.n_bytes, r.kept_sha256))
+    return {k: sorted(v) for k, v in got.items()}
+
+
+SMALL = [{}, {"broadcast_rows": 0, "least_hot": 1}, {"sort_limit": 1000, "bucket_bytes": 500, "shard_bytes": 5000, "chunk_bytes": 2000}]
+
+
+@pytest.mark.parametrize("limits", SMALL)
+def test_suffix_dedup(docs, none, limits):
+    assert _removed(docs, **limits) == _without_repeats(rows())
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
-def test_induced_order():
-    rng = np.random.default_rng(1)
-    for _ in range(200):
-        x = rng.integers(97, 97 + rng.integers(1, 4), rng.integers(1, 50)).astype(np.uint8)
-        assert suffix_dedup.induced_order(x).tolist() == sorted(range(len(x)), key=lambda i: bytes(x)[i:])
+@pytest.mark.parametrize("limits", [*SMALL, {"least_hot": 10**9}])
+def test_suffix_dedup_of_a_shared_passage(spark, limits):
+    """One passage in most documents, each time between other words, some near copies of a text, and repeats in a text."""
+    rng = random.Random(3)
+    passage = "this passage of well over fifty bytes stands in very many of the documents, always in other surroundings"
+    own = lambda: " ".join(f"{rng.choice(WORDS)}{rng.randrange(10**4)}" for _ in range(rng.randrange(0, 12)))
+    long_ = [f"{rng.choice(WORDS)}{rng.randrange(100)}" for _ in range(80)]
+    data = [(k, f"{own()} {passage} {own()}") for k in range(150)]
+    data += [(200 + k, " ".join(long_[:k] + ["own"] + long_[k + 1 :])) for k in range(40)]
+    data += [(300, passage * 3), (301, "aé" * 60), (302, "aé" * 40 + "b" * 70), (303, "b" * 200), (303, "b" * 120 + passage), (None, passage + "b" * 60)]
+    rng.shuffle(data)
+    d = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    assert _removed(d, **limits) == _without_repeats(data)
+
+
+def _sorted_suffixes(data, folder, limit, depth=50):
+    text = np.concatenate([np.frombuffer(data, np.uint8), [induced_sort.END], np.zeros(induced_sort.PADDING)]).astype(np.uint8)
+    blocks = list(induced_sort.sorted_suffixes(text, folder, depth=depth, limit=limit))
+    return [np.concatenate(x).tolist() for x in zip(*blocks, strict=True)]
+
+
+def test_induced_sort(tmp_path):
+    """Order and common prefixes against brute force, from all in memory down to runs of single items on disk."""
+    rng = random.Random(1)
+    for trial in range(150):
+        data = bytes(rng.choice([0, 97, 98, 244][: rng.randrange(1, 5)]) for _ in range(rng.randrange(1, 150)))
+        if trial % 3 == 0:
+            parts = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 70))) for _ in range(4)]
+            data = b"".join(rng.choice(parts) for _ in range(rng.randrange(1, 12)))
+        order, prefix = _sorted_suffixes(data, str(tmp_path), rng.choice([1, 2, 3, 7, 20, 1000]))
+        suffixes = [(data + b"\xff")[i:] for i in order]
+        assert sorted(order) == list(range(len(data) + 1))
+        for x, y, n in zip(suffixes, suffixes[1:], prefix[1:], strict=False):
+            assert x[:50] <= y[:50] and n == next((k for k in range(50) if x[k : k + 1] != y[k : k + 1]), 50)
+
+
+def test_induced_sort_leaves_memory(tmp_path, monkeypatch):
+    """A text a hundred times larger than the limit: several levels of names, and no queue or tape holds more than its limit."""
+    held, levels = [], []
+    for cls in (induced_sort.DiskQueue, induced_sort.Tape):
+        name = "push" if cls is induced_sort.DiskQueue else "append"
+
+        def watched(self, key, items, inner=getattr(cls, name)):
+            inner(self, key, items)
+            held.append(self.n_held)
+
+        monkeypatch.setattr(cls, name, watched)
+    inner = induced_sort._sorted_level
+    monkeypatch.setattr(induced_sort, "_sorted_level", lambda level: levels.append(level.n) or inner(level))
+    rng = random.Random(2)
+    data = " ".join(rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(3000)).encode()
+    order, _ = _sorted_suffixes(data, str(tmp_path), 200)
+    assert max(held) <= 200 and len(levels) >= 4 and len(data) > 100 * 200
+    cut = [(data + b"\xff")[i : i + 50] for i in order]
+    assert cut == sorted(cut)
 
 
 def test_crf_against_enumeration():
