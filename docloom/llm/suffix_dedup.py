@@ -4,7 +4,7 @@ Removed is every byte covered by a ``LENGTH``-byte string that also starts in a
 
 1. Every such string (a window) belongs to its anchor: the position of the smallest hash among the ``K``-byte strings in
    it. Equal windows have equal anchors at equal places, so anchors split the suffixes into shards that never share a
-   window. Anchors with equal text around them (128 bits of hashes) are a class; of a class only the smallest document
+   window. Anchors with equal text around them (112 bits of hashes) are a class; of a class only the smallest document
    goes on, for the others' windows are repeats already. Copies of a whole text are set aside in the same way before.
 2. Where several classes have an anchor, the text around it goes to the anchor's shard, once a class. There the suffixes
    are sorted by external induced sorting (``induced_sort``): recursive, with disk-backed queues of tuples that carry
@@ -99,13 +99,14 @@ class Anchors:
         first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (owner[start[1:]] != owner[start[:-1]])))
         last = np.append(first[1:], len(k)) - 1
         self.at, self.low, self.high, self.owner = chosen[k[first]], start[first], start[last], owner[start[first]]
-        self.key = mixed(h[self.at] ^ BASE)  # anchors have small hashes; these are spread again
-        self.content = mixed(hashes(self.low, self.high + LENGTH) + (self.at - self.low).astype(np.uint64) * BASE)
+        # Anchors have small hashes, so these are spread again. Both numbers have 56 bits.
+        self.key = mixed(h[self.at] ^ BASE) >> np.uint64(8)
+        self.content = mixed(hashes(self.low, self.high + LENGTH) + (self.at - self.low).astype(np.uint64) * BASE) >> np.uint64(8)
 
 
 def _answer_names(doc: np.ndarray, key: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     name = mixed(mixed(mixed(doc.view(np.uint64)) ^ key) ^ content)
-    return name, (content >> np.uint64(32)).astype(np.uint32)
+    return name, (content >> np.uint64(24)).astype(np.uint32)
 
 
 def _answers(doc: np.ndarray, key: np.ndarray, content: np.ndarray, state: np.ndarray, chunks: int) -> list[tuple[int, bytes]]:
@@ -129,6 +130,31 @@ def _share(hashed: np.ndarray, parts: int) -> np.ndarray:
     return ((hashed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def _entries(key: np.ndarray, content: np.ndarray, doc: np.ndarray) -> bytes:
+    """Seven bytes of key and content and, where that is enough, four of the document beyond the smallest one."""
+    least = int(doc.min())
+    narrow = int(doc.max()) - least < 1 << 32
+    docs = (doc - least).astype(np.uint32) if narrow else doc
+    short = [np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :7].tobytes() for x in (key, content)]
+    return np.array([len(key), least, narrow], np.int64).tobytes() + b"".join(short) + docs.tobytes()
+
+
+def _from_entries(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, least, narrow = np.frombuffer(data, np.int64, 3).tolist()
+    long = np.zeros((2, n, 8), np.uint8)
+    long[:, :, :7] = np.frombuffer(data, np.uint8, 14 * n, 24).reshape(2, n, 7)
+    key, content = long.view(np.uint64)[:, :, 0]
+    doc = np.frombuffer(data, np.uint32 if narrow else np.int64, n, 24 + 14 * n).astype(np.int64)
+    return key, content, doc + least if narrow else doc
+
+
+def _by_row(doc: np.ndarray, row: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[list[int], list[int], list[bytes]]:
+    """Ranges of windows, in the order of their rows: documents, rows, and the ranges of each as pairs."""
+    cuts = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]))[: len(doc)])
+    data = np.stack([first, stop], axis=1).astype(np.int64).tobytes()
+    return doc[cuts].tolist(), row[cuts].tolist(), [data[16 * x : 16 * y] for x, y in ranges(cuts, len(doc))]
+
+
 def _classes(key: np.ndarray, content: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct (key, content, doc) in this order, and for each whether it is the smallest document of its class."""
     order = np.lexsort((doc, content, key))
@@ -148,10 +174,10 @@ def _anchor_messages(buckets: int, chunks: int, hot: np.ndarray):
         lost = ~first
         found = [(int(k), 1, np.int64(k).tobytes() + data) for k, data in _answers(doc[lost], key[lost], content[lost], np.full(int(lost.sum()), LOSE, np.uint8), chunks)]
         key, content, doc = key[first], content[first], doc[first]
-        bucket = _share(np.where(_among(key, hot), mixed(key ^ content), key), buckets)
+        bucket = _share(np.where(_among(key, hot), mixed(key ^ mixed(content)), key << np.uint64(8)), buckets)
         order = np.argsort(bucket, kind="stable")
         key, content, doc, bucket = key[order], content[order], doc[order], bucket[order]
-        found += [(int(bucket[x]), 0, key[x:y].tobytes() + content[x:y].tobytes() + doc[x:y].tobytes()) for x, y in ranges(groups(bucket), len(key))]
+        found += [(int(bucket[x]), 0, _entries(key[x:y], content[x:y], doc[x:y])) for x, y in ranges(groups(bucket), len(key))]
         target, kind, data = zip(*found, strict=True) if found else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(target, pa.int64()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], names=["target", "kind", "data"])
 
@@ -183,8 +209,7 @@ def _compare_anchors(chunks: int, hot: np.ndarray):
             if kind:
                 out.append((int(np.frombuffer(data, np.int64, 1)[0]), data[8:]))
             else:
-                n = len(data) // 24
-                parts.append((np.frombuffer(data, np.uint64, n), np.frombuffer(data, np.uint64, n, 8 * n), np.frombuffer(data, np.int64, n, 16 * n)))
+                parts.append(_from_entries(data))
         if parts:
             key, content, doc, first = _classes(*(np.concatenate(x) for x in zip(*parts, strict=True)))
             cuts = groups(key)
@@ -229,11 +254,9 @@ def _resolve(shards: int, hot: np.ndarray):
 
         def decided(doc: np.ndarray, row: np.ndarray, first: np.ndarray, stop: np.ndarray) -> None:
             """Windows that start in [first, stop), given in the order of their rows."""
-            for x, y in ranges(groups(row), len(row)):
-                ids.append(int(doc[x]))
-                rows.append(int(row[x]))
-                kinds.append(0)
-                out.append(np.stack([first[x:y], stop[x:y]]).astype(np.int64).tobytes())
+            for kept, new in zip((ids, rows, out), _by_row(doc, row, first, stop), strict=True):
+                kept.extend(new)
+            kinds.extend([0] * (len(out) - len(kinds)))
 
         for batch in texts.combine_chunks().to_batches() if len(name) else []:
             for piece in pieces(batch, batch.schema.get_field_index("text")):
@@ -365,16 +388,14 @@ def _sort_shard(limit: int):
         folder = tempfile.mkdtemp(prefix="docloom-", dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
         try:
             for doc, row, at in repeated_windows(each(), folder, limit):
+                if not len(at):
+                    continue
                 order = np.lexsort((at, row, doc))
                 doc, row, at = doc[order], row[order], at[order]
-                ids, rows, data = [], [], []
-                cuts = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]))[: len(doc)])
-                for x, y in ranges(cuts, len(at)):
-                    edges = np.flatnonzero(np.append(True, np.diff(at[x:y]) > 1))
-                    stops = np.append(at[x:y][edges[1:] - 1], at[y - 1]) + 1
-                    ids.append(int(doc[x]))
-                    rows.append(int(row[x]))
-                    data.append(np.stack([at[x:y][edges], stops]).tobytes())
+                fresh = np.append(True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (at[1:] > at[:-1] + 1))[: len(at)]
+                first = np.flatnonzero(fresh)
+                last = np.append(first[1:], len(at)) - 1
+                ids, rows, data = _by_row(doc[first], row[first], at[first], at[last] + 1)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(data, pa.binary())], names=["target", "row", "data"])
         finally:
             shutil.rmtree(folder, ignore_errors=True)
@@ -405,7 +426,7 @@ def _remove(texts: pa.Table, windows: pa.Table) -> pa.Table:
     """Rows of a chunk and their decided windows -> what is left of each."""
     by_row: dict[tuple[int, int], list[np.ndarray]] = {}
     for doc, row, data in zip(*(windows.column(c).to_pylist() for c in ("target", "row", "data")), strict=True):
-        by_row.setdefault((doc, row), []).append(np.frombuffer(data, np.int64).reshape(2, -1))
+        by_row.setdefault((doc, row), []).append(np.frombuffer(data, np.int64).reshape(-1, 2))
     kept, spans = [], []
     for doc, h, text in zip(*(texts.column(c).to_pylist() for c in ("id", "row", "text")), strict=True):
         row = (doc, h)
@@ -414,7 +435,7 @@ def _remove(texts: pa.Table, windows: pa.Table) -> pa.Table:
             kept.append(data)
             spans.append([])
             continue
-        first, stop = np.concatenate(by_row[row], axis=1)
+        first, stop = np.concatenate(by_row[row]).T
         stop = stop + (LENGTH - 1)  # bytes covered by windows that start in [first, stop)
         order = np.argsort(first, kind="stable")
         first, reach = first[order], np.maximum.accumulate(stop[order])
