@@ -14,8 +14,11 @@ very long texts are one piece each. Columns are carried in a struct and cannot c
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 import zlib
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -98,7 +101,7 @@ AT, REST = r"[(\[]\s*at\s*[)\]]", r"\s*[\w.-]+(\s+dot\s+\w+)*"
 #: A span of the CRF must also look like one, so that a few labelled lines cannot mark clean documents.
 CHECKS = {
     1: re.compile(rf"[\w.+-]+\s*{AT}{REST}", re.I),
-    2: re.compile(r"(\([0-9]{3}\)\s*|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}"),
+    2: re.compile(r"(\+[0-9]{1,3}[\s.-]?)?(\([0-9]{3}\)\s*|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}"),
     3: re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
     4: re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"),
 }
@@ -106,6 +109,19 @@ CHECKS = {
 MARK = re.compile(rf"[0-9@]|{AT}(?:{REST})?", re.I)
 
 
+def _small(digits: str) -> bool:
+    """At most 255, however many digits."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or 0) <= 255
+
+
+def touching(spans: Iterable[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether a span overlaps one of ``spans``: of those that begin before its end, the last end counts."""
+    ordered = sorted(spans)
+    starts, reach = [a for a, _ in ordered], list(itertools.accumulate((b for _, b in ordered), max))
+    return lambda start, stop: (k := bisect.bisect_left(starts, stop)) > 0 and reach[k - 1] > start
+
+
 def luhn(digits: str) -> bool:
     twice = [sum(divmod(2 * int(c), 10)) for c in digits[-2::-2]]
     return (sum(twice) + sum(int(c) for c in digits[-1::-2])) % 10 == 0
@@ -117,7 +133,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if "@" in text:
         found += [(0, m.start(), m.end()) for m in EMAIL.finditer(text)]
     if DIGIT.search(text):
-        found += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        found += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(_small(p) for p in m[0].split("."))]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 16:
                 digits = m[0].replace(" ", "").replace("-", "")
@@ -235,8 +251,10 @@ def tagger(weights: np.ndarray, trans: np.ndarray):
         found: list[list[tuple[int, int, int]]] = []
         owners, parts = [], []
         values = texts.to_pylist()
+        touches, reach = [], [0] * len(values)  # whether a span touches a base one; where the last added one ends
         for row, text in enumerate(values):
             found.append(base_spans(text) if text else [])
+            touches.append(touching((a, b) for _, a, b in found[row]))
             for tokens, starts in sequences(text) if text else []:
                 owners.append(row)
                 parts.append((tokens, starts))
@@ -250,11 +268,13 @@ def tagger(weights: np.ndarray, trans: np.ndarray):
                     tokens, starts = parts[k]
                     first = int(ends[k] - lengths[k])
                     start, stop = starts[a - first], starts[b - 1 - first] + len(tokens[b - 1 - first])
-                    for m in CHECKS[label].finditer(values[owners[k]], start, stop):
+                    row = owners[k]
+                    for m in CHECKS[label].finditer(values[row], start, stop):
                         if label == 1:  # whole, also where the chain leaves it before its last part
-                            m = CHECKS[label].match(values[owners[k]], m.start())
-                        if not any(x < m.end() and m.start() < y for _, x, y in found[owners[k]]):
-                            found[owners[k]].append((len(KINDS) + label - 1, m.start(), m.end()))
+                            m = CHECKS[label].match(values[row], m.start())
+                        if m.start() >= reach[row] and not touches[row](m.start(), m.end()):
+                            found[row].append((len(KINDS) + label - 1, m.start(), m.end()))
+                            reach[row] = m.end()
         return [pa.array([[{"kind": k, "start": a, "stop": b} for k, a, b in sorted(spans)] for spans in found], _SPAN)]
 
     return work
@@ -266,9 +286,8 @@ def find_personal_data(docs: DataFrame, *, text_col: str = "text", carry: list[s
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from .secrets import joined_spans
+    from .secrets import counts_by_kind, joined_spans
 
     found = find_personal_data(table(spark, sf_dir, "documents"), carry=["doc_id"])
     base = F.filter("found", lambda s: s["kind"] < len(KINDS))
-    n = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select("doc.doc_id", *n, F.sha2(joined_spans(base, KINDS).cast("binary"), 256).alias("base_sha256"), joined_spans(F.col("found"), (*KINDS, *LABELS[1:])).alias("spans"))
+    return found.select("doc.doc_id", *counts_by_kind("found", KINDS), F.sha2(joined_spans(base, KINDS).cast("binary"), 256).alias("base_sha256"), joined_spans(F.col("found"), (*KINDS, *LABELS[1:])).alias("spans"))

@@ -13,7 +13,8 @@ of the rows only of the first two, whose keys are even. Verdicts are joined back
 
 Defined cases: null and empty texts have no spans; a null owner counts as an owner of its own, a null identifier as a
 repository of its own; repeated rows are scanned each but count as one repository, as do an owner's repositories with
-the same text, under the smallest identifier; an empty table gives an empty result.
+the same text, under the smallest identifier; very long texts are scanned whole; an empty table gives an empty result;
+columns are carried in a struct and cannot clash.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_texts import map_texts
-from .common import stored, table
+from .common import row_struct, stored, table
+from .pii import touching
 
 #: Fixed by the query contract; (pattern, group whose length counts, least length).
 KINDS = ("assign", "access", "hex")
@@ -63,10 +65,11 @@ def entropy(s: str) -> float:
 def loose_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
     """Random-looking tokens that touch no base span."""
     found = []
+    touches = touching((a, b) for a, _, b, _ in base)
     for m in LOOSE.finditer(text):
         s = m[0]
         digits = sum(c.isdigit() for c in s)
-        if digits >= LEAST_DIGITS and sum(c.isalpha() for c in s) >= LEAST_LETTERS and entropy(s) >= LEAST_ENTROPY and not any(a < m.end() and m.start() < b for a, _, b, _ in base):
+        if digits >= LEAST_DIGITS and sum(c.isalpha() for c in s) >= LEAST_LETTERS and entropy(s) >= LEAST_ENTROPY and not touches(m.start(), m.end()):
             found.append((m.start(), len(KINDS), m.end(), s))
     return found
 
@@ -101,23 +104,32 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     ``found`` holds the base spans and the loose tokens that look live, ``examples`` the other loose tokens.
     """
-    carried = carry or docs.columns
-    held = docs.withColumns({"__owner": docs[owner_col], "__repository": docs[repository_col], "__text": F.sha2(docs[text_col].cast("binary"), 256)})
-    scanned = scan(held, text_col=text_col, carry=[*carried, "__owner", "__repository", "__text"]).withColumn("row", F.monotonically_increasing_id())
+    text = docs[text_col].cast("string")
+    held = docs.select(row_struct(docs, carry).alias("row"), docs[owner_col].alias("owner"), docs[repository_col].alias("repository"), F.sha2(text.cast("binary"), 256).alias("digest"), text.alias("text"))
+    scanned = scan(held, text_col="text", carry=["row", "owner", "repository", "digest"]).withColumn("row", F.monotonically_increasing_id())
     scanned = stored(scanned, "secrets")
-    each = scanned.filter(F.size("found") > 0).select("row", F.col("doc.__owner").alias("owner"), F.col("doc.__repository").alias("repository"), F.col("doc.__text").alias("text"), F.explode("found").alias("at"))
+    each = scanned.filter(F.size("found") > 0).select("row", F.col("doc.owner").alias("owner"), F.col("doc.repository").alias("repository"), F.col("doc.digest").alias("text"), F.explode("found").alias("at"))
     each = each.select("row", "owner", "repository", "text", "at.*")
     counts = stored(ownership(each), "ownership")
     live = (F.col("owners") <= LIVE_OWNERS) & (F.col("repositories") <= LIVE_REPOSITORIES)
     judged = each.join(counts, "hash").withColumn("live", live)
     spans = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "owners", "repositories", "live"))).alias("found"))
-    doc = F.struct(*[F.col("doc").getField(c).alias(c) for c in carried]).alias("doc")
+    doc = F.col("doc.row").alias("doc")
     none = F.array().cast(spans.schema["found"].dataType)
     every = scanned.drop("found").join(spans, "row", "left").select(doc, F.coalesce("found", none).alias("every"))
     example = lambda s: ~s["live"] & (s["kind"] >= len(KINDS))
     return every.select("doc", F.filter("every", lambda s: ~example(s)).alias("found"), F.filter("every", example).alias("examples"))
 
 
+def counts_by_kind(spans: str, kinds: tuple[str, ...]) -> list[Column]:
+    """n_<kind> for each kind. (A second argument of the lambda would be the place in the array, so the kind is no default.)"""
+
+    def count(k: int) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
+
+    return [count(k).alias(f"n_{name}") for k, name in enumerate(kinds)]
+
+
 def joined_spans(spans, kinds: tuple[str, ...]):
     """kind:start:end of an array of spans, comma-joined."""
     names = F.array(*map(F.lit, kinds))
@@ -128,7 +140,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"), carry=["doc_id"])
     found = found.select("doc", F.array_sort(F.concat("found", "examples")).alias("found"))
     base = F.filter("found", lambda s: s["kind"] < len(KINDS))
-    n = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    n = counts_by_kind("found", KINDS)
     return found.select(
         "doc.doc_id",
         *n,
