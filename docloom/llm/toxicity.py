@@ -4,12 +4,13 @@ Three categories are predicted one after the other: ``crude`` (the text holds a
 single out), ``dense`` (it holds such words more often than half of the toxic texts do) and ``toxic`` (the label). Each
 model is a linear one over the presence of words and word beginnings; the probabilities of earlier categories are
 inputs of the later models, which are trained on out-of-fold predictions of the earlier ones, so they learn how far
-these can be trusted.
+these can be trusted. Nothing of a fold goes into its own predictions: features, lexicon and weights are chosen without it.
 
 The chain is fitted on a bounded sample: about ``PER_LABEL`` labelled documents of each label, by a hash of the
 identifier, never from the held-out fold. Scoring is one map over Arrow batches of whole texts, without a shuffle.
 
-Defined cases: null and empty texts hold no word and get the chain's score for that; repeated rows are scored each; with
+Defined cases: null and empty texts hold no word and get the chain's score for that; very long texts are read whole, each
+as a piece of its own; repeated rows are scored each; with
 only one label, or none, to learn from, every probability is that label's (0 without any); an empty table gives an
 empty result. Columns are carried in a struct and cannot clash.
 """
@@ -111,40 +112,73 @@ def _distinct_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.concatenate(keys), np.concatenate(owners), np.concatenate(n_words)
 
 
+class _Sample:
+    """Distinct features of labelled texts, from which any part of the texts can choose its own."""
+
+    def __init__(self, rows: list[tuple[str, int]]):
+        texts, self.toxic = pa.array([t for t, _ in rows], pa.string()), np.array([y for _, y in rows]) == 1
+        keys, self.owner, self.n_words = _distinct_features(texts)
+        self.names, self.at = np.unique(keys, return_inverse=True)
+
+    def chosen(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the features that single out the toxic texts of a part, in order, and their log odds there."""
+        toxic = self.toxic[part]
+        mine = part[self.owner]
+        bad = np.bincount(self.at[mine], weights=self.toxic[self.owner[mine]], minlength=len(self.names))
+        all_ = np.bincount(self.at[mine], minlength=len(self.names))
+        odds = np.log((bad + 0.5) / (all_ - bad + 0.5) * max(int((~toxic).sum()), 1) / max(int(toxic.sum()), 1))
+        value = np.where(all_ >= LEAST_TEXTS, odds * np.sqrt(bad), 0)
+        best = np.sort(np.argsort(-value, kind="stable")[:FEATURES])
+        best = best[value[best] > 0]
+        return best, odds[best]
+
+    def present(self, chosen: np.ndarray) -> np.ndarray:
+        place = np.full(len(self.names), -1)
+        place[chosen] = np.arange(len(chosen))
+        x = np.zeros((len(self.toxic), len(chosen)), np.float32)
+        known = place[self.at] >= 0
+        x[self.owner[known], place[self.at[known]]] = 1
+        return x
+
+    def categories(self, x: np.ndarray, odds: np.ndarray, part: np.ndarray) -> list[np.ndarray]:
+        """The lexicon of a part: features that its toxic texts hold many times as often. Categories of all texts by it."""
+        lexicon = x[:, odds > 2.5].sum(axis=1)
+        rate = lexicon / np.maximum(self.n_words, 1)
+        crude = lexicon > 0
+        typical = rate[part & self.toxic & crude]
+        return [crude, crude & (rate > (np.median(typical) if len(typical) else 0)), self.toxic]
+
+
+def out_of_fold(sample: _Sample, folds: int = FOLDS) -> np.ndarray:
+    """Probabilities of each category (texts x categories) by chains that know nothing of the text's own fold: features,
+    lexicon and weights all come from the other folds."""
+    fold = np.arange(len(sample.toxic)) % folds
+    parts = []
+    for k in range(folds):
+        part = fold != k
+        chosen, odds = sample.chosen(part)
+        x = sample.present(chosen)
+        parts.append((part, x, sample.categories(x, odds, part)))
+    out = np.zeros((len(fold), 0), np.float32)
+    for c in range(len(CATEGORIES)):
+        p = np.zeros(len(fold), np.float32)
+        for part, x, y in parts:
+            inputs = np.column_stack([x, out])
+            p[~part] = _apply(_linear(inputs[part], y[c][part]), inputs[~part])
+        out = np.column_stack([out, p])
+    return out
+
+
 def train(rows: list[tuple[str, int]]) -> Chain:
     labels = {y for _, y in rows}
     if len(labels) < 2:
         return Chain(np.empty(0, np.uint64), [], float(max(labels, default=0)))
-    texts, toxic = pa.array([t for t, _ in rows], pa.string()), np.array([y for _, y in rows]) == 1
-    keys, owner, n_words = _distinct_features(texts)
-    names, at = np.unique(keys, return_inverse=True)
-    bad, all_ = np.bincount(at, weights=toxic[owner]), np.bincount(at)
-    odds = np.log((bad + 0.5) / (all_ - bad + 0.5) * (~toxic).sum() / toxic.sum())
-    value = np.where(all_ >= LEAST_TEXTS, odds * np.sqrt(bad), 0)
-    chosen = np.sort(np.argsort(-value, kind="stable")[:FEATURES])
-    chosen = chosen[value[chosen] > 0]
-    chain = Chain(names[chosen], [])
-    place = np.full(len(names), -1)
-    place[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(rows), len(chosen)), np.float32)
-    known = place[at] >= 0
-    x[owner[known], place[at[known]]] = 1
-
-    # The lexicon: features that toxic texts hold many times as often. Categories by it, among labelled toxic texts.
-    lexicon = x[:, odds[chosen] > 2.5].sum(axis=1)
-    rate = lexicon / np.maximum(n_words, 1)
-    crude = lexicon > 0
-    dense = crude & (rate > (np.median(rate[toxic & crude]) if (toxic & crude).any() else 0))
-    fold = np.arange(len(rows)) % FOLDS
-    earlier = np.zeros((len(rows), 0), np.float32)
-    for y in (crude, dense, toxic):
-        inputs = np.column_stack([x, earlier])
-        out = np.zeros(len(rows), np.float32)
-        for k in range(FOLDS):  # what the next model sees of this one: predictions for texts it was not trained on
-            out[fold == k] = _apply(_linear(inputs[fold != k], y[fold != k]), inputs[fold == k])
-        chain.weights.append(_linear(inputs, y))
-        earlier = np.column_stack([earlier, out])
-    return chain
+    sample = _Sample(rows)
+    everything = np.ones(len(rows), bool)
+    chosen, odds = sample.chosen(everything)
+    x = sample.present(chosen)
+    earlier = out_of_fold(sample)
+    return Chain(sample.names[chosen], [_linear(np.column_stack([x, earlier[:, :c]]), y) for c, y in enumerate(sample.categories(x, odds, everything))])
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = PER_LABEL, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Chain:
