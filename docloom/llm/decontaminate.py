@@ -15,8 +15,9 @@ passage that a third of all documents share costs one row per document. Texts of
 again for the verification; the list of those is broadcast only when it is small.
 
 Defined cases: null texts and texts without a token match nothing; an item of fewer than ``SPAN`` tokens matches the
-documents that hold it whole, however short they are; repeated rows each get the result of their text; ties between items go to the smallest item_id; empty tables give no matches; a null
-item_id is kept as null. Extra columns are carried in a struct and cannot clash.
+documents that hold it whole, however short they are; very long texts are read whole; repeated rows each get the result
+of their text; ties between items go to the smallest item_id, which may be of any ordered type, a null one last; empty
+tables give no matches. Extra columns are carried in a struct and cannot clash.
 """
 
 from __future__ import annotations
@@ -28,9 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import row_struct, stored, table, text_of
 
-#: Every mask spans 13 tokens; 1 is a token that is read. The SQL, which is fixed, has the first ``SQL_MASKS`` of them.
+#: Every mask spans 13 tokens; 1 is a token that is read.
 MASKS = ("1111110000000", "0000000111111", "1110000000111", "0001110111000", "1110000111000", "0001110000111")
-SQL_MASKS = 4
 SPAN = 13
 WINDOW = 13
 NEEDED = 11
@@ -140,7 +140,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     """
     key = _key(docs, id_col, text_col)
     found = distinct_matches(docs, benchmark, text_col=text_col, key=key, broadcast_bytes=broadcast_bytes)
-    per_doc = stored(found.groupBy("doc_key").agg(F.count(F.lit(1)).alias("items"), F.max("equal").alias("equal"), F.max_by("item_id", F.struct("equal", -F.col("item_id"))).alias("item_id")), "leaks")
+    per_doc = stored(found.groupBy("doc_key").agg(F.count(F.lit(1)).alias("items"), F.max("equal").alias("equal"), F.min_by("item_id", F.struct(-F.col("equal"), F.col("item_id").isNull(), F.col("item_id"))).alias("item_id")), "leaks")
     per_doc = per_doc.select(F.col("doc_key.id").alias("id"), F.col("doc_key.h").alias("h"), F.col("doc_key.n").alias("n"), "items", "equal", "item_id")
     keyed = docs.select(row_struct(docs, carry).alias("doc"), key.alias("doc_key"))
     joined = keyed.join(per_doc, keyed.doc_key.id.eqNullSafe(per_doc.id) & (keyed.doc_key.h == per_doc.h) & (keyed.doc_key.n == per_doc.n), "left")
@@ -152,21 +152,23 @@ def query(spark, sf_dir: str) -> DataFrame:
     return out.select("doc.doc_id", "contaminated", "n_items", "item_id", F.col("equal").cast("long").alias("equal_tokens"))
 
 
-_MASKED = ", ".join("concat_ws(' ', " + f"'{k}', " + ", ".join(f"t[p + {i + 1}]" for i, bit in enumerate(mask) if bit == "1") + ")" for k, mask in enumerate(MASKS[:SQL_MASKS]))
+#: The rule itself, without masks: items and documents are laid side by side wherever they have a token in common.
+_SPACED = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", UNSEGMENTED)
+_TOKENS = rf"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '({_SPACED})', ' \1 ', 'g'), '[\x00-/:-@\[-`{{-\x7F]+'), lambda x: x <> '')"
 SQL = rf"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-/:-@\[-`{{-\x7F]+'), lambda x: x <> '') AS t FROM documents),
-b0 AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-/:-@\[-`{{-\x7F]+'), lambda x: x <> '') AS t FROM benchmark),
-b AS (SELECT min(item_id) AS item_id, t FROM b0 WHERE len(t) >= {SPAN} GROUP BY t),
-dp AS (SELECT doc_id, t, unnest(range(0, len(t) - {SPAN} + 1)) AS p FROM d WHERE len(t) >= {SPAN}),
-bp AS (SELECT item_id, t, unnest(range(0, len(t) - {SPAN} + 1)) AS p FROM b),
-ds AS (SELECT doc_id, p, unnest([{_MASKED}]) AS seed FROM dp),
-bs AS (SELECT item_id, p, unnest([{_MASKED}]) AS seed FROM bp),
-hits AS (SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS diagonal FROM ds JOIN bs USING (seed)),
+WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
+b0 AS (SELECT item_id, {_TOKENS} AS t FROM benchmark),
+b AS (SELECT min(item_id) AS item_id, t, len(t) < {SPAN} AS short FROM b0 WHERE len(t) > 0 GROUP BY t),
+dt AS (SELECT doc_id, unnest(t) AS w, unnest(range(0, len(t))) AS p FROM d),
+bt AS (SELECT item_id, short, len(t) AS n, unnest(t) AS w, unnest(range(0, len(t))) AS p FROM b),
+hits AS (SELECT doc_id, item_id, short, n, dt.p - bt.p AS diagonal, count(*) AS alike FROM dt JOIN bt USING (w) GROUP BY ALL HAVING count(*) >= least(n, {NEEDED})),
 same AS (
   SELECT h.doc_id, h.item_id, list_transform(range(greatest(-diagonal, 0), least(len(b.t), len(d.t) - diagonal)), lambda i: CASE WHEN d.t[i + diagonal + 1] = b.t[i + 1] THEN 1 ELSE 0 END) AS m
-  FROM hits h JOIN d ON d.doc_id = h.doc_id JOIN b ON b.item_id = h.item_id),
+  FROM hits h JOIN d ON d.doc_id = h.doc_id JOIN b ON b.item_id = h.item_id WHERE NOT h.short),
 windows AS (SELECT doc_id, item_id, CASE WHEN len(m) >= {WINDOW} THEN list_max(list_transform(range(1, len(m) - {WINDOW} + 2), lambda k: list_sum(m[k:k + {WINDOW - 1}]))) ELSE 0 END AS equal FROM same),
-found AS (SELECT doc_id, item_id, max(equal) AS equal FROM windows GROUP BY ALL HAVING max(equal) >= {NEEDED}),
+found AS (
+  SELECT doc_id, item_id, max(equal) AS equal FROM windows GROUP BY ALL HAVING max(equal) >= {NEEDED}
+  UNION ALL SELECT DISTINCT doc_id, item_id, n AS equal FROM hits WHERE short AND alike = n),
 best AS (SELECT doc_id, count(*) AS n_items, arg_max(item_id, equal * 1000000000 - item_id) AS item_id, max(equal) AS equal FROM found GROUP BY doc_id)
 SELECT documents.doc_id, best.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, item_id, CAST(coalesce(equal, 0) AS BIGINT) AS equal_tokens
 FROM documents LEFT JOIN best ON best.doc_id = documents.doc_id
