@@ -12,8 +12,9 @@ small enough to broadcast (its bytes are counted first), else all texts move onc
 splits hot partitions. In the byte check a group of n rows is spread over n / 256 copies of its kept text.
 
 Defined cases: null texts count as empty; a null identifier is smaller than any other; repeated rows are rows of their
-own, of which the one with the last locator stays; an empty table gives an empty result; input columns are read by
-name into new ones, so extra columns cannot clash.
+own, of which the one with the last locator stays; very long texts are digested whole; an empty table gives an empty
+result; the columns of a DataFrame are written as one struct and those of a path read by name into new ones, so extra
+columns cannot clash (a path with a column ``_metadata`` is written as a DataFrame is).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, stored, text_of
+from .common import row_struct, scratch_path, stored, text_of
 
 #: State on disk; without files allocated ahead, as there are many small stores.
 STATE = {
@@ -39,10 +40,8 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def _rows(found: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
-    text = text_of(found[text_col])
-    at = F.struct(found[id_col].alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    return found.select(digest(text).alias("digest"), at.alias("at"), text.alias("content"))
+def _at(id_: Column) -> Column:
+    return F.struct(id_.alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
 def fold_stream(stream: DataFrame, checkpoint: str) -> DataFrame:
@@ -85,17 +84,24 @@ def exact_dedup(
     ``source`` is a Parquet path, read in place, or a DataFrame, which is first written to the shared folder: the
     stream and the locators need files.
     """
+    if not isinstance(source, DataFrame) and "_metadata" in (c.lower() for c in spark.read.parquet(source).columns):
+        source = spark.read.parquet(source)  # its column would hide the locators
     if isinstance(source, DataFrame):
         path = scratch_path(spark, "dedup-input")
+        carried, id_, text = F.col("doc"), F.col("doc").getField(id_col), text_of(F.col("doc").getField(text_col))
+        kept_out = F.struct(*[carried.getField(c).alias(c) for c in (carry or source.columns)])
+        source = source.select(row_struct(source).alias("doc"))
         source.write.parquet(path)
         schema = source.schema
     else:
         path, schema = source, spark.read.parquet(source).schema
+        named = lambda c: F.col("`" + c.replace("`", "``") + "`")
+        id_, text, kept_out = named(id_col), text_of(named(text_col)), F.struct(*[named(c) for c in (carry or schema.names)])
     found = spark.read.schema(schema).parquet(path)
-    rows = _rows(found, id_col, text_col, digest)
+    rows = found.select(digest(text).alias("digest"), _at(id_).alias("at"), text.alias("content"))
     # As a glob the path may also be a single file; a plain stream path must be a folder.
-    stream = _rows(spark.readStream.schema(schema).parquet(f"{path.rstrip('/')[:-1]}[{path.rstrip('/')[-1]}]"), id_col, text_col, digest)
-    state = stored(fold_stream(stream.select("digest", "at"), checkpoint or scratch_path(spark, "dedup-state")), "dedup-groups")
+    stream = spark.readStream.schema(schema).parquet(f"{path.rstrip('/')[:-1]}[{path.rstrip('/')[-1]}]").select(digest(text).alias("digest"), _at(id_).alias("at"))
+    state = stored(fold_stream(stream, checkpoint or scratch_path(spark, "dedup-state")), "dedup-groups")
 
     repeated = state.filter("n > 1").withColumn("slices", F.ceil(F.col("n") / GROUP_SLICE))
     bytes_repeated = repeated.agg(F.sum(F.length("digest") + F.length("keep.file") + 64)).first()[0] or 0
@@ -110,10 +116,7 @@ def exact_dedup(
         if differing.isEmpty():
             differing = None
 
-    carried = [F.col(f"`{c}`") for c in (carry or found.columns)]
-    text = text_of(found[text_col])
-    at = F.struct(found[id_col].alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    docs = found.select(F.struct(*carried).alias("doc"), digest(text).alias("digest"), at.alias("at"), *([text.alias("content")] if differing is not None else []))
+    docs = found.select(kept_out.alias("doc"), digest(text).alias("digest"), _at(id_).alias("at"), *([text.alias("content")] if differing is not None else []))
     if differing is not None:  # under these digests the texts themselves are the keys
         again = rows.join(differing, "digest", "left_semi").groupBy("digest", "content").agg(F.max("at").alias("keep"), F.count(F.lit(1)).alias("n"))
         regrouped = docs.join(again, ["digest", "content"]).drop("content")

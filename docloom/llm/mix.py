@@ -11,7 +11,7 @@ plus its row number in the cell. A source, or one size, with a third of all rows
 Only the table of sources (a row per source) is sorted in one task.
 
 Defined cases: a null text has size 0; a null source is a source of its own and stands last; a null identifier is
-ordered by the hash of its text; repeated rows are separate documents; an empty table gives an empty result; sources
+ordered by the hash of its text; very long texts are counted whole, by words; repeated rows are separate documents; an empty table gives an empty result; sources
 without words have target 0 and take nothing. Columns of the input are carried as one struct, so no name can clash.
 """
 

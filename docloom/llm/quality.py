@@ -10,7 +10,8 @@ The model is fitted on a bounded sample of labelled documents: about ``PER_LABEL
 identifier, never from the held-out fold. Scoring is one map over Arrow batches of whole texts, without a shuffle;
 labels, languages, sources and identifiers are no inputs.
 
-Defined cases: null and empty texts are one empty line and get a score; repeated rows are scored each; with only one
+Defined cases: null and empty texts are one empty line and get a score; very long texts are read whole, each as a piece
+of its own; columns are carried in a struct and cannot clash; repeated rows are scored each; with only one
 label, or none, to learn from, every score is that label's (1 without any); an empty table gives an empty result.
 """
 

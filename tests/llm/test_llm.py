@@ -317,6 +317,76 @@ def test_personal_data(docs, none):
     assert pii.find_personal_data(docs).count() == len(rows()) and pii.find_personal_data(none).count() == 0
 
 
+def _contract_spans(text, kinds):
+    """The base spans as the query contract words them, kind by kind: (kind, start, end)."""
+    out = []
+    for name, pattern, keep in kinds:
+        out += [(name, m.start(), m.end()) for m in re.finditer(pattern, text) if keep(m)]
+    return out
+
+
+def _luhn(s):
+    total = 0
+    for k, c in enumerate(reversed(s)):
+        d = int(c) * (2 if k % 2 else 1)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def _digits(m):
+    return "".join(c for c in m[0] if c in "0123456789")
+
+
+PERSONAL = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(_digits(m)) <= 19 and _luhn(_digits(m))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(_digits(m)) <= 15),
+]
+SECRETS = [
+    ("assign", r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", lambda m: len(m[2]) >= 6),
+    ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+    ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+]
+HARD = [
+    "1.1.1." + "5" * 5000, "0" * 5000 + "1.2.3.4", "4" * 6000, "+1" + " 2" * 5000, "a@b.c" * 800, "4111 1111 1111 1111 " * 300, None, "", "@", "1.2.3.4.5.6.7.8",
+    "é 10.0.0.1 \U0001f600 x@y.zz", "api_key = 'abc' token: abcdefg API-KEY=abcdef PASSWD=\"aaaaaa", "AKIA" * 9, "ſecret=abcdefgh", "0123456789abcdef" * 400,
+]
+
+
+def _sha(spans):
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def test_base_spans_by_the_contract(spark, tmp_path):
+    """Whole queries for personal data and secrets against the contract's patterns applied one by one."""
+    data = [(r.doc_id, r.text, r.source) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    data += [(10**6 + k, t, "s") for k, t in enumerate(HARD)]
+    spark.createDataFrame(data, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    for query, kinds, key in ((pii.query, PERSONAL, None), (secrets.query, SECRETS, lambda s: (s[1], [k for k, *_ in SECRETS].index(s[0])))):
+        got = {r.doc_id: r for r in query(spark, str(tmp_path)).collect()}
+        for i, text, _ in data:
+            want = _contract_spans(text or "", kinds)
+            want = sorted(want, key=key) if key else want
+            assert got[i].base_sha256 == _sha(want), i
+            assert [got[i][f"n_{name}"] for name, *_ in kinds] == [sum(k == name for k, *_ in want) for name, *_ in kinds]
+            assert set(",".join(f"{k}:{a}:{b}" for k, a, b in want).split(",")) <= set(got[i].spans.split(",")) or not want
+
+
+def test_many_spans_in_one_text():
+    """Long texts full of candidates take time in proportion to their length."""
+    import time
+
+    text = " ".join(f"(217) 555-{k:04d} id 123-45-{k:04d}" for k in range(8000))
+    loose = " ".join(f"Zx81kQ0p7LmN3vTt{k:05d}" for k in range(16000))
+    began = time.time()
+    assert len(pii.tagger(*pii.trained())(pa.array([text]))[0].to_pylist()[0]) >= 8000
+    assert len(secrets.loose_spans(loose, secrets.base_spans(loose))) == 16000
+    assert time.time() - began < 20
+    touches = pii.touching([(5, 9), (0, 20), (30, 31)])
+    assert [touches(a, a + 1) for a in (0, 19, 20, 29, 30, 31)] == [True, True, False, False, True, False]
+
+
 def test_personal_data_written_out():
     addresses = ["jane (AT) mail dot com", "bob.smith [At] example.org", "jane ( at ) mail dot com", "jane (at) mail dot co dot uk", "jane (at) a dot b dot c dot d dot e dot f"]
     texts = [f"{before}{a}{after}" for a in addresses for before, after in (("", ""), ("write to ", " soon"), ("room 217 for it: ", ""))]
@@ -368,6 +438,65 @@ def test_classifiers_on_the_held_out_fold(spark):
     assert np.mean([lang[i].lang_pred == languages[i] for i in languages if _fold(i)]) >= 0.97
     clean = [i for i in held if not y[i].toxic]
     assert np.mean([tox[i].predicted for i in clean]) <= 0.05
+    assert np.mean([tox[i].predicted for i in held if y[i].toxic]) >= 0.7
+
+
+def test_quality_scores_by_enumeration():
+    """Scores of documents from all label sequences of their lines, weighted by line length, then calibrated."""
+    import itertools
+
+    rng = random.Random(4)
+    good = lambda: "\n".join(" ".join(rng.choice(WORDS) for _ in range(rng.randrange(3, 9))) + "." for _ in range(rng.randrange(1, 6)))
+    bad = lambda: "\n".join("|".join("#$%&@!"[rng.randrange(6)] * 3 for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(1, 6)))
+    model = quality.train([(good(), 1) for _ in range(30)] + [(bad(), 0) for _ in range(30)], rounds=60)
+    texts = [good(), bad(), good() + "\n" + bad(), "", "\n\n", None, "one"]
+    got = model(pa.array(texts, pa.string()))[0].to_pylist()
+    for text, score in zip(texts, got, strict=True):
+        x, sizes, _ = quality.lines_of(pa.array([text], pa.string()))
+        emit, share, total = x @ model.weights, np.zeros(len(x)), 0.0
+        for labels in itertools.product((0, 1), repeat=len(x)):
+            p = np.exp(sum(emit[k, v] for k, v in enumerate(labels)) + sum(model.trans[a, b] for a, b in itertools.pairwise(labels)))
+            share += p * np.array(labels)
+            total += p
+        lengths = np.array([len((line + " ").encode()) for line in (text or "").split("\n")])
+        mean = np.clip((share / total * lengths).sum() / lengths.sum(), 1e-4, 1 - 1e-4)
+        assert abs(score - 1 / (1 + np.exp(-(model.slope * np.log(mean / (1 - mean)) + model.offset)))) < 1e-9
+    assert got[0] > 0.5 > got[1]
+
+
+def test_language_scores_gram_by_gram():
+    """Scores from a plain loop over characters."""
+    model = langid.train([("the cat sat on the mat", "en"), ("der hund lief ueber die strasse", "de"), ("le chat est sur la table", "fr")] * 8)
+    texts = ["The dog sat!", "ein Hund,  der lief", "123", "été \U0001f600 là", "x"]
+    names, scores = (x.to_pylist() for x in model(pa.array(texts)))
+    for text, name, score in zip(texts, names, scores, strict=True):
+        c = [ord(ch) if ch.isalpha() else 32 for ch in text.lower()] + [32, 32, 32, 32]
+        logits, n = np.zeros(len(model.languages)), 0
+        for k in range(len(text) + 2):
+            if c[k] == c[k + 1] == 32:
+                continue
+            n += 3
+            for key in (c[k], (c[k] << 21 | c[k + 1]) + (1 << 62), ((c[k] << 21 | c[k + 1]) << 21 | c[k + 2]) % (1 << 64) + (1 << 63)):
+                logits += model.table[int(langid.mixed(np.array([key % (1 << 64)], np.uint64))[0] >> np.uint64(64 - langid.BITS))]
+        if not any(ch.isalpha() for ch in text):
+            assert (name, score) == ("und", 0)
+            continue
+        p = np.exp(logits / max(n, 1) / model.temperature)
+        assert name == model.languages[int(p.argmax())] and abs(score - p.max() / p.sum()) < 1e-4
+
+
+def test_toxicity_chain_knows_nothing_of_its_own_fold():
+    """With labels at random, predictions out of fold do no better than chance, though features and lexicon are chosen by the labels."""
+    rng = random.Random(6)
+    data = [(" ".join(rng.choice(WORDS) + str(rng.randrange(60)) for _ in range(30)), rng.randrange(2)) for _ in range(240)]
+    sample = toxicity._Sample(data)
+    p = toxicity.out_of_fold(sample)[:, -1]
+    assert abs(np.mean((p >= 0.5) == sample.toxic) - 0.5) < 0.12
+    told = [(t + (" vile" if y else " kind"), y) for t, y in data]
+    sample = toxicity._Sample(told)
+    assert np.mean((toxicity.out_of_fold(sample)[:, -1] >= 0.5) == sample.toxic) > 0.8
+    chain = toxicity.train(told)
+    assert [round(x) for x in chain(pa.array(["a vile one", "a kind one", "", None]))[-1].to_pylist()] == [1, 0, 0, 0]
 
 
 def test_classifiers_without_examples(spark, docs, none):
@@ -389,6 +518,43 @@ def test_language_of_texts_with_astral_symbols():
     assert model(pa.array(["the cat"]))[0].to_pylist() == ["en"]
 
 
+def test_odd_column_names(spark, tmp_path):
+    """Dots, backticks and names that operators use inside, nulls and text identifiers of benchmark items."""
+    names = ["doc_id", "text", "source", "lang", "a.b", "q`t", "__owner", "_metadata", "row", "id", "key", "at", "digest", "node"]
+    data = [(k, t, "s", "en", *[str(k)] * (len(names) - 4)) for k, t in enumerate(["one two three four five " * 4, "one two three four five " * 4, None, "", "x@y.zz tel +1 (217) 555-7713"])]
+    schema = "doc_id long, text string, source string, lang string, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in names[4:])
+    d = spark.createDataFrame(data, schema)
+    bench = spark.createDataFrame([("b", data[0][1]), ("a", data[0][1].upper()), (None, "none")], "item_id string, text string")
+    d.write.parquet(str(tmp_path / "d"))
+    model = quality.train([])
+    chain = toxicity.train([])
+    outs = [
+        quality.score(d, model), toxicity.score(d, chain), jaccard_join.jaccard_components(d), suffix_dedup.remove_repeats(d), langid.identify(d, langid.train([])), exact_dedup.exact_dedup(spark, d),
+        exact_dedup.exact_dedup(spark, str(tmp_path / "d")), pii.find_personal_data(d), secrets.find_secrets(d), mix.mix(d), decontaminate.decontaminate(d, bench),
+    ]
+    for out in outs:
+        assert out.schema["doc"].dataType.names == names
+        assert sorted(tuple(r.doc) for r in out.select("doc").collect()) == sorted(data, key=lambda r: r[0])
+    assert mix.emitted(outs[-2]).columns == names
+    assert {r.doc.doc_id: r.item_id for r in outs[-1].collect() if r.contaminated} == {0: "a", 1: "a"}
+
+
+def test_pipeline_stages_of_odd_tables(spark, tmp_path):
+    """Nulls, repeated rows, clashing columns; and an empty table."""
+    import corpus_pipeline
+
+    for name, data in (("full", rows()), ("empty", [])):
+        folder = tmp_path / name
+        spark.createDataFrame(data, SCHEMA).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, len(data), 2)], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(20)))], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        d = spark.read.parquet(str(folder / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES:
+            out = stage(spark, d, str(folder))
+            assert out.columns == d.columns and out.count() <= 2 * len(data)
+        assert corpus_pipeline.run(spark, str(folder)).columns == d.columns
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
