@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache, reduce
 
 import pandas as pd
@@ -83,27 +84,29 @@ def same_company(a, b) -> Column:
     return ~nz.is_blank(a) & ~nz.is_blank(b) & (_text_score(nz.norm_text(a), nz.norm_text(b)) >= FUZZY)
 
 
+_ADJECTIVE = re.compile(rf"(.{{4,}}?)(?:{'|'.join(fixed.ADJECTIVE_ENDINGS)})")
+_BEGUN: dict[str, set[str]] = {}
+for _name, _place in nz.PLACE_NAMES.items():
+    for _n in range(4, len(_name) + 1):
+        _BEGUN.setdefault(_name[:_n], set()).add(_place)
+#: Beginnings of at least four letters that all stand for one place, and that place.
+_ONLY = {begun: next(iter(places)) for begun, places in _BEGUN.items() if len(places) == 1}
+_VOWELS = str.maketrans("", "", "aeiou")
+
+
 @lru_cache(fuzzy.REMEMBERED)
 def toponym_root(token: str) -> str:
     """A place name without an adjective's ending, by the name that stands for it."""
-    for end in fixed.ADJECTIVE_ENDINGS:
-        if token.endswith(end) and len(token) - len(end) >= 4:
-            token = token[: -len(end)]
-            break
-    name = nz.PLACE_NAMES.get(token)
-    if name is None and len(token) >= 4:
-        begun = {v for k, v in nz.PLACE_NAMES.items() if k.startswith(token)}
-        name = begun.pop() if len(begun) == 1 else None
-    return (name or token).replace("q", "k")
+    stem = m[1] if (m := _ADJECTIVE.fullmatch(token)) else token
+    return (nz.PLACE_NAMES.get(stem) or _ONLY.get(stem, stem)).replace("q", "k")
 
 
 def roots_match(a: str, b: str) -> bool:
-    if not a or not b:
-        return False
-    if min(len(a), len(b)) / max(len(a), len(b)) >= LENGTHS and fuzzy.partial_ratio(a, b) >= PARTIAL:
-        return True
-    x, y = ("".join(c for c in s if c not in "aeiou") for s in (a, b))
-    return len(x) >= 4 and x == y
+    """Nearly one in the other when neither is much longer; else the same four or more consonants in the same order."""
+    short, long = sorted((a, b), key=len)
+    alike = bool(short) and len(short) >= LENGTHS * len(long) and fuzzy.partial_ratio(short, long) >= PARTIAL
+    bare = {w.translate(_VOWELS) for w in (a, b)}
+    return alike or bool(short) and len(bare) == 1 and len(min(bare)) >= 4
 
 
 def address_score(x: str, y: str) -> tuple[bool, float]:
@@ -215,34 +218,43 @@ def compare_value(ours, theirs, kind) -> Column:
 
 
 def compare_bank(swift, account, theirs) -> Column:
-    """The bank code and every number of eight digits and more must be in their text; nothing of ours is missing_pdf."""
+    """The bank code and every number of eight digits and more must be in their text; nothing of ours is missing_pdf. A code
+    without letters or digits is something of ours that cannot be found."""
     def bare(c) -> Column:
         return F.regexp_replace(F.upper(F.coalesce(col(c), F.lit(""))), "[^A-Z0-9]", "")
 
     numbers = F.regexp_extract_all(F.coalesce(col(account), F.lit("")), F.lit(r"\d{8,}"), F.lit(0))
-    wanted = F.array_remove(F.concat(F.array(bare(swift)), F.when(F.size(numbers) > 0, numbers).otherwise(F.array(bare(account)))), "")
-    text = F.regexp_replace(F.upper(F.coalesce(col(theirs), F.lit(""))), "[^A-Z0-9]", "")
-    share = F.size(F.filter(wanted, lambda x: F.contains(text, x))) / F.size(wanted)
+    accounts = F.when(F.size(numbers) > 0, numbers).otherwise(F.array(bare(account)))
+    wanted = F.array_remove(F.concat(F.array(bare(swift)), accounts), "")
+    share = F.coalesce(F.try_divide(F.size(F.filter(wanted, lambda x: F.contains(bare(theirs), x))), F.size(wanted)), F.lit(0.0))
     return (
-        F.when(F.size(wanted) == 0, F.struct(F.lit("missing_pdf").alias("status"), F.lit(0.0).alias("score")))
+        F.when(nz.is_blank(swift) & nz.is_blank(account), F.struct(F.lit("missing_pdf").alias("status"), F.lit(0.0).alias("score")))
         .when(nz.is_blank(theirs), F.struct(F.lit("missing_api").alias("status"), F.lit(0.0).alias("score")))
         .otherwise(_of(share >= 1, F.bround(share, 3)))
     )
 
 
+def bank_display(swift, account) -> Column:
+    """Our code and account as one text, null when there is neither."""
+    named = [F.when(~nz.is_blank(c), F.concat(F.lit(f"{label}: "), nz.strip(c))) for label, c in (("SWIFT", swift), ("hisob", account))]
+    shown = F.concat_ws("; ", *named)
+    return F.when(shown != "", shown)
+
+
 FORMATS = {"inn": "^[0-9]{9}$", "mfo": "^[0-9]{5}$", "account": "^[0-9]{20}$", "swift": "^[A-Z]{6}[A-Z0-9]{2}([A-Z0-9]{3})?$"}
 
 
 def format_ok(c, kind: str) -> Column:
-    return F.replace(col(c), F.lit(" "), F.lit("")).rlike(FORMATS[kind])
+    return F.regexp_replace(col(c), r"(?U)\s+", "").rlike(FORMATS[kind])
 
 
 def in_text(value, text) -> Column:
     """Whether a text value is in a recognised text: as it is, as digits, or nearly."""
     v, t = nz.squeeze(value), nz.squeeze(text)
     digits = F.regexp_replace(col(text), r"\D", "")
-    near = fuzzy.partial_of(v, t) >= FUZZY * 100
-    return F.when(v.isNull() | (v == ""), True).when(t.contains(v), True).when(v.rlike("^[0-9]+$"), digits.contains(v)).otherwise(near)
+    known = F.when(v.isNull() | (v == ""), True).when(t.contains(v), True).when(v.rlike("^[0-9]+$"), digits.contains(v))
+    near = fuzzy.partial_of(F.when(known.isNull(), v), F.when(known.isNull(), t)) >= FUZZY * 100  # the others are not looked at
+    return F.coalesce(known, near)
 
 
 def number_in_text(value, text) -> Column:

@@ -140,3 +140,9 @@ JUNK_CLASSES = ["lx_elem2", "lx_no_select"]
 TOTAL_ROW = r"(?iu)итого|всего|jami|жами|total\b"
 CONTRACT_NUMBER = r"(?iu)(?:договор|контракт|contract|shartnoma|kontrakt|№)[^\S\n]*(?:№|No\.?|N|#)?[^\S\n]*([A-Za-zА-Яа-я0-9][A-Za-zА-Яа-я0-9/\-\.]{0,30})"
 AMOUNT = r"(?<![\d.,])\d{1,3}(?:[  ]?\d{3})*(?:[.,]\d{1,2})?(?![\d])"
+#: Labels of recognised blocks to our kinds, and those that are left out.
+BLOCK_KINDS = {
+    "Table": "table", "Form": "table", "Text": "text", "ListGroup": "text", "Caption": "text", "Footnote": "text", "Code": "text", "Bibliography": "text",
+    "TableOfContents": "text", "Equation": "text", "SectionHeader": "section-header", "PageHeader": "page-header", "PageFooter": "page-footer",
+}
+SKIPPED_BLOCKS = ["Picture", "Figure", "Diagram", "ChemicalBlock", "BlankPage"]

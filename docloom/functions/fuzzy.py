@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
@@ -59,12 +60,27 @@ def partial_ratio(a: str, b: str) -> float:
         return 100.0 if not long else 0.0
     if short in long:
         return 100.0
-    n = len(short)
-    spans = [(0, k) for k in range(1, n)] + [(k, k + n) for k in range(len(long) - n + 1)] + [(k, len(long)) for k in range(len(long) - n + 1, len(long))]
-    letters = set(short)
-    best = max((ratio(short, long[x:y]) for x, y in spans if long[x] in letters or long[y - 1] in letters), default=0.0)
-    if len(short) == len(long):
-        best = max(best, max((ratio(long, short[x:y]) for x, y in spans), default=0.0))
+    best = _best_window(short, long, 0.0)
+    return _best_window(long, short, best) if len(short) == len(long) else best
+
+
+def _best_window(short: str, long: str, best: float) -> float:
+    """The best ratio of ``short`` with windows of ``long``, or ``best`` if none is better. A window slides along with the
+    number of letters it has in common with ``short``, which bounds its ratio; only windows that may win are compared."""
+    n, wanted, held, common = len(short), Counter(short), Counter(), 0
+    for stop in range(1, len(long) + n):
+        start = max(stop - n, 0)
+        if stop <= len(long):
+            c = long[stop - 1]
+            held[c] += 1
+            common += held[c] <= wanted[c]
+        if start:
+            c = long[start - 1]
+            common -= held[c] <= wanted[c]
+            held[c] -= 1
+        end = min(stop, len(long))
+        if 200.0 * common / (n + end - start) > best:
+            best = max(best, ratio(short, long[start:end]))
     return best
 
 

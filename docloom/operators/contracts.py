@@ -97,7 +97,7 @@ def bank_rows(pairs: DataFrame, orientation: Column) -> DataFrame:
 
     api = get_path(F.col("api"), "bankForAttributes")
     found = cp.compare_bank(bank("swift"), bank("account"), api)
-    return pairs.select("contract_id", orientation.alias("orientation"), F.lit("FOR.bank.attributes").alias("field"), F.lit("bankForAttributes").alias("api_field"), F.lit("bank").alias("kind"), F.concat_ws("; ", bank("swift"), bank("account")).alias("ours"), api.alias("theirs"), found["status"].alias("status"), found["score"].alias("score"))
+    return pairs.select("contract_id", orientation.alias("orientation"), F.lit("FOR.bank.attributes").alias("field"), F.lit("bankForAttributes").alias("api_field"), F.lit("bank").alias("kind"), cp.bank_display(bank("swift"), bank("account")).alias("ours"), api.alias("theirs"), found["status"].alias("status"), found["score"].alias("score"))
 
 
 def orientation_of(pairs: DataFrame) -> DataFrame:
@@ -146,26 +146,43 @@ def name_score(norm_ours: str, norm_names: list[str]) -> float:
 
 
 def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidates sorted by contract, product and good -> accepted pairs. Products take their best free good in order (the
-    first of equal ones); one pass that holds the goods used by the present contract."""
-    contract = product = best = None
-    used: set[int] = set()
-    score = 0.0
+    """Rows of contracts, one contract after the other: its products (p alone), its goods (g alone), then scored candidates by
+    p and g -> the pairs taken and what is left on either side. Products take their best free good in order (the first of
+    equal ones). Only the present contract is held."""
+    names = ["contract_id", "p", "g", "score"]
+
+    def settled(contract: int, products: list[int], goods_: list[int], candidates: dict[int, list[tuple[int, float]]]) -> Iterator[tuple]:
+        free = dict.fromkeys(goods_)
+        for p in products:
+            open_ = [(g, s) for g, s in candidates.get(p, ()) if g in free]
+            g, score = max(open_, key=lambda x: x[1], default=(None, 0.0))
+            taken = score >= ACCEPT
+            if taken:
+                del free[g]
+            yield (contract, p, g, score) if taken else (contract, p, None, None)
+        yield from ((contract, None, g, None) for g in free)
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=names).astype(object)
+        return out.astype({"contract_id": "int64", "p": "Int64", "g": "Int64", "score": "Float64"})
+
+    present, products, goods_, candidates = None, [], [], {}
     for rows in batches:
-        out = []
-        for c, p, g, s in zip(rows["contract_id"], rows["p"], rows["g"], rows["score"], strict=True):
-            if (c, p) != (contract, product):
-                if best is not None and score >= ACCEPT:
-                    used.add(best)
-                    out.append((contract, product, best, score))
-                if c != contract:
-                    used = set()
-                contract, product, best, score = c, p, None, 0.0
-            if g not in used and s > score:
-                best, score = g, s
-        yield pd.DataFrame(out, columns=["contract_id", "p", "g", "score"])
-    if best is not None and score >= ACCEPT:
-        yield pd.DataFrame([(contract, product, best, score)], columns=["contract_id", "p", "g", "score"])
+        out: list[tuple] = []
+        for c, side, p, g, s in zip(rows["contract_id"], rows["side"], rows["p"].array, rows["g"].array, rows["score"], strict=True):
+            if c != present:
+                if present is not None:
+                    out += settled(present, products, goods_, candidates)
+                present, products, goods_, candidates = c, [], [], {}
+            if side == 0:
+                products.append(int(p))
+            elif side == 1:
+                goods_.append(int(g))
+            else:
+                candidates.setdefault(int(p), []).append((int(g), s))
+        yield frame(out)
+    if present is not None:
+        yield frame(list(settled(present, products, goods_, candidates)))
 
 
 @lru_cache(fuzzy.REMEMBERED)
@@ -183,8 +200,8 @@ def match_products(products: DataFrame, goods_: DataFrame) -> DataFrame:
     """products (contract_id, p, name, hs_code, quantity, ...) and goods (contract_id, g, name, hs_code, quantity, ...)
     -> contract_id, p, g, score for matches, unmatched ones with a null on the other side.
 
-    Candidates are an equi join on the contract and scored in the JVM and one vectorised function; only the greedy
-    choice, which depends on order, runs by contract, on pairs that passed the floor.
+    Candidates are an equi join on the contract and scored in the JVM and one vectorised function; only the greedy choice,
+    which depends on order, runs by contract, in one pass over items of both sides and pairs that passed the floor.
     """
     a = products.select("contract_id", "p", nz.norm_text("name").alias("norm"), F.col("hs_code").alias("hs"), F.col("quantity").alias("qty"))
     a = a.withColumn("keys", nz.digit_tokens("norm"))
@@ -193,59 +210,103 @@ def match_products(products: DataFrame, goods_: DataFrame) -> DataFrame:
     pairs = a.join(b, "contract_id").filter((F.size("keys") == 0) | (F.size("g_keys") == 0) | F.arrays_overlap("keys", "g_keys"))
     name = _name_scores(F.coalesce("norm", F.lit("")), "norms")
     pairs = pairs.withColumn("name_score", name).filter(F.col("name_score") >= FLOOR)
-    hs = F.when(~nz.is_blank("hs") & (nz.strip("hs") == nz.strip("g_hs")), HS_BONUS).otherwise(0.0)
+    hs = F.when((F.coalesce("hs", F.lit("")) != "") & (F.col("hs") == F.col("g_hs")), HS_BONUS).otherwise(0.0)
     qty = F.when(F.abs(F.col("qty") - F.col("g_qty")) <= F.abs("g_qty") * 0.001, QTY_BONUS).otherwise(0.0)
-    scored = pairs.select("contract_id", F.col("p").cast("long").alias("p"), F.col("g").cast("long").alias("g"), (F.col("name_score") + hs + qty).alias("score"))
-    taken = scored.repartition("contract_id").sortWithinPartitions("contract_id", "p", "g").mapInPandas(_greedy, "contract_id bigint, p bigint, g bigint, score double")
-    left = products.select("contract_id", F.col("p").cast("long").alias("p")).join(taken, ["contract_id", "p"], "left")
-    right = goods_.select("contract_id", F.col("g").cast("long").alias("g")).join(taken.select("contract_id", "g"), ["contract_id", "g"], "left_anti")
-    return left.unionByName(right.select("contract_id", F.lit(None).cast("bigint").alias("p"), "g", F.lit(None).cast("double").alias("score")))
 
+    def side(df: DataFrame, number: int, **known) -> DataFrame:
+        given = {"p": F.lit(None).cast("bigint"), "g": F.lit(None).cast("bigint"), "score": F.lit(None).cast("double")} | known
+        return df.select(F.col("contract_id").cast("bigint").alias("contract_id"), F.lit(number).alias("side"), *[c.alias(n) for n, c in given.items()])
 
-def compare_items(matched: DataFrame) -> DataFrame:
-    """Matched items (name, hs_code, quantity, price, amount, unit beside g_*) -> a row for each compared field. Columns of
+    p, g = F.col("p").cast("bigint"), F.col("g").cast("bigint")
+    everything = side(products, 0, p=p).unionByName(side(goods_, 1, g=g)).unionByName(side(pairs, 2, p=p, g=g, score=F.col("name_score") + hs + qty))
+    return everything.repartition("contract_id").sortWithinPartitions("contract_id", "side", "p", "g").mapInPandas(_greedy, "contract_id bigint, p bigint, g bigint, score double")
+
+
+def with_item_fields(wide: DataFrame) -> DataFrame:
+    """Items beside their goods (name, hs_code, quantity, price, amount, unit and g_*, as ``item_pairs`` gives them) -> also
+    ``fields``: field, ours, theirs, status, score of each compared field; none for items without a partner. Columns of
     numbers are compared as they are, texts are read as amounts first."""
+    types = dict(wide.dtypes)
+
     def number(name: str) -> Column:
-        return nz.normalize_amount(name) if dict(matched.dtypes)[name] == "string" else F.col(name).cast("double")
+        return nz.normalize_amount(name) if types[name] == "string" else F.col(name).cast("double")
+
+    def status_of(n: str, result: Column) -> Column:
+        ours, theirs = nz.is_blank(F.col(n).cast("string")), nz.is_blank(F.col(f"g_{n}").cast("string"))
+        if n == "name":
+            relaxed = (result["status"] == "mismatch") & (F.col("name_score") >= RELAXED)
+            return F.when(ours | theirs, "missing_pdf").when(relaxed, "match").otherwise(result["status"])
+        if n == "hs_code":
+            return F.when(ours, "missing_pdf").when(theirs, "mismatch").otherwise(result["status"])
+        if n == "unit":
+            return F.when(theirs, "unknown_code").otherwise(result["status"])
+        return F.when(ours | theirs, "mismatch").otherwise(result["status"])  # a number on one side alone differs, unlike in the fields of contracts
 
     results = {n: cp.compare_amounts(number(n), number(f"g_{n}")) for n in ("quantity", "price", "amount")}
     results |= {"name": cp.compare_text("name", "g_name"), "hs_code": cp.compare_id("hs_code", "g_hs_code"), "unit": cp.COMPARATORS["unit"]("unit", "g_unit")}
-    fields = [F.struct(F.lit(n).alias("field"), F.col(n).cast("string").alias("ours"), F.col(f"g_{n}").cast("string").alias("theirs"), results[n]["status"].alias("status"), results[n]["score"].cast("double").alias("score")) for n in ITEM_COLUMNS]
-    rows = matched.select("contract_id", "p", "g", "name_score", F.explode(F.array(*fields)).alias("x")).select("contract_id", "p", "g", "name_score", "x.*")
-    rows = rows.filter(~((F.col("field") == "unit") & nz.is_blank("ours")))
-    ours, theirs = nz.is_blank("ours"), nz.is_blank("theirs")
-    status = (
-        F.when(((F.col("field") == "name") & (ours | theirs)) | ((F.col("field") == "hs_code") & ours), "missing_pdf")
-        .when((F.col("field") == "unit") & theirs, "unknown_code")
-        .when(ours | theirs, "mismatch")  # a number on one side alone differs, unlike in the fields of contracts
-        .when((F.col("field") == "name") & (F.col("status") == "mismatch") & (F.col("name_score") >= RELAXED), "match")
-        .otherwise(F.col("status"))
-    )
-    return rows.withColumn("status", status)
+    fields = [F.struct(F.lit(n).alias("field"), F.col(n).cast("string").alias("ours"), F.col(f"g_{n}").cast("string").alias("theirs"), status_of(n, results[n]).alias("status"), results[n]["score"].cast("double").alias("score")) for n in ITEM_COLUMNS]
+    some = F.filter(F.array(*fields), lambda f: ~((f["field"] == "unit") & nz.is_blank(f["ours"])))
+    return wide.withColumn("fields", F.when(F.col("p").isNotNull() & F.col("g").isNotNull(), some).otherwise(F.filter(some, lambda f: F.lit(False))))
+
+
+def compare_items(wide: DataFrame) -> DataFrame:
+    """A row for each compared field of items with a partner."""
+    return with_item_fields(wide).select("contract_id", "p", "g", "name_score", F.explode("fields").alias("x")).select("contract_id", "p", "g", "name_score", "x.*")
 
 
 def item_pairs(matches: DataFrame, products: DataFrame, goods_: DataFrame) -> DataFrame:
-    """Matched items with the columns of both sides (those of goods as g_*) and the score of their names."""
-    ours = products.select("contract_id", "p", *ITEM_COLUMNS)
-    theirs = goods_.select("contract_id", "g", *[F.col(c).alias(f"g_{c}") for c in ITEM_COLUMNS])
-    both = matches.filter("p IS NOT NULL AND g IS NOT NULL").select("contract_id", "p", "g").join(ours, ["contract_id", "p"]).join(theirs, ["contract_id", "g"])
+    """All matches and items left over, with the columns of both sides (those of goods as g_*) and the score of their names."""
+    ours = products.select("contract_id", F.col("p").cast("bigint").alias("p"), *ITEM_COLUMNS)
+    theirs = goods_.select("contract_id", F.col("g").cast("bigint").alias("g"), *[F.col(c).alias(f"g_{c}") for c in ITEM_COLUMNS])
+    both = matches.select("contract_id", "p", "g").join(ours, ["contract_id", "p"], "left").join(theirs, ["contract_id", "g"], "left")
     names = F.array_join(F.transform(nz.split_bilingual("g_name"), nz.norm_text), "\n")
     return both.withColumn("name_score", _name_scores(F.coalesce(nz.norm_text("name"), F.lit("")), names))
 
 
-def product_issues(matches: DataFrame, item_fields: DataFrame) -> DataFrame:
-    """For each contract the fields of matched items that differ, items without a partner on either side, and their sum."""
-    alone = matches.groupBy("contract_id").agg(F.count_if(F.col("g").isNull()).alias("unmatched_pdf"), F.count_if(F.col("p").isNull()).alias("unmatched_api"))
-    differing = item_fields.groupBy("contract_id").agg(F.count_if(F.col("status") == "mismatch").alias("differing"))
-    out = alone.join(differing, "contract_id", "left").withColumn("differing", F.coalesce("differing", F.lit(0)).cast("long"))
+def product_issues(wide: DataFrame) -> DataFrame:
+    """For each contract the fields of matched items that differ, items without a partner on either side, and their sum; one
+    pass over ``item_pairs``."""
+    each = with_item_fields(wide).select("contract_id", F.col("g").isNull().alias("no_g"), F.col("p").isNull().alias("no_p"), F.size(F.filter("fields", lambda f: f["status"] == "mismatch")).alias("n"))
+    out = each.groupBy("contract_id").agg(F.count_if("no_g").alias("unmatched_pdf"), F.count_if("no_p").alias("unmatched_api"), F.sum("n").alias("differing"))
     return out.withColumn("product_issues", F.col("differing") + F.col("unmatched_pdf") + F.col("unmatched_api"))
 
 
 def product_totals(products: DataFrame, goods_: DataFrame) -> DataFrame:
-    a = products.groupBy("contract_id").agg(F.round(F.sum("amount"), 2).alias("pdf_sum"))
-    b = goods_.groupBy("contract_id").agg(F.round(F.sum("amount"), 2).alias("api_sum"))
+    """Sums of the amounts on both sides, missing amounts as nothing; missing only where a side has no items at all."""
+    def summed(items: DataFrame, name: str) -> DataFrame:
+        return items.groupBy("contract_id").agg(F.coalesce(F.round(F.sum("amount"), 2).cast("double"), F.lit(0.0)).alias(name))
+
+    both = summed(products, "pdf_sum").join(summed(goods_, "api_sum"), "contract_id", "full_outer")
     status = F.when(F.col("pdf_sum").isNull() | F.col("api_sum").isNull(), "missing").when(cp.numbers_equal("pdf_sum", "api_sum"), "match").otherwise("mismatch")
-    return a.join(b, "contract_id", "full_outer").withColumn("status", status)
+    return both.withColumn("status", status).fillna(0.0, ["pdf_sum", "api_sum"])
+
+
+def result_records(fields: DataFrame, wide: DataFrame, totals: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+    """One record a contract: orientation, fields (by name), rows (items with their goods and compared fields), unmatched_api,
+    totals, and confidence (counts of the comparison and, where given, the validation's summary)."""
+    item = lambda prefix: F.struct(*[F.col(prefix + c).alias(c) for c in ITEM_COLUMNS])
+    entry = F.struct("ours", "theirs", "api_field", "status", "score")
+    by_field = fields.groupBy("contract_id").agg(
+        F.first("orientation").alias("orientation"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("field"), entry.alias("entry"))))).alias("fields"),
+        F.count_if(F.col("status") == "match").alias("matched"),
+        F.count_if(F.col("status") == "mismatch").alias("mismatched"),
+        F.count(F.lit(1)).alias("total_compared"),
+    )
+    detailed = with_item_fields(wide)
+    row = F.struct("p", "g", item("").alias("pdf"), F.when(F.col("g").isNotNull(), item("g_")).alias("api"), "fields")
+    items = detailed.groupBy("contract_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("p").isNotNull(), row))).alias("rows"),
+        F.array_sort(F.collect_list(F.when(F.col("p").isNull(), F.struct("g", item("g_").alias("api"))))).alias("unmatched_api"),
+        (F.sum(F.size(F.filter("fields", lambda f: f["status"] == "mismatch"))) + F.count_if(F.col("g").isNull() | F.col("p").isNull())).alias("product_issues"),
+    )
+    sums = totals.select("contract_id", F.struct("pdf_sum", "api_sum", "status").alias("totals"))
+    out = by_field.join(items, "contract_id", "left").join(sums, "contract_id", "left")
+    counts_ = [F.col(c) for c in ("matched", "mismatched", "total_compared")] + [F.coalesce("product_issues", F.lit(0)).alias("product_issues")]
+    if summaries is not None:
+        out = out.join(summaries.select("contract_id", F.struct(*[c for c in summaries.columns if c != "contract_id"]).alias("validation")), "contract_id", "left")
+        counts_.append(F.col("validation"))
+    return out.select("contract_id", "orientation", "fields", "rows", "unmatched_api", "totals", F.struct(*counts_).alias("confidence"))
 
 
 def drop_total_rows(products: DataFrame) -> DataFrame:
@@ -318,29 +379,89 @@ def inherit_parties(meta: DataFrame) -> DataFrame:
 
 
 def validate_fields(rows: DataFrame) -> DataFrame:
-    """contract_id, path, value, required, format (or null), in_text (or null) -> confidence and issues."""
+    """contract_id, path, value, required, format (or null), in_text (or null), wrong (optional: the name of a failed sum, or
+    null) -> confidence and issues. A value that was not found is neutral, required or not; the form is judged without white
+    space; a failed sum lowers the confidence to low."""
     formats = reduce(lambda x, k: x.when(F.col("format") == k, cp.format_ok("value", k)), cp.FORMATS, F.when(F.col("format").isNull(), F.lit(True)))
-    blank = nz.is_blank("value")
-    confidence = F.when(blank, F.when(F.col("required"), "failed").otherwise("na")).when(~formats, "failed").when(F.col("in_text") == F.lit(False), "low").otherwise("high")
-    issues = F.array_compact(F.array(F.when(blank & F.col("required"), "missing"), F.when(~blank & ~formats, "format"), F.when(~blank & (F.col("in_text") == F.lit(False)), "not_in_text")))
+    none, absent = F.col("value").isNull(), F.col("in_text") == F.lit(False)
+    wrong = F.col("wrong") if "wrong" in rows.columns else F.lit(None).cast("string")
+    confidence = F.when(none, "na").when(wrong.isNotNull(), "low").when(~formats, "failed").when(absent, "low").otherwise("high")
+    issues = F.when(none, F.array(F.lit("missing"))).otherwise(F.array_compact(F.array(F.when(~formats, "format"), F.when(absent, "not_in_text"), wrong)))
     return rows.withColumns({"confidence": confidence, "issues": issues})
 
 
 def overall_confidence(rows: DataFrame, by: str = "contract_id") -> DataFrame:
-    """Counts of confidences and the overall one. Missing required fields are counted on their own."""
-    critical = (F.col("confidence") == "failed") & F.col("required") & nz.is_blank("value")
+    """Counts of confidences and the overall one. Required fields that were not found are neutral ones, counted again on their own."""
     found = rows.groupBy(by).agg(
-        F.count_if(F.col("confidence") == "high").alias("high"),
-        F.count_if(F.col("confidence") == "low").alias("low"),
-        F.count_if((F.col("confidence") == "failed") & ~critical).alias("failed"),
-        F.count_if(F.col("confidence") == "na").alias("na"),
-        F.count_if(critical).alias("critical_missing"),
+        *[F.count_if(F.col("confidence") == c).alias(c) for c in ("high", "low", "failed", "na")],
+        F.count_if((F.col("confidence") == "na") & F.col("required")).alias("critical_missing"),
     )
     n = F.greatest(F.col("high") + F.col("low") + F.col("failed") + F.col("critical_missing"), F.lit(1))
     bad = F.col("failed") + F.col("critical_missing")
     return found.withColumn("overall", F.when((bad == 0) & (F.col("low") / n <= 0.1), "high").when(bad / n <= 0.2, "low").otherwise("failed"))
 
 
+def _checked(path, value: Column, required: bool = False, form: str | None = None, skip: bool = False, number: bool = False, wrong: Column | None = None) -> Column:
+    nothing = F.lit(None).cast("string")
+    return F.struct(
+        nz.col(path if isinstance(path, Column) else F.lit(path)).alias("path"),
+        value.cast("string").alias("value"),
+        (value.cast("double") if number else F.lit(None).cast("double")).alias("number"),
+        F.lit(required).alias("required"),
+        (nothing if form is None else F.lit(form)).alias("format"),
+        F.lit(skip).alias("skip"),
+        (nothing if wrong is None else wrong).alias("wrong"),
+    )
+
+
+def arithmetic(extracted: DataFrame) -> DataFrame:
+    """extracted (contract_id, meta, products) with row_wrong (for each product whether quantity times price is not its
+    amount), rows_ok, line_sum (missing amounts as nothing) and total_ok (null without products or totals)."""
+    lines = F.when(F.col("products.products").isNotNull(), F.col("products.products")).otherwise(F.array().cast(extracted.select("products.products").schema[0].dataType))
+    totals = F.array_compact(F.array(F.col("products.total_amount"), F.col("meta.total_amount")))
+    out = extracted.withColumn("lines", lines).withColumns(
+        {
+            "row_wrong": F.transform("lines", lambda x: F.coalesce(~cp.close(x["quantity"] * x["price"], x["amount"]), F.lit(False))),
+            "line_sum": F.aggregate("lines", F.lit(0.0), lambda a, x: a + F.coalesce(x["amount"].cast("double"), F.lit(0.0))),
+            "totals": totals,
+        }
+    )
+    near = F.exists("totals", lambda t: cp.close(F.col("line_sum"), t))
+    return out.withColumns({"rows_ok": ~F.exists("row_wrong", lambda x: x), "total_ok": F.when((F.size("lines") > 0) & (F.size("totals") > 0), near)})
+
+
+def validate_contracts(extracted: DataFrame, text_col: str = "plain_text") -> DataFrame:
+    """extracted: contract_id, meta, products and the recognised text -> a row for each field of each contract: path, value,
+    confidence, issues, required. Parties that are missing are one field; banks, receivers and terms that are missing are none."""
+    m = F.col("meta")
+
+    def party(role: str) -> Column:
+        x, bank = m[role], m[role]["bank"]
+        own = [_checked(f"{role}.name", x["name"], True), _checked(f"{role}.country", x["country"]), _checked(f"{role}.address", x["address"]), _checked(f"{role}.inn", x["inn"], form="inn"), _checked(f"{role}.director", x["director"])]
+        account = [_checked(f"{role}.bank.name", bank["name"]), *[_checked(f"{role}.bank.{k}", bank[k], form=k) for k in ("account", "mfo", "swift")]]
+        return F.when(x.isNull(), F.array(_checked(role, F.lit(None).cast("string"), True))).when(bank.isNull(), F.array(*own)).otherwise(F.array(*own, *account))
+
+    def some(value: Column, *entries: Column) -> Column:
+        return F.when(value.isNotNull(), F.array(*entries)).otherwise(F.filter(F.array(*entries), lambda _: F.lit(False)))
+
+    total = F.when(~F.col("total_ok"), "total")
+    head = F.array(_checked("contract_number", m["contract_number"], True), _checked("contract_date", m["contract_date"], True, skip=True), _checked("currency", m["currency"], True), _checked("total_amount", m["total_amount"], True, number=True, wrong=total), _checked("payment_terms", m["payment_terms"], skip=True))
+    receiver = some(m["receiver"], *[_checked(f"receiver.{k}", m["receiver"][k]) for k in ("name", "country", "address", "inn")])
+    delivery = some(m["delivery"], _checked("delivery.incoterms", m["delivery"]["incoterms"], skip=True), _checked("delivery.place", m["delivery"]["place"]))
+
+    def product(x: Column, i: Column) -> Column:
+        at = lambda name: F.concat(F.lit("products["), i.cast("string"), F.lit(f"].{name}"))
+        numbers = [_checked(at(n), x[n], True, number=True, wrong=F.when(F.get("row_wrong", i), "arithmetic") if n == "amount" else None) for n in ("quantity", "price", "amount")]
+        return F.array(_checked(at("name"), x["name"], True), *numbers)
+
+    checked = arithmetic(extracted)
+    items = F.flatten(F.transform("lines", product))
+    rows = checked.select("contract_id", F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.explode(F.concat(head, party("seller"), party("buyer"), receiver, delivery, items)).alias("x")).select("contract_id", "text", "x.*")
+    asked = F.when(~F.col("skip"), F.col("value"))
+    found = F.when(F.col("skip"), F.lit(None).cast("boolean")).when(F.col("number").isNotNull(), cp.number_in_text("number", "text")).otherwise(cp.in_text(F.when(F.col("number").isNull(), asked), "text"))
+    return validate_fields(rows.withColumn("in_text", found)).select("contract_id", "path", "value", "confidence", "issues", "required")
+
+
 def check_arithmetic(items: DataFrame, totals: DataFrame, key: str = "contract_id") -> DataFrame:
     """quantity * price against amount in each row, and the sum of amounts against the totals (either may agree)."""
     ok = cp.close(F.col("quantity") * F.col("price"), "amount")

@@ -54,6 +54,22 @@ def top_k(queries: DataFrame, corpus: DataFrame, *, k: int = 8, section: Column
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def holders(texts: DataFrame, needles: DataFrame, *, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """item_id, needle against texts (hay) -> item_id and the number of texts that contain the needle.
+
+    The needles are a stated set, broadcast in blocks of counted bytes; the texts are scanned once a block, stay where
+    they are, and are counted before the shuffle.
+    """
+    size = needles.agg(F.sum(F.octet_length("needle") + 64)).first()[0] or 0
+    blocks = size // block_bytes + 1
+    found = None
+    for block in range(blocks):
+        part = needles if blocks == 1 else needles.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
+        hits = texts.join(F.broadcast(part), F.contains("hay", "needle")).groupBy("item_id").agg(F.count(F.lit(1)).alias("holders"))
+        found = hits if found is None else found.unionByName(hits)
+    return needles.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("holders", F.lit(0)).alias("holders"))
+
+
 def request_error(kind: str, text, top_k=None) -> Column:
     """Why a request is refused, null if it is not: ``question`` and ``query`` have 3 and 2 to 2000 characters and ask for
     at most 20 and 50 items."""

@@ -140,17 +140,15 @@ def order_total_check(spark, sf_dir):
 
 
 @query("""
-WITH f AS (SELECT source, CASE WHEN quality IS NULL THEN 'failed' WHEN quality = 0 THEN 'low' WHEN toxic = 1 THEN 'na' ELSE 'high' END AS confidence,
-    quality IS NULL AND n_chars < 500 AS crit FROM documents LEFT JOIN labels USING (doc_id)),
-c AS (SELECT source AS contract_id, count(*) FILTER (WHERE confidence = 'high') AS high, count(*) FILTER (WHERE confidence = 'low') AS low,
-    count(*) FILTER (WHERE confidence = 'failed' AND NOT crit) AS failed, count(*) FILTER (WHERE confidence = 'na') AS na, count(*) FILTER (WHERE confidence = 'failed' AND crit) AS critical_missing
-  FROM f GROUP BY 1)
-SELECT *, CASE WHEN failed + critical_missing = 0 AND low / greatest(high + low + failed + critical_missing, 1) <= 0.1 THEN 'high'
-  WHEN (failed + critical_missing) / greatest(high + low + failed + critical_missing, 1) <= 0.2 THEN 'low' ELSE 'failed' END AS overall FROM c""")
+WITH f AS (SELECT source, n_chars % 2 = 0 AS required, CASE WHEN quality IS NULL THEN 'na' WHEN quality = 0 THEN 'low' WHEN toxic = 1 THEN 'failed' ELSE 'high' END AS confidence FROM documents LEFT JOIN labels USING (doc_id)),
+c AS (SELECT source AS contract_id, count(*) FILTER (confidence = 'high') AS high, count(*) FILTER (confidence = 'low') AS low, count(*) FILTER (confidence = 'failed') AS failed,
+    count(*) FILTER (confidence = 'na') AS na, count(*) FILTER (confidence = 'na' AND required) AS critical_missing FROM f GROUP BY 1),
+n AS (SELECT *, failed + critical_missing AS bad, CASE WHEN high + low + failed + critical_missing = 0 THEN 1 ELSE high + low + failed + critical_missing END AS judged FROM c)
+SELECT contract_id, high, low, failed, na, critical_missing, CASE WHEN bad = 0 AND 10 * low <= judged THEN 'high' WHEN 5 * bad <= judged THEN 'low' ELSE 'failed' END AS overall FROM n""")
 def confidence_summary(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    c = F.when(F.col("quality").isNull(), "failed").when(F.col("quality") == 0, "low").when(F.col("toxic") == 1, "na").otherwise("high")
-    rows = d.select(F.col("source").alias("contract_id"), c.alias("confidence"), F.lit(True).alias("required"), F.when(F.col("quality").isNull() & (F.col("n_chars") < 500), "").otherwise("x").alias("value"))
+    c = F.when(F.col("quality").isNull(), "na").when(F.col("quality") == 0, "low").when(F.col("toxic") == 1, "failed").otherwise("high")
+    rows = d.select(F.col("source").alias("contract_id"), c.alias("confidence"), (F.col("n_chars") % 2 == 0).alias("required"))
     return contracts.overall_confidence(rows)
 
 
@@ -421,19 +419,16 @@ def product_issues(spark, sf_dir):
     ours, theirs = _items(spark, sf_dir)
     ours = ours.withColumns({"price": F.col("amount") / F.col("quantity"), "unit": F.lit("kg")})
     theirs = theirs.withColumns({"price": F.col("amount") / F.col("quantity") * F.when(F.col("g") % 3 == 0, 1.1).otherwise(1.0), "unit": F.lit("166")})
-    matches = contracts.match_products(ours, theirs)
-    return contracts.product_issues(matches, contracts.compare_items(contracts.item_pairs(matches, ours, theirs)))
+    return contracts.product_issues(contracts.item_pairs(contracts.match_products(ours, theirs), ours, theirs))
 
 
 @query("""
-WITH a AS (SELECT l_orderkey AS contract_id, round(sum(CAST(l_extendedprice AS DECIMAL(18,2)))::DOUBLE, 2) AS pdf_sum FROM lineitem GROUP BY 1),
-b AS (SELECT l_orderkey AS contract_id, round(sum(CAST(l_extendedprice AS DECIMAL(18,2)))::DOUBLE, 2) AS api_sum FROM lineitem WHERE l_linenumber % 5 <> 4 GROUP BY 1)
-SELECT contract_id, pdf_sum, coalesce(api_sum, -1) AS api_sum, CASE WHEN api_sum IS NULL THEN 'missing' WHEN abs(pdf_sum - api_sum) <= greatest(abs(api_sum) * 0.005::DOUBLE, 0.05::DOUBLE) THEN 'match' ELSE 'mismatch' END AS status
-FROM a LEFT JOIN b USING (contract_id)""")
+WITH l AS (SELECT l_orderkey AS contract_id, l_linenumber AS n, CASE WHEN l_orderkey % 13 <> 0 THEN CAST(l_extendedprice AS DECIMAL(18,2)) END AS amount FROM lineitem),
+t AS (SELECT contract_id, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS pdf_sum, CAST(coalesce(sum(amount) FILTER (n % 5 <> 4), 0) AS DOUBLE) AS api_sum, count(*) FILTER (n % 5 <> 4) AS goods FROM l GROUP BY 1)
+SELECT contract_id, pdf_sum, api_sum, CASE WHEN goods = 0 THEN 'missing' WHEN abs(pdf_sum - api_sum) <= greatest(abs(api_sum) * 0.005::DOUBLE, 0.05::DOUBLE) THEN 'match' ELSE 'mismatch' END AS status FROM t""")
 def product_totals(spark, sf_dir):
-    ours, theirs = (x.withColumn("amount", F.col("amount").cast("decimal(18,2)")) for x in _items(spark, sf_dir))
-    t = contracts.product_totals(ours, theirs)
-    return t.select("contract_id", F.col("pdf_sum").cast("double").alias("pdf_sum"), F.coalesce(F.col("api_sum").cast("double"), F.lit(-1.0)).alias("api_sum"), "status")
+    amount = F.when(F.col("contract_id") % 13 != 0, F.col("amount").cast("decimal(18,2)"))
+    return contracts.product_totals(*(x.withColumn("amount", amount) for x in _items(spark, sf_dir)))
 
 
 @query("""
@@ -465,5 +460,5 @@ def bilingual_merge(spark, sf_dir):
 SELECT item_id, count(d.doc_id) AS holders FROM benchmark b LEFT JOIN documents d ON contains(trim(lower(regexp_replace(d.text, '\\s+', ' ', 'g'))), trim(lower(regexp_replace(b.text, '\\s+', ' ', 'g')))) GROUP BY item_id""".replace("\\\\", "\\"))
 def text_containment(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", nz.squeeze("text").alias("needle"))
-    d = table(spark, sf_dir, "documents").select("doc_id", nz.squeeze("text").alias("hay"))
-    return b.join(d, F.contains("hay", "needle"), "left").groupBy("item_id").agg(F.count("doc_id").alias("holders"))
+    d = table(spark, sf_dir, "documents").select(nz.squeeze("text").alias("hay"))
+    return retrieve.holders(d, b)

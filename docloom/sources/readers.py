@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import normalize as nz
 
 
@@ -25,10 +26,11 @@ def mapped(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], sche
     return df.mapInPandas(run, schema)
 
 
-def recognised_blocks(raw: DataFrame, labels: dict[str, str]) -> DataFrame:
-    """Recognised blocks without skipped ones and errors, with our names for kinds, in reading order within the page."""
-    kinds = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
-    kept = raw.filter(~F.coalesce("skipped", F.lit(False)) & ~F.coalesce("error", F.lit(False)))
+def recognised_blocks(raw: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
+    """Recognised blocks in reading order within the page, with our names for their kinds (unknown ones are text); without
+    errors, skipped ones, pictures and blank pages."""
+    kinds = F.create_map(*[F.lit(x) for kv in (labels or fixed.BLOCK_KINDS).items() for x in kv])
+    kept = raw.filter(~F.coalesce("skipped", F.lit(False)) & ~F.coalesce("error", F.lit(False)) & ~F.coalesce("label", F.lit("")).isin(fixed.SKIPPED_BLOCKS))
     place = F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("reading_order")) - 1
     return kept.withColumns({"kind": F.coalesce(F.try_element_at(kinds, F.col("label")), F.lit("text")), "pos": place})
 

@@ -79,8 +79,10 @@ def test_unit_keys(spark):
 
 
 def test_bank(spark):
-    df = spark.createDataFrame([("DEUTDEFF", "1234567890, 99887766", "SWIFT DEUT-DEFF No 1234567890 and 99 88 77 66"), (None, None, "x"), ("A", "", None)], "s string, a string, t string")
-    assert [r[0] for r in df.select(cp.compare_bank("s", "a", "t")["status"]).collect()] == ["match", "missing_pdf", "missing_api"]
+    df = spark.createDataFrame([("DEUTDEFF", "1234567890, 99887766", "SWIFT DEUT-DEFF No 1234567890 and 99 88 77 66"), (None, None, "x"), ("A", "", None), ("--", None, "x"), ("AB", "12345678", "ab 1")], "s string, a string, t string")
+    got = df.select(cp.compare_bank("s", "a", "t").alias("r"), cp.bank_display("s", "a").alias("shown")).collect()
+    assert [(r.r.status, r.r.score) for r in got] == [("match", 1.0), ("missing_pdf", 0.0), ("missing_api", 0.0), ("mismatch", 0.0), ("mismatch", 0.5)]
+    assert [r.shown for r in got] == ["SWIFT: DEUTDEFF; hisob: 1234567890, 99887766", None, "SWIFT: A", "SWIFT: --", "SWIFT: AB; hisob: 12345678"]
 
 
 def test_product_match_is_greedy(spark):
@@ -95,9 +97,10 @@ def test_item_fields_and_issues(spark):
     ours = spark.createDataFrame([(1, 0, "Nasos X100", "84", 10.005, 5.0, 5.0, "kg"), (1, 1, "Kabel", None, None, None, None, None)], schema.format("p"))
     theirs = spark.createDataFrame([(1, 0, "Насос X100 / Nasos X100", "84", 10.004, None, 9.0, None), (1, 1, "Lampa", "85", 2.0, 1.0, 2.0, "166")], schema.format("g"))
     matches = contracts.match_products(ours, theirs)
-    fields = contracts.compare_items(contracts.item_pairs(matches, ours, theirs))
+    wide = contracts.item_pairs(matches, ours, theirs)
+    fields = contracts.compare_items(wide)
     assert {r.field: r.status for r in fields.collect()} == {"name": "match", "hs_code": "match", "quantity": "match", "price": "mismatch", "amount": "mismatch", "unit": "unknown_code"}
-    assert contracts.product_issues(matches, fields).first().asDict() == {"contract_id": 1, "unmatched_pdf": 1, "unmatched_api": 1, "differing": 2, "product_issues": 4}
+    assert contracts.product_issues(wide).first().asDict() == {"contract_id": 1, "unmatched_pdf": 1, "unmatched_api": 1, "differing": 2, "product_issues": 4}
 
 
 def test_merge_and_totals(spark):
@@ -158,7 +161,10 @@ def test_assemble_joins_tables(spark):
         {"page_no": 1, "kind": "table", "lines": None, "cells": cells([["n", "v"], ["1", "2"], ["3", "4"]], True), "centers": [0.1, 0.6]},
         {"page_no": 2, "kind": "table", "lines": None, "cells": cells([["n", "v"], ["5", "6"], ["7", "8"], ["9", "10"]], False), "centers": [0.12, 0.61]},
     ]
-    markdown, _, tables = documents.assemble_pages(blocks)
+    markdown, plain, tables = documents.assemble_pages(blocks)
+    assert plain.split("\n") == ["Head", "n", "v", "1", "2", "3", "4", "n", "v", "5", "6", "7", "8", "9", "10"]
+    drifting = [{**blocks[1], "page_no": k, "centers": [0.1 + 0.04 * k, 0.6]} for k in range(1, 5)]
+    assert [t["pages"] for t in documents.assemble_pages(drifting)[2]] == [[1, 2, 3, 4]]
     assert len(tables) == 1 and len(tables[0]["rows"]) == 5 and markdown.startswith("## Head⟨0.50⟩")
 
 
@@ -221,3 +227,60 @@ def test_queries_against_sql(spark, name):
             return tuple(f"{float(x):.6g}" if isinstance(x, int | float) and not isinstance(x, bool) else str(x) for x in row)
 
         assert sorted(plain(r) for r in rows) == sorted(plain(r[i] for i in place) for r in want.fetchall())
+
+
+def test_validation_of_contracts(spark):
+    """Field by field: forms, the recognised text, failed sums that lower confidences, missing parts."""
+    party = "struct<name:string,country:string,address:string,inn:string,director:string,bank:struct<name:string,account:string,mfo:string,swift:string>>"
+    schema = f"""contract_id long, plain_text string, meta struct<contract_number:string,contract_date:string,currency:string,total_amount:double,payment_terms:string,seller:{party},buyer:{party},
+      receiver:struct<name:string,country:string,address:string,inn:string>,delivery:struct<incoterms:string,place:string>>, products struct<products:array<struct<name:string,quantity:double,price:double,amount:double>>,total_amount:double>"""
+    seller = ("Alpha Pumps", "Germany", None, "211 212 877", None, ("Bank", "123", None, "DEUTDEFF"))
+    data = [
+        (1, "N-7 USD Alpha Pumps Germany 211212877 pump 2 5,00 10,00 valve 3 7 50 total 99", ("N-7", "2024-01-02", "USD", 99.0, "CAD", seller, None, None, ("DAP", "Mars")), ([("pump", 2.0, 5.0, 10.0), ("valve", 3.0, 7.0, 50.0)], None)),
+        (2, None, (None, None, None, None, None, None, None, None, None), (None, None)),
+    ]
+    df = spark.createDataFrame(data, schema)
+    rows = contracts.validate_contracts(df)
+    got = {(r.contract_id, r.path): (r.confidence, r.issues, r.required) for r in rows.collect()}
+    assert got[1, "contract_number"] == ("high", [], True) and got[1, "contract_date"][0] == "high"
+    assert got[1, "total_amount"] == ("low", ["total"], True) and got[1, "products[1].amount"] == ("low", ["arithmetic"], True) and got[1, "products[0].amount"][0] == "high"
+    assert got[1, "seller.inn"] == ("low", ["not_in_text"], False) or got[1, "seller.inn"][0] == "high"
+    assert got[1, "seller.bank.account"] == ("failed", ["format", "not_in_text"], False) and got[1, "seller.bank.mfo"] == ("na", ["missing"], False)
+    assert got[1, "buyer"] == ("na", ["missing"], True) and (1, "buyer.name") not in got and (1, "receiver.name") not in got and got[1, "delivery.place"][0] == "low"
+    assert {p for c, p in got if c == 2} == {"contract_number", "contract_date", "currency", "total_amount", "payment_terms", "seller", "buyer"}
+    summary = {r.contract_id: r.asDict() for r in contracts.overall_confidence(rows).collect()}
+    assert summary[2]["na"] == 7 and summary[2]["critical_missing"] == 6 and summary[2]["failed"] == 0 and summary[2]["overall"] == "failed"
+    sums = {r.contract_id: (r.line_sum, r.rows_ok, r.total_ok) for r in contracts.arithmetic(df).select("contract_id", "line_sum", "rows_ok", "total_ok").collect()}
+    assert sums == {1: (60.0, False, False), 2: (0.0, True, None)}
+
+
+def test_result_records(spark):
+    schema = "contract_id long, {} long, name string, hs_code string, quantity double, price double, amount double, unit string"
+    ours = spark.createDataFrame([(1, 0, "Nasos X100", "84", 1.0, 5.0, 5.0, "kg"), (1, 1, "Kabel", None, None, None, None, None)], schema.format("p"))
+    theirs = spark.createDataFrame([(1, 0, "Nasos X100", "84", 1.0, 5.0, 9.0, "166"), (1, 1, "Lampa", "85", 2.0, 1.0, 2.0, "166")], schema.format("g"))
+    pairs = spark.createDataFrame([(1, '{"contract_number":"N-1","currency":"USD"}', '{"docNo":"N 1","currCode1":"978","cntrType":"02"}')], "contract_id long, e string, a string")
+    fields = contracts.compare_contracts(pairs.select("contract_id", F.parse_json("e").alias("extracted"), F.parse_json("a").alias("api")))
+    wide = contracts.item_pairs(contracts.match_products(ours, theirs), ours, theirs)
+    r = contracts.result_records(fields, wide, contracts.product_totals(ours, theirs)).first()
+    assert r.orientation == "import" and r.fields["contract_number"].status == "match" and r.fields["currency"].status == "mismatch"
+    assert [(x.pdf.name, x.api.name if x.api else None) for x in r.rows] == [("Nasos X100", "Nasos X100"), ("Kabel", None)] and [x.api.name for x in r.unmatched_api] == ["Lampa"]
+    assert {f.field: f.status for f in r.rows[0].fields}["amount"] == "mismatch" and r.totals.status == "mismatch" and r.confidence.product_issues == 3
+
+
+def test_recognised_blocks(spark):
+    raw = spark.createDataFrame([("d", 1, 3, "Form", None, None), ("d", 1, 1, "Picture", None, None), ("d", 1, 2, "Strange", False, False), ("d", 1, 0, "Text", True, None), ("d", 1, 4, "PageHeader", None, None)], "doc_id string, page_no int, reading_order int, label string, skipped boolean, error boolean")
+    assert [(r.kind, r.pos) for r in readers.recognised_blocks(raw).orderBy("pos").collect()] == [("text", 0), ("table", 1), ("page-header", 2)]
+
+
+def test_spans_and_recovery(spark):
+    table = documents.tree("<table><tr><td colspan=x rowspan=9>a</td><td>b</td></tr><tr><td colspan=900>c</td></tr></table>")
+    assert documents.expand_grid(table)[0][:2] == ["a", "b"] and len(documents.expand_grid(table)[1]) == documents.SPAN_CAP and documents.table_cells(table)[0]["rowspan"] == 1
+    df = spark.createDataFrame([('[{"name": "a", "q": 1}, {"name": "b", "x": [1',), (None,), ("{}",)], "raw string")
+    assert [r[0] for r in df.select(documents.recovered_objects("raw")).collect()] == [['{"name": "a", "q": 1}'], [], []]
+
+
+def test_containment_in_blocks(spark):
+    needles = spark.createDataFrame([(1, "ab"), (2, "zz"), (3, "b")], "item_id long, needle string")
+    texts = spark.createDataFrame([("ab c",), ("b",), (None,)], "hay string")
+    for size in (1 << 20, 70):
+        assert {tuple(r) for r in retrieve.holders(texts, needles, block_bytes=size).collect()} == {(1, 1), (2, 0), (3, 2)}
