@@ -201,15 +201,21 @@ COMPARATORS = {
 }
 
 
-def compare_value(ours, theirs, kind) -> Column:
+#: Kinds whose comparators need Python; the others stay in the JVM.
+PYTHON_KINDS = ("text", "address", "country")
+
+
+def compare_value(ours, theirs, kind, kinds=tuple(COMPARATORS)) -> Column:
     """With the rule for blanks: nothing on their side is missing_api (or missing_pdf if we have nothing too); nothing on
-    ours alone is a mismatch. ``kind`` is a name, or a column of names (then each kind's comparator sees its rows only)."""
+    ours alone is a mismatch. ``kind`` is a name, or a column of names out of ``kinds`` (then each kind's comparator sees its
+    rows only, and no comparator of another kind is in the plan)."""
     a, b = col(ours), col(theirs)
     none = F.lit(0.0)
     if isinstance(kind, str):
         compared = COMPARATORS[kind](a, b)
     else:
-        compared = reduce(lambda x, k: x.when(kind == k, COMPARATORS[k](F.when(kind == k, a), F.when(kind == k, b))), list(COMPARATORS)[1:], F.when(kind == "number", compare_number(a, b)))
+        cases = [(kind == k, COMPARATORS[k](F.when(kind == k, a), F.when(kind == k, b))) for k in kinds]
+        compared = reduce(lambda x, case: x.when(*case), cases[1:], F.when(*cases[0]))
     return (
         F.when(nz.is_blank(b.cast("string")), F.struct(F.when(nz.is_blank(a.cast("string")), "missing_pdf").otherwise("missing_api").alias("status"), none.alias("score")))
         .when(nz.is_blank(a.cast("string")), F.struct(F.lit("mismatch").alias("status"), none.alias("score")))

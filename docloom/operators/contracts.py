@@ -61,8 +61,8 @@ def flatten_extracted(extracted: DataFrame) -> DataFrame:
     return extracted.select(*[c for c in extracted.columns if c not in ("meta", "products")], "meta.*", F.col("products.products").alias("products"), F.col("products.total_amount").alias("products_total"))
 
 
-def field_rows(pairs: DataFrame, orientation: Column) -> DataFrame:
-    """contract_id, extracted and api (VARIANT) -> a row for each compared field: field, api_field, kind, ours, theirs.
+def field_rows(pairs: DataFrame, orientation: Column, kinds: tuple[str, ...] = tuple(cp.COMPARATORS)) -> DataFrame:
+    """contract_id, extracted and api (VARIANT) -> a row for each compared field of these kinds: field, api_field, kind, ours, theirs.
 
     One literal list drives the unpivot; receivers are left out for contract types without one.
     """
@@ -77,14 +77,15 @@ def field_rows(pairs: DataFrame, orientation: Column) -> DataFrame:
         value = get_path(F.col("extracted"), path)
         return F.coalesce(F.when(~nz.is_blank(value), value), get_path(F.col("extracted"), "currency")) if path == "payment_currency" else value
 
-    rows = [F.struct(F.lit(p).alias("field"), F.lit(a).alias("api_field"), F.lit(k).alias("kind"), ours(p).alias("ours"), get_path(F.col("api"), a).alias("theirs")) for p, a, k in FIELDS]
-    rows.append(F.struct(F.lit("contract_type").alias("field"), F.lit("cntrType").alias("api_field"), F.lit("contract_type").alias("kind"), orientation.alias("ours"), get_path(F.col("api"), "cntrType").alias("theirs")))
+    rows = [F.struct(F.lit(p).alias("field"), F.lit(a).alias("api_field"), F.lit(k).alias("kind"), ours(p).alias("ours"), get_path(F.col("api"), a).alias("theirs")) for p, a, k in FIELDS if k in kinds]
+    if "contract_type" in kinds:
+        rows.append(F.struct(F.lit("contract_type").alias("field"), F.lit("cntrType").alias("api_field"), F.lit("contract_type").alias("kind"), orientation.alias("ours"), get_path(F.col("api"), "cntrType").alias("theirs")))
     out = pairs.select("contract_id", type_code.alias("type_code"), orientation.alias("orientation"), F.explode(F.array(*rows)).alias("x")).select("contract_id", "type_code", "orientation", "x.*")
     return out.filter(~(F.col("field").startswith("receiver.") & F.col("type_code").isin(fixed.NO_RECEIVER_TYPES))).drop("type_code")
 
 
-def compared(rows: DataFrame) -> DataFrame:
-    result = cp.compare_value("ours", "theirs", F.col("kind"))
+def compared(rows: DataFrame, kinds: tuple[str, ...] = tuple(cp.COMPARATORS)) -> DataFrame:
+    result = cp.compare_value("ours", "theirs", F.col("kind"), kinds)
     return rows.withColumn("result", result).select(*rows.columns, "result.status", "result.score")
 
 
@@ -110,16 +111,21 @@ def orientation_of(pairs: DataFrame) -> DataFrame:
     known = F.when(seller & ~F.coalesce(buyer, F.lit(False)), "export").when(buyer & ~F.coalesce(seller, F.lit(False)), "import")
     decided = pairs.withColumn("known", known)
     open_ = decided.filter("known IS NULL").withColumn("guess", F.explode(F.array(F.lit("import"), F.lit("export"))))
-    scored = compared(field_rows(open_, F.col("guess")).filter(F.col("field").isin(*ORIENTATION_FIELDS)))
+    kinds = tuple(dict.fromkeys(k for path, _, k in FIELDS if path in ORIENTATION_FIELDS))
+    scored = compared(field_rows(open_, F.col("guess"), kinds).filter(F.col("field").isin(*ORIENTATION_FIELDS)), kinds)
     sums = scored.groupBy("contract_id", "orientation").agg(F.sum("score").alias("score"))
     best = sums.groupBy("contract_id").agg(F.max_by("orientation", F.struct("score", "orientation")).alias("orientation"))  # "import" sorts after "export"
     return decided.filter("known IS NOT NULL").select("contract_id", F.col("known").alias("orientation")).unionByName(best)
 
 
 def compare_contracts(pairs: DataFrame, confidence: DataFrame | None = None) -> DataFrame:
-    """All compared fields of all contracts, with the validation's confidence of ours where given."""
+    """All compared fields of all contracts, with the validation's confidence of ours where given. Fields whose comparators
+    need Python are a branch of their own, so no other field is sent there; each path is read in one branch only."""
     sided = pairs.join(orientation_of(pairs), "contract_id")
-    rows = compared(field_rows(sided, F.col("orientation"))).unionByName(bank_rows(sided, F.col("orientation")))
+    native = tuple(k for k in cp.COMPARATORS if k not in cp.PYTHON_KINDS)
+    rows = bank_rows(sided, F.col("orientation"))
+    for kinds in (native, cp.PYTHON_KINDS):
+        rows = rows.unionByName(compared(field_rows(sided, F.col("orientation"), kinds), kinds))
     if confidence is not None:
         seller_is = F.when(F.col("orientation") == "export", F.lit("buyer.")).otherwise(F.lit("seller."))
         buyer_is = F.when(F.col("orientation") == "export", F.lit("seller.")).otherwise(F.lit("buyer."))
