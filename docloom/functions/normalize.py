@@ -270,6 +270,12 @@ def content_hash(c) -> Column:
     return F.sha2(col(c).cast("binary"), 256)
 
 
+def iso_timestamp(c) -> Column:
+    """ISO 8601 with a T; fractions of a second only where there are any, as six digits."""
+    c = col(c)
+    return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.date_format(c, "SSSSSS") == "000000", "").otherwise(F.date_format(c, ".SSSSSS")))
+
+
 def uuid5(namespace_hex: str, name) -> Column:
     """Version 5 identifier of a name."""
     h = F.substring(F.sha1(F.concat(F.unhex(F.lit(namespace_hex)), F.encode(col(name), "utf-8"))), 1, 32)

@@ -16,6 +16,11 @@ def merge_sessions(sessions: DataFrame, touched: DataFrame, user: str = "user_id
     return sessions.unionByName(touched).groupBy(user).agg(F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), F.sum("message_count").alias("message_count"))
 
 
+def log_messages(messages: DataFrame, sessions: DataFrame, new: DataFrame, user: str = "user_id") -> tuple[DataFrame, DataFrame]:
+    """Messages with the new ones (the same columns), and the sessions that they move on or begin."""
+    return messages.unionByName(new), merge_sessions(sessions, touch(new, user), user)
+
+
 def history(messages: DataFrame, limit: int = 50, user: str = "user_id", order: str = "id") -> DataFrame:
     """The last messages of every user, oldest first within the user."""
     if not 1 <= limit <= 200:

@@ -210,12 +210,23 @@ def _contract_pairs(spark, sf_dir) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("contract_id"), F.parse_json(F.to_json(extracted)).alias("extracted"), F.parse_json(F.to_json(api)).alias("api"))
 
 
-@query()
+_MATCHING = "'FOR.country', 'FOR.name', 'UZ.inn', 'UZ.name', 'contract_date', 'contract_type', 'currency'"
+_STATUSES = f"""
+WITH o AS (SELECT o_orderkey AS contract_id, o_orderkey % 11 = 0 AS other_number, o_totalprice AS ours, round(o_totalprice * CASE WHEN o_orderkey % 7 = 0 THEN 1.2::DOUBLE ELSE 1 END, 2) AS theirs FROM orders),
+f AS (SELECT unnest([{_MATCHING}, 'contract_number', 'total_amount', 'payment_currency', 'FOR.address', 'FOR.bank.attributes', 'FOR.bank.name', 'UZ.address', 'delivery.incoterms', 'delivery.place',
+  'manufacturer.country', 'manufacturer.inn', 'manufacturer.name', 'payment_deadline', 'receiver.country', 'receiver.inn', 'receiver.name', 'specification_number', 'supplier.country', 'supplier.inn', 'supplier.name']) AS field),
+s AS (SELECT contract_id, field, CASE WHEN field IN ({_MATCHING}) THEN 'match' WHEN field = 'contract_number' THEN CASE WHEN other_number THEN 'mismatch' ELSE 'match' END
+  WHEN field = 'total_amount' THEN CASE WHEN abs(ours - theirs) <= greatest(abs(theirs) * 0.005::DOUBLE, 0.05::DOUBLE) THEN 'match' ELSE 'mismatch' END
+  WHEN field = 'payment_currency' THEN 'missing_api' ELSE 'missing_pdf' END AS status FROM o, f)
+"""
+
+
+@query(_STATUSES + "SELECT contract_id, 'import' AS orientation, field, status, CASE status WHEN 'match' THEN 1.0 ELSE 0.0 END AS score FROM s")
 def contract_reconcile(spark, sf_dir):
     return contracts.compare_contracts(_contract_pairs(spark, sf_dir)).select("contract_id", "orientation", "field", "status", "score")
 
 
-@query()
+@query(_STATUSES + "SELECT contract_id, count(*) FILTER (status = 'match') AS matched, count(*) FILTER (status = 'mismatch') AS mismatched, count(*) AS total_compared FROM s GROUP BY contract_id")
 def contract_counts(spark, sf_dir):
     return contracts.counts(contracts.compare_contracts(_contract_pairs(spark, sf_dir)))
 
@@ -336,7 +347,10 @@ def document_list_ids(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", nz.document_id(line).alias("document_id"))
 
 
-@query()
+@query(r"""
+WITH a AS (SELECT page_id, string_split_regex(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '<x>', 'g'), '<[^>]*>') AS parts FROM pages),
+b AS (SELECT page_id, list_filter(list_transform(parts, lambda x: regexp_replace(replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&amp;', '&'), '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts FROM a)
+SELECT page_id, regexp_replace(replace(array_to_string(parts, ' '), chr(160), ' '), '[ \t]{2,}', ' ', 'g') AS text FROM b""")
 def page_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", documents.html_text("html").alias("text"))
 
@@ -351,9 +365,20 @@ def _pages_as_documents(spark, sf_dir) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("document_id"), html.alias("html"))
 
 
-@query()
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k, lang, source FROM documents),
+t AS (SELECT *, regexp_replace(k || '. ' || line, '[ \t]{2,}', ' ', 'g') AS raw FROM l),
+s AS (SELECT *, regexp_replace(raw, '\s+$', '') AS text FROM t),
+g AS (SELECT *, CASE WHEN regexp_matches(text, '^\d+\.\s') THEN 1 ELSE 0 END AS starts FROM s),
+b AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY k) AS band FROM g),
+bands AS (SELECT doc_id, band, CASE WHEN max(starts) = 1 THEN CAST(min(k) AS VARCHAR) END AS band_number, '-' || (min(k) - 1) AS element_id, string_agg(text, chr(10) ORDER BY k) AS embed_text FROM b GROUP BY ALL),
+ends AS (SELECT doc_id, arg_max(text, k) AS lead, any_value(lang) AS lang, any_value(source) AS source FROM b GROUP BY 1),
+rows AS (
+  SELECT doc_id, 'band' AS kind, band_number, element_id, embed_text, band AS place FROM bands
+  UNION ALL SELECT doc_id, 'jadval', NULL, NULL, 'Doc' || CASE WHEN length(lead) BETWEEN 20 AND 120 AND NOT ends_with(lead, '.') THEN ' — ' || lead ELSE '' END || ' — ' || lang || '; source: ' || source, 1000000000 FROM ends WHERE coalesce(lang, '') <> '' AND coalesce(source, '') <> '')
+SELECT CAST(doc_id AS VARCHAR) AS document_id, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS pos, kind, band_number, element_id, embed_text FROM rows""")
 def parsed_articles(spark, sf_dir):
-    return documents.parse_documents(_pages_as_documents(spark, sf_dir)).select("document_id", "pos", "kind", "band_number", "element_id", "embed_text")
+    return documents.parse_documents(_pages_as_documents(spark, sf_dir)).select("document_id", F.col("pos").cast("long").alias("pos"), "kind", "band_number", "element_id", "embed_text")
 
 
 @query()
@@ -371,7 +396,23 @@ def paragraphs(spark, sf_dir):
     return d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("paragraphs"), F.sum(F.length("para")).alias("chars"), F.count_if(F.length("para") > 1200).alias("long_paragraphs"))
 
 
-@query()
+@query(r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS s FROM documents),
+p AS (SELECT doc_id, s, list_filter(list_transform(string_split(s, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS paras FROM t),
+q AS (SELECT doc_id, s, flatten(list_transform(paras, lambda x: CASE WHEN length(x) <= 1200 THEN [x] ELSE list_filter(list_transform(string_split(regexp_replace(x, '([.!?;:])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: regexp_replace(y, '^\s+|\s+$', '', 'g')), lambda y: y <> '') END)) AS parts FROM p),
+u AS (SELECT doc_id, CASE WHEN s = '' THEN [] WHEN length(s) <= 1200 THEN [s] ELSE flatten(list_transform(parts, lambda x: CASE WHEN length(x) <= 1200 THEN [x] ELSE list_transform(range(0, (length(x) - 1) // 1200 + 1), lambda k: substr(x, k * 1200 + 1, 1200)) END)) END AS units FROM q),
+-- one unit after the other: the chunk that is open (its first unit and size), and the chunk that a unit closes
+n AS (SELECT doc_id, units, len(units) AS n, list_transform(units, lambda x: length(x) + 1) AS sizes FROM u WHERE len(units) > 0),
+w AS (
+  SELECT doc_id, 1 AS k, 1 AS first, sizes[1] AS size, 0 AS part_no, CAST(NULL AS VARCHAR) AS closed FROM n
+  UNION ALL
+  SELECT doc_id, k + 1, CASE WHEN size + sizes[k + 1] > 1200 THEN k + 1 - back ELSE first END, CASE WHEN size + sizes[k + 1] > 1200 THEN coalesce(list_sum(sizes[k + 1 - back:k]), 0) + sizes[k + 1] ELSE size + sizes[k + 1] END,
+    CASE WHEN size + sizes[k + 1] > 1200 THEN part_no + 1 ELSE part_no END, CASE WHEN size + sizes[k + 1] > 1200 THEN array_to_string(units[first:k], chr(10)) END
+  FROM (SELECT w.*, n.units, n.sizes, n.n, len(list_filter(range(1, w.k - w.first + 2), lambda b: list_sum(n.sizes[w.k - b + 1:w.k]) - 1 <= 150)) AS back FROM w JOIN n USING (doc_id) WHERE w.k < n.n)),
+c AS (SELECT doc_id, part_no - 1 AS part_no, closed AS chunk FROM w WHERE closed IS NOT NULL UNION ALL SELECT doc_id, part_no, array_to_string(units[first:k], chr(10)) FROM w JOIN n USING (doc_id) WHERE k = n),
+d AS (SELECT *, lag(chunk) OVER x AS before, lead(chunk) OVER x IS NULL AS last FROM c WINDOW x AS (PARTITION BY doc_id ORDER BY part_no)),
+e AS (SELECT * FROM d WHERE NOT (last AND before IS NOT NULL AND contains(before, chunk)))
+SELECT doc_id, part_no, count(*) OVER (PARTITION BY doc_id) AS part_total, chunk FROM e""")
 def text_chunks(spark, sf_dir):
     return documents.explode_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").withColumnRenamed("part", "chunk")
 
@@ -389,9 +430,10 @@ def plain_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace(F.lower(nz.plain_letters("p_name")), "[^0-9a-z]+", " ").alias("plain"))
 
 
-@query()
+@query("SELECT p_partkey, lower(p_name) || ' 7a ' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN ' toshkent' ELSE '' END AS norm, CASE WHEN p_partkey = 7 THEN '7a,7' ELSE '7a,' || p_partkey END AS keys FROM part")
 def name_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", nz.norm_text("p_name").alias("norm"), F.array_join(nz.key_tokens("p_name"), ",").alias("keys"))
+    name = F.concat(F.lit("LLC «"), F.upper("p_name"), F.lit("» 7A #"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 2 == 0, ", Ташкент ООО").otherwise(""))
+    return table(spark, sf_dir, "part").select("p_partkey", nz.norm_text(name).alias("norm"), F.array_join(nz.key_tokens(name), ",").alias("keys"))
 
 
 @query()
@@ -409,16 +451,35 @@ def _items(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return ours, theirs
 
 
-@query()
+def _numbered_items(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Items whose names hold their place in the order, and goods that lack every fifth and differ in some fields."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity"))
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).withColumn("p", place)
+    named = F.concat_ws(" ", "p_name", "p")
+    ours = li.select(F.col("l_orderkey").alias("contract_id"), "p", named.alias("name"), F.col("l_partkey").cast("string").alias("hs_code"), F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_extendedprice").alias("amount"), F.lit("kg").alias("unit"))
+    g = F.col("p")
+    changed = {"name": F.concat("name", F.lit(" / item "), g.cast("string")), "hs_code": F.when(g % 3 == 0, F.concat("hs_code", F.lit("9"))).otherwise(F.col("hs_code")), "quantity": F.col("quantity") * F.when(g % 2 == 0, 2).otherwise(1), "price": F.col("price") * F.when(g % 3 == 0, 1.1).otherwise(1.0), "unit": F.lit("166")}
+    return ours, ours.filter("p % 5 <> 4").withColumns(changed).withColumnRenamed("p", "g")
+
+
+_NUMBERED = "WITH x AS (SELECT l_orderkey AS contract_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS p FROM lineitem)"
+
+
+@query(_NUMBERED + """ SELECT contract_id, p, CASE WHEN p % 5 <> 4 THEN p END AS g, CASE WHEN p % 5 <> 4 THEN 1 + CASE WHEN p % 3 = 0 THEN 0 ELSE 0.3 END + CASE WHEN p % 2 = 0 THEN 0 ELSE 0.2 END END::DOUBLE AS score FROM x""")
 def product_match(spark, sf_dir):
-    return contracts.match_products(*_items(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return contracts.match_products(*_numbered_items(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 @query()
+def product_match_by_name(spark, sf_dir):
+    """Names of few words, many of them alike: the choice is by similarity and order, which SQL cannot follow (tested by a loop)."""
+    return contracts.match_products(*_items(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query(_NUMBERED + """ SELECT contract_id, count(*) FILTER (p % 5 = 4) AS unmatched_pdf, CAST(0 AS BIGINT) AS unmatched_api, CAST(coalesce(sum(CASE WHEN p % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN p % 2 = 0 THEN 1 ELSE 0 END) FILTER (p % 5 <> 4), 0) AS BIGINT) AS differing,
+  count(*) FILTER (p % 5 = 4) + CAST(coalesce(sum(CASE WHEN p % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN p % 2 = 0 THEN 1 ELSE 0 END) FILTER (p % 5 <> 4), 0) AS BIGINT) AS product_issues FROM x GROUP BY contract_id""")
 def product_issues(spark, sf_dir):
-    ours, theirs = _items(spark, sf_dir)
-    ours = ours.withColumns({"price": F.col("amount") / F.col("quantity"), "unit": F.lit("kg")})
-    theirs = theirs.withColumns({"price": F.col("amount") / F.col("quantity") * F.when(F.col("g") % 3 == 0, 1.1).otherwise(1.0), "unit": F.lit("166")})
+    ours, theirs = _numbered_items(spark, sf_dir)
     return contracts.product_issues(contracts.item_pairs(contracts.match_products(ours, theirs), ours, theirs))
 
 
@@ -449,10 +510,19 @@ def last_total_rows(spark, sf_dir):
     return contracts.drop_total_rows(rows).select("contract_id", "p", F.coalesce("total_amount", F.lit(-1.0)).alias("total_amount"))
 
 
-@query()
+@query("""
+WITH x AS (SELECT p_partkey % 500 AS contract_id, p_partkey, p_name || ' ' || p_partkey AS latin, 'деталь ' || p_partkey AS cyrillic FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY contract_id ORDER BY p_partkey) AS n FROM x)
+SELECT contract_id, CASE WHEN p_partkey % 3 = 0 THEN 2 * n ELSE 2 * n - 1 END AS p, CASE WHEN p_partkey % 3 = 0 THEN cyrillic || ' ' ELSE latin || ' / ' || cyrillic END AS name FROM r
+UNION ALL SELECT contract_id, 2 * n - 1, latin FROM r WHERE p_partkey % 3 = 0""")
 def bilingual_merge(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select((F.col("p_partkey") % 500).alias("contract_id"), F.col("p_partkey").alias("p"), F.explode(F.array(F.col("p_name"), F.concat(F.lit("деталь "), F.col("p_partkey").cast("string")))).alias("name"), F.col("p_partkey").cast("string").alias("hs_code"), F.col("p_retailprice").alias("price"))
-    rows = p.select("contract_id", F.row_number().over(Window.partitionBy("contract_id").orderBy("p", F.length("name"))).alias("p"), "name", "hs_code", F.lit(1.0).alias("quantity"), "price", F.col("price").alias("amount"))
+    k = F.col("p_partkey")
+    latin, cyrillic = F.concat("p_name", F.lit(" "), k.cast("string")), F.concat(F.lit("деталь "), k.cast("string"), F.when(k % 3 == 0, " ").otherwise(""))
+    each = table(spark, sf_dir, "part").select((k % 500).alias("contract_id"), k, F.posexplode(F.array(latin, cyrillic)).alias("side", "name"), "p_retailprice")
+    place = F.row_number().over(Window.partitionBy("contract_id").orderBy("p_partkey", "side"))
+    # Every third pair differs in its price, so its rows stay apart.
+    price = F.when((k % 3 == 0) & (F.col("side") == 1), F.col("p_retailprice") + 1).otherwise(F.col("p_retailprice"))
+    rows = each.select("contract_id", place.alias("p"), "name", k.cast("string").alias("hs_code"), F.lit(1.0).alias("quantity"), price.alias("price"), price.alias("amount"))
     return contracts.merge_bilingual(rows).select("contract_id", "p", "name")
 
 

@@ -92,6 +92,36 @@ def test_product_match_is_greedy(spark):
     assert got == {(0, 0), (1, None), (2, None), (None, 1)}
 
 
+def test_product_match_against_a_loop(spark):
+    """Every contract again, product by product, with plain similarity functions."""
+    ours, theirs = catalogue._items(spark, SF)
+    got = {(r.contract_id, r.p, r.g, None if r.score is None else round(r.score, 6)) for r in contracts.match_products(ours, theirs).collect()}
+    a = ours.select("contract_id", "p", nz.norm_text("name").alias("n"), "hs_code", "quantity").collect()
+    b = theirs.select("contract_id", "g", F.transform(nz.split_bilingual("name"), nz.norm_text).alias("n"), "hs_code", "quantity").collect()
+    by = {}
+    for r in sorted(b, key=lambda r: r.g):
+        by.setdefault(r.contract_id, []).append(r)
+    unique = {c for c in {r.contract_id for r in a} if len({r.p for r in a if r.contract_id == c}) == len([r for r in a if r.contract_id == c])}
+    want = set()
+    for c in sorted(unique)[:300]:
+        free = list(by.get(c, []))
+        for r in sorted((r for r in a if r.contract_id == c), key=lambda r: r.p):
+            best, score = None, 0.0
+            for g in free:
+                name = max(max(fuzzy.token_sort_ratio(r.n, x), fuzzy.token_set_ratio(r.n, x)) for x in g.n) / 100
+                s = name + (0.3 if r.hs_code == g.hs_code else 0) + (0.2 if abs(r.quantity - g.quantity) <= 0.001 * g.quantity else 0)
+                if name >= 0.45 and s > score:
+                    best, score = g, s
+            if score >= 0.6:
+                free.remove(best)
+                want.add((c, r.p, best.g, round(score, 6)))
+            else:
+                want.add((c, r.p, None, None))
+        want |= {(c, None, g.g, None) for g in free}
+    some = set(sorted(unique)[:300])
+    assert len(want) > 300 and {x for x in got if x[0] in some} == want
+
+
 def test_item_fields_and_issues(spark):
     schema = "contract_id long, {} long, name string, hs_code string, quantity double, price double, amount double, unit string"
     ours = spark.createDataFrame([(1, 0, "Nasos X100", "84", 10.005, 5.0, 5.0, "kg"), (1, 1, "Kabel", None, None, None, None, None)], schema.format("p"))
