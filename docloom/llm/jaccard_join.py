@@ -447,18 +447,19 @@ def jaccard_components(
     # Large components are mostly chains of sets that share a key by chance: those are linked anew, only where signatures
     # of sets with the same key allow enough overlap.
     large = near.groupBy("component").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") > refine_sets).select("component")
-    doubted = stored(near.join(large, "component", "left_semi").join(classes, "node").select("node", "component", "key", "n"), "doubted")
+    large = stored(large, "large")
+    doubted = stored(near.join(few(large), "component", "left_semi").join(classes, "node").select("node", "component", "key", "n"), "doubted")
     work = doubted.agg(F.sum((F.col("n") * 0.4 + 12) * 12 + 600)).first()[0]
     if work:
         buckets = int(work // (4 * bucket_bytes)) + 1  # of each of some tens of size classes
         signed = texts.join(few(doubted.select("key")), "key", "left_semi").select("text").mapInArrow(_packed_signatures(ngram, percent, buckets), "bucket bigint, data binary")
         anew = stored(components(signed.groupBy("bucket").applyInArrow(_may_link(percent), "a bigint, b bigint"), **limits), "refined")
         anew = anew.unionByName(anew.select(F.col("component").alias("node"), "component").distinct())
-        near = near.join(large, "component", "left_anti").select("node", "component").unionByName(anew)
+        near = near.join(few(large), "component", "left_anti").select("node", "component").unionByName(anew)
     members = near.join(classes, "node").select("node", "component", "key", "n")
-    sizes = members.groupBy("component").agg(F.sum("n").alias("total"))
-    blocks = F.ceil(F.col("total") / block_shingles)
-    members = members.join(sizes, "component").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    # Only components of several blocks are named, so a hot one is no key of a join.
+    sizes = members.groupBy("component").agg(F.ceil(F.sum("n") / block_shingles).alias("blocks")).filter("blocks > 1")
+    members = members.join(few(stored(sizes, "sizes")), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     members = stored(members, "members")
     small = members.filter("blocks = 1").agg(F.sum("n")).first()[0] or 0
     groups = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(small // max(block_shingles // 4, 1)) + 1)
@@ -489,9 +490,10 @@ def jaccard_components(
     # Names: the smallest identifier, over classes; the row that stays is the first with it.
     joined = components(found, **limits)
     joined = stored(joined.unionByName(joined.select(F.col("component").alias("node"), "component").distinct()), "joined")
-    labelled = classes.select("node", "id").join(joined, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
-    names = labelled.groupBy("component").agg(F.min("id").alias("name"))
-    labelled = stored(labelled.join(names, "component").select("node", "component", "name"), "labelled")
+    together = stored(classes.select("node", "id").join(joined, "node"), "together")
+    names = stored(together.groupBy("component").agg(F.min("id").alias("name")), "names")
+    alone = classes.join(joined, "node", "left_anti").select("node", F.col("node").alias("component"), F.col("id").alias("name"))
+    labelled = stored(together.join(few(names), "component").select("node", "component", "name").unionByName(alone), "labelled")
     out = rows.join(labelled, ["node"], "left")
     stays = real.join(labelled.filter(F.col("name").isNotNull()), "node").filter("id = name").groupBy("component").agg(F.min("at").alias("stays"))
     nameless = real.join(labelled.filter(F.col("name").isNull()), "node").groupBy("component").agg(F.min("at").alias("stays"))
