@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 from .common import row_struct
 
 #: Texts are worked on in pieces of about this many bytes, so their arrays stay in the processor's caches; one longer
-#: text is a piece of its own.
+#: text is a piece of its own. Short ones are at most PIECE_TEXTS a piece.
 PIECE_BYTES = 1 << 16
+PIECE_TEXTS = 1 << 12
 
 _rng = np.random.default_rng(20240501)
 BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -44,7 +45,7 @@ def pieces(batch: pa.RecordBatch, at: int, limit: int = PIECE_BYTES) -> Iterator
     start = 0
     while start < len(ends):
         done = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, done + limit, "right")))
+        stop = min(max(start + 1, int(np.searchsorted(ends, done + limit, "right"))), start + PIECE_TEXTS)
         yield batch.slice(start, stop - start)
         start = stop
 

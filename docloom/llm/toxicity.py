@@ -74,22 +74,24 @@ class Chain:
     def __init__(self, keys: np.ndarray, weights: list[np.ndarray], fixed: float | None = None):
         self.keys, self.weights, self.fixed = keys, weights, fixed
 
-    def present(self, texts: pa.Array) -> np.ndarray:
+    def present(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The texts and the places of their known features, each pair once."""
         keys, owner, _ = features_of(texts)
-        x = np.zeros((len(texts), len(self.keys)), np.float32)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            hit = self.keys[at] == keys
-            x[owner[hit], at[hit]] = 1
-        return x
+        if not len(self.keys):
+            return owner[:0], owner[:0]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[at] == keys
+        return np.divmod(np.unique(owner[hit].astype(np.int64) * len(self.keys) + at[hit]), len(self.keys))
 
     def probabilities(self, texts: pa.Array) -> np.ndarray:
         if self.fixed is not None:
             return np.full((len(texts), len(CATEGORIES)), self.fixed)
-        x = self.present(texts)
-        p = np.zeros((len(x), 0), np.float32)
+        owner, at = self.present(texts)
+        p = np.zeros((len(texts), 0))
         for w in self.weights:
-            p = np.column_stack([p, _apply(w, np.column_stack([x, p]))])
+            own, earlier, offset = w[: len(self.keys)], w[len(self.keys) : -1], w[-1]
+            score = np.bincount(owner, weights=own[at], minlength=len(texts)) + p @ earlier + offset
+            p = np.column_stack([p, _sigmoid(score)])
         return p
 
     def __call__(self, texts: pa.Array) -> list[pa.Array]:
