@@ -497,12 +497,13 @@ def jaccard_components(
     out = rows.join(labelled, ["node"], "left")
     stays = real.join(labelled.filter(F.col("name").isNotNull()), "node").filter("id = name").groupBy("component").agg(F.min("at").alias("stays"))
     nameless = real.join(labelled.filter(F.col("name").isNull()), "node").groupBy("component").agg(F.min("at").alias("stays"))
-    out = out.join(stays.unionByName(nameless), "component", "left")
+    first = stays.unionByName(nameless).select(F.col("stays").alias("at"), F.lit(True).alias("first"))  # one row of a component, so no key is hot
+    out = out.join(first, "at", "left")
     return out.select(
         F.col("row").alias("doc"),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("id")).alias("component_id"),
-        ((F.col("n") == 0) | (F.col("at") == F.col("stays"))).alias("kept"),
+        ((F.col("n") == 0) | F.coalesce("first", F.lit(False))).alias("kept"),
     )
 
 
