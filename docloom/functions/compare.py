@@ -254,15 +254,31 @@ def format_ok(c, kind: str) -> Column:
     return F.regexp_replace(col(c), r"(?U)\s+", "").rlike(FORMATS[kind])
 
 
+def only_digits(text) -> Column:
+    return F.regexp_replace(col(text), r"\D", "")
+
+
+def surely_in_text(value, squeezed: Column, digits: Column) -> Column:
+    """Whether a value is in a text (given squeezed, and its digits) as far as that shows without a measure of likeness; else null."""
+    v = nz.squeeze(value)
+    return F.when(v.isNull() | (v == ""), True).when(squeezed.contains(v), True).when(v.rlike("^[0-9]+$"), digits.contains(v))
+
+
+def nearly_in_text(value, squeezed) -> Column:
+    return fuzzy.partial_of(nz.squeeze(value), col(squeezed)) >= FUZZY * 100
+
+
 def in_text(value, text) -> Column:
     """Whether a text value is in a recognised text: as it is, as digits, or nearly."""
-    v, t = nz.squeeze(value), nz.squeeze(text)
-    digits = F.regexp_replace(col(text), r"\D", "")
-    known = F.when(v.isNull() | (v == ""), True).when(t.contains(v), True).when(v.rlike("^[0-9]+$"), digits.contains(v))
-    near = fuzzy.partial_of(F.when(known.isNull(), v), F.when(known.isNull(), t)) >= FUZZY * 100  # the others are not looked at
-    return F.coalesce(known, near)
+    squeezed = nz.squeeze(text)
+    known = surely_in_text(value, squeezed, only_digits(text))
+    return F.coalesce(known, nearly_in_text(F.when(known.isNull(), col(value)), F.when(known.isNull(), squeezed)))  # the others are not looked at
+
+
+def number_in_digits(value, digits: Column) -> Column:
+    wanted = only_digits(F.regexp_replace(F.regexp_replace(F.format_string("%.2f", col(value).cast("double")), "0+$", ""), r"\.$", ""))
+    return F.when(col(value).isNull(), True).otherwise((wanted != "") & digits.contains(wanted))
 
 
 def number_in_text(value, text) -> Column:
-    digits = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.format_string("%.2f", col(value).cast("double")), "0+$", ""), r"\.$", ""), r"\D", "")
-    return F.when(col(value).isNull(), True).otherwise((digits != "") & F.regexp_replace(col(text), r"\D", "").contains(digits))
+    return number_in_digits(value, only_digits(text))

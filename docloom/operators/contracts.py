@@ -460,12 +460,20 @@ def validate_contracts(extracted: DataFrame, text_col: str = "plain_text") -> Da
         numbers = [_checked(at(n), x[n], True, number=True, wrong=F.when(F.get("row_wrong", i), "arithmetic") if n == "amount" else None) for n in ("quantity", "price", "amount")]
         return F.array(_checked(at("name"), x["name"], True), *numbers)
 
-    checked = arithmetic(extracted)
-    items = F.flatten(F.transform("lines", product))
-    rows = checked.select("contract_id", F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.explode(F.concat(head, party("seller"), party("buyer"), receiver, delivery, items)).alias("x")).select("contract_id", "text", "x.*")
-    asked = F.when(~F.col("skip"), F.col("value"))
-    found = F.when(F.col("skip"), F.lit(None).cast("boolean")).when(F.col("number").isNotNull(), cp.number_in_text("number", "text")).otherwise(cp.in_text(F.when(F.col("number").isNull(), asked), "text"))
-    return validate_fields(rows.withColumn("in_text", found)).select("contract_id", "path", "value", "confidence", "issues", "required")
+    # Whatever shows without a measure of likeness is settled within the contract's row; only the rest takes the text along.
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    checked = arithmetic(extracted).withColumns({"hay": nz.squeeze(text), "digits": cp.only_digits(text)})
+    entries = F.concat(head, party("seller"), party("buyer"), receiver, delivery, F.flatten(F.transform("lines", product)))
+    hay, digits = F.col("hay"), F.col("digits")
+
+    def seen(x: Column) -> Column:
+        return F.when(x["skip"], True).when(x["number"].isNotNull(), cp.number_in_digits(x["number"], digits)).otherwise(cp.surely_in_text(x["value"], hay, digits))
+
+    each = checked.select("contract_id", "hay", F.explode(F.transform(entries, lambda x: F.struct(x.alias("x"), seen(x).alias("seen")))).alias("e"))
+    rows = each.select("contract_id", "e.x.*", "e.seen", F.when(F.col("e.seen").isNull(), F.col("hay")).alias("text"))
+    near = cp.nearly_in_text(F.when(F.col("seen").isNull(), F.col("value")), "text")
+    rows = rows.withColumn("in_text", F.when(~F.col("skip"), F.coalesce("seen", near)))
+    return validate_fields(rows).select("contract_id", "path", "value", "confidence", "issues", "required")
 
 
 def check_arithmetic(items: DataFrame, totals: DataFrame, key: str = "contract_id") -> DataFrame:

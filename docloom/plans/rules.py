@@ -169,7 +169,7 @@ SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN contains(regexp_replace(text, '[^0-9]
   contains(regexp_replace(text, '[^0-9]', '', 'g'), '12') AS number FROM documents""")
 def values_in_text(spark, sf_dir):
     words = F.split("text", r"\s+")
-    value = _choice(F.col("doc_id"), F.lit(None).cast("string"), F.lit("  "), F.upper(F.array_join(F.slice(words, 1, 3), "  ")), F.col("doc_id").cast("string"))
+    value = _choice(F.col("doc_id"), F.lit(None).cast("string"), F.lit("  "), F.array_join(F.slice(words, 1, 3), "  "), F.col("doc_id").cast("string"))
     digits = F.lit(12.0)
     return table(spark, sf_dir, "documents").select("doc_id", cp.in_text(value, "text").alias("found"), cp.number_in_text(digits, "text").alias("number"))
 

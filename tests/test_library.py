@@ -314,3 +314,20 @@ def test_containment_in_blocks(spark):
     texts = spark.createDataFrame([("ab c",), ("b",), (None,)], "hay string")
     for size in (1 << 20, 70):
         assert {tuple(r) for r in retrieve.holders(texts, needles, block_bytes=size).collect()} == {(1, 1), (2, 0), (3, 2)}
+
+
+def test_index_cycles_try_failed_documents_again(spark, tmp_path):
+    from docloom.streaming import streams
+
+    table = str(tmp_path / "catalogue")
+    fold = streams.catalogue_batches(spark, table)
+    pages = lambda *rows: spark.createDataFrame(list(rows), "document_id string, html string")
+    fold(pages(("a", "1"), ("b", "2")), 0)
+    result = lambda error: lambda waiting: waiting.select("document_id", F.when(F.col("document_id") == "b", F.lit(error)).alias("error"), F.when((F.col("document_id") != "b") | F.lit(error).isNull(), 3).alias("chunk_count"))
+    streams.index_cycle(spark, table, result("down"), 1)
+    assert {(r.document_id, r.status, r.last_error) for r in streams.latest(spark, table).collect()} == {("a", "indexed", None), ("b", "failed", "down")}
+    fold(pages(("a", "1"), ("c", "new")), 2)
+    assert spark.read.parquet(f"{table}/v=2").count() == 2  # only what the batch touched is written
+    streams.index_cycle(spark, table, result(None), 3)
+    assert {(r.document_id, r.status) for r in streams.latest(spark, table).collect()} == {("a", "indexed"), ("b", "indexed"), ("c", "indexed")}
+    assert {r.document_id for r in spark.read.parquet(f"{table}/v=3").collect()} == {"b", "c"}
