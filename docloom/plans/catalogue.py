@@ -221,7 +221,7 @@ s AS (SELECT contract_id, field, CASE WHEN field IN ({_MATCHING}) THEN 'match' W
 """
 
 
-@query(_STATUSES + "SELECT contract_id, 'import' AS orientation, field, status, CASE status WHEN 'match' THEN 1.0 ELSE 0.0 END AS score FROM s")
+@query(_STATUSES + "SELECT contract_id, 'import' AS orientation, field, status, CASE status WHEN 'match' THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM s")
 def contract_reconcile(spark, sf_dir):
     return contracts.compare_contracts(_contract_pairs(spark, sf_dir)).select("contract_id", "orientation", "field", "status", "score")
 
@@ -414,7 +414,8 @@ d AS (SELECT *, lag(chunk) OVER x AS before, lead(chunk) OVER x IS NULL AS last
 e AS (SELECT * FROM d WHERE NOT (last AND before IS NOT NULL AND contains(before, chunk)))
 SELECT doc_id, part_no, count(*) OVER (PARTITION BY doc_id) AS part_total, chunk FROM e""")
 def text_chunks(spark, sf_dir):
-    return documents.explode_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").withColumnRenamed("part", "chunk")
+    parts = documents.explode_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return parts.select("doc_id", "part_no", F.col("part_total").cast("long").alias("part_total"), F.col("part").alias("chunk"))
 
 
 @query("""
@@ -523,7 +524,7 @@ def bilingual_merge(spark, sf_dir):
     # Every third pair differs in its price, so its rows stay apart.
     price = F.when((k % 3 == 0) & (F.col("side") == 1), F.col("p_retailprice") + 1).otherwise(F.col("p_retailprice"))
     rows = each.select("contract_id", place.alias("p"), "name", k.cast("string").alias("hs_code"), F.lit(1.0).alias("quantity"), price.alias("price"), price.alias("amount"))
-    return contracts.merge_bilingual(rows).select("contract_id", "p", "name")
+    return contracts.merge_bilingual(rows).select("contract_id", F.col("p").cast("long").alias("p"), "name")
 
 
 @query("""

@@ -48,7 +48,7 @@ def lookalike_ids(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", nz.lookalikes(cyrillic).alias("looks"), (same["status"] == "match").alias("same_id"))
 
 
-@query("SELECT p_partkey, p_name || '|' || lower(p_brand) AS script, CASE WHEN p_partkey % 3 = 0 THEN p_partkey || 'h' ELSE '' END AS keys, CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 0.5 END AS cyrillic FROM part")
+@query("SELECT p_partkey, p_name || '|' || lower(p_brand) AS script, CASE WHEN p_partkey % 3 = 0 THEN p_partkey || 'h' ELSE '' END AS keys, CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 0.5 END::DOUBLE AS cyrillic FROM part")
 def name_scripts(spark, sf_dir):
     k = F.col("p_partkey")
     keyed = F.concat(F.lit("ООО «"), F.col("p_name"), F.lit("» "), F.when(k % 3 == 0, F.concat(k.cast("string"), F.lit("х"))).otherwise(""))
@@ -155,7 +155,7 @@ def code_comparison(spark, sf_dir):
 
 @query("""
 SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'match' WHEN 1 THEN 'mismatch' WHEN 2 THEN 'missing_pdf' WHEN 3 THEN 'missing_api' ELSE 'mismatch' END AS status,
-  CASE s_suppkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 0.5 ELSE 0 END AS score FROM supplier""")
+  CASE s_suppkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 0.5 ELSE 0 END::DOUBLE AS score FROM supplier""")
 def bank_comparison(spark, sf_dir):
     k = F.col("s_suppkey")
     account = F.lpad(k.cast("string"), 10, "8")
@@ -231,7 +231,7 @@ def flattened_goods(spark, sf_dir):
 
 @query("""
 WITH x AS (SELECT DISTINCT l_orderkey, l_linenumber, l_orderkey % 3 AS k, l_linenumber % 2 = 0 AS even FROM lineitem)
-SELECT l_orderkey AS contract_id, l_linenumber AS p, 'match' AS name, CASE k WHEN 0 THEN 'missing_pdf' WHEN 1 THEN 'match' ELSE 'mismatch' END AS hs_code, 'match' AS quantity,
+SELECT l_orderkey AS contract_id, l_linenumber::BIGINT AS p, 'match' AS name, CASE k WHEN 0 THEN 'missing_pdf' WHEN 1 THEN 'match' ELSE 'mismatch' END AS hs_code, 'match' AS quantity,
   CASE WHEN even THEN 'mismatch' ELSE 'match' END AS amount, CASE WHEN k = 0 THEN NULL WHEN k = 1 THEN 'match' ELSE 'unknown_code' END AS unit FROM x""")
 def item_fields(spark, sf_dir):
     k, even = F.col("contract_id") % 3, F.col("p") % 2 == 0
@@ -297,8 +297,8 @@ WITH n AS (SELECT l_orderkey AS contract_id, count(*) AS items FROM lineitem GRO
 f AS (SELECT contract_id, items, contract_id % 7 = 0 AS no_total, contract_id % 3 = 0 AS bad_inn, contract_id % 2 = 0 AS bank, contract_id % 5 = 0 AS bad_rows FROM n JOIN orders ON o_orderkey = contract_id),
 -- number, date, currency, name of the seller and the items' names and numbers are high; payment, country, address, director and the buyer are missing
 c AS (SELECT contract_id, 4 + CASE WHEN no_total THEN 0 ELSE 1 END + CASE WHEN bad_inn THEN 0 ELSE 1 END + CASE WHEN bank THEN 3 ELSE 0 END + items * CASE WHEN bad_rows THEN 3 ELSE 4 END AS high,
-  CASE WHEN bad_rows THEN items ELSE 0 END AS low, CASE WHEN bad_inn THEN 1 ELSE 0 END + CASE WHEN bank THEN 1 ELSE 0 END AS failed, 5 + CASE WHEN no_total THEN 1 ELSE 0 END AS na,
-  1 + CASE WHEN no_total THEN 1 ELSE 0 END AS critical_missing FROM f)
+  CASE WHEN bad_rows THEN items ELSE 0 END AS low, CASE WHEN bad_inn THEN 1 ELSE 0 END + CASE WHEN bank THEN 1::BIGINT ELSE 0 END AS failed, 5 + CASE WHEN no_total THEN 1::BIGINT ELSE 0 END AS na,
+  1 + CASE WHEN no_total THEN 1::BIGINT ELSE 0 END AS critical_missing FROM f)
 SELECT *, CASE WHEN 5 * (failed + critical_missing) <= high + low + failed + critical_missing THEN 'low' ELSE 'failed' END AS overall FROM c""")
 def validation_summaries(spark, sf_dir):
     return contracts.overall_confidence(contracts.validate_contracts(_extracted(spark, sf_dir)))
