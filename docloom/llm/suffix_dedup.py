@@ -483,8 +483,8 @@ def remove_repeats(
 
     # A copy of a text with a smaller identifier loses everything; only the first of equal texts goes on.
     same = F.sha2(F.col("text"), 256)
-    first = rows.groupBy(same.alias("same")).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = rows.select("row", "id", same.alias("same")).join(first, "same").filter("id > first_id").select("id", "row").distinct()
+    first = stored(rows.groupBy(same.alias("same")).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "copied")
+    copies = rows.select("row", "id", same.alias("same")).join(few(first), "same").filter("id > first_id").select("id", "row").distinct()
     copies = few(stored(copies, "copies"))
     all_rows, rows = rows, rows.join(copies, ["id", "row"], "left_anti")
     hot = hot_anchors(rows, n_rows, least=least_hot)
