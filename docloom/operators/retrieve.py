@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import normalize as nz
+from .nearest import nearest
 
 THRESHOLD, CONTEXT_CHARS, HISTORY_TURNS = 0.80, 18_000, 3
 BROADCAST_BYTES = 64 << 20
@@ -29,29 +31,26 @@ def cosine(a: Column, b: Column) -> Column:
 def top_k(queries: DataFrame, corpus: DataFrame, *, k: int = 8, section: Column | None = None, threshold: float | None = None, query_id: str = "query_id", item_id: str = "item_id", vector: str = "vector") -> DataFrame:
     """The k most similar items of every query: query_id, item_id, score, rank; ties by item.
 
-    Queries are a stated set in blocks against all items: the side of queries is broadcast when its counted bytes are
-    small, and cut into blocks of that size otherwise. Each partition of items keeps its own k best of a query first (a
-    limit within the window that runs before the shuffle), so the shuffle carries k rows a query and partition. Lengths of
-    vectors are worked out once a vector, before the join; a vector without length has a null score and ranks last.
+    Queries are a stated set in blocks against all items: each block's counted bytes are broadcast to the partitions of
+    items, which keep their own k best of a query (``nearest``), so the shuffle carries k rows a query and partition. A
+    vector without length has a null score and ranks last.
     """
     if not 1 <= k <= 50:
         raise ValueError("top_k is 1 to 50")
     items = corpus.filter(section) if section is not None else corpus
-    items = items.select(F.col(item_id).alias("item_id"), F.col(vector).alias("item_vector"), norm(F.col(vector)).alias("item_norm"))
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("query_vector"), norm(F.col(vector)).alias("query_norm"))
-    width = queries.agg(F.max(F.size(vector))).first()[0] or 1
-    per_block = max(1, BROADCAST_BYTES // (width * 8 + 64))
-    blocks = -(-q.count() // per_block) or 1
+    items = items.select(F.col(item_id).alias("item_id"), F.col(vector).cast("array<double>").alias("item_vector"))
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("query_vector"))
+    columns = T.StructType([q.schema["query_id"], items.schema["item_id"], T.StructField("score", T.DoubleType()), T.StructField("key", T.DoubleType())])
+    n, width = q.agg(F.count(F.lit(1)), F.max(F.size("query_vector"))).first()
+    per_block = max(1, BROADCAST_BYTES // (max(width or 1, 1) * 8 + 64))
+    blocks = -(-n // per_block) or 1
     found = None
     for block in range(blocks):
         part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        pairs = items.join(F.broadcast(part))
-        score = F.try_divide(dot(F.col("query_vector"), F.col("item_vector")), F.col("query_norm") * F.col("item_norm"))
-        scored = pairs.select("query_id", "item_id", score.alias("score"))
-        scored = scored if threshold is None else scored.filter(F.col("score") >= threshold)
+        scored = items.mapInArrow(nearest(q.sparkSession.sparkContext.broadcast(part.toArrow()), k, threshold), columns)
         found = scored if found is None else found.unionByName(scored)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "item_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("key"), "item_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).drop("key")
 
 
 def holders(texts: DataFrame, needles: DataFrame, *, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
