@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache, reduce
 
 import pandas as pd
@@ -315,12 +315,13 @@ def result_records(fields: DataFrame, wide: DataFrame, totals: DataFrame, summar
     return out.select("contract_id", "orientation", "fields", "rows", "unmatched_api", "totals", F.struct(*counts_).alias("confidence"))
 
 
-def drop_total_rows(products: DataFrame) -> DataFrame:
-    """contract_id, p, name, quantity, price, amount, total_amount: rows that are totals go; the first amount of one fills a missing total."""
+def drop_total_rows(products: DataFrame, place: Sequence[str] = ("p",)) -> DataFrame:
+    """contract_id, p, name, quantity, price, amount, total_amount: rows that are totals go; the first amount of one fills a
+    missing total. ``place`` names the columns that give the order; rows without a contract fill nothing."""
     is_total = F.coalesce(nz.strip("name"), F.lit("")).rlike(fixed.TOTAL_ROW) & (F.col("quantity").isNull() | F.col("price").isNull())
-    per = Window.partitionBy("contract_id").orderBy("p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    filled = F.coalesce("total_amount", F.first(F.when(is_total, F.col("amount")), ignorenulls=True).over(per))
-    return products.withColumn("total_amount", filled).filter(~is_total)
+    amounts = F.when(is_total & F.col("amount").isNotNull() & F.col("contract_id").isNotNull(), F.struct(*place))
+    first = F.min_by("amount", amounts).over(Window.partitionBy("contract_id"))
+    return products.withColumn("total_amount", F.coalesce("total_amount", first)).filter(~is_total)
 
 
 def _merge_languages(rows: pd.DataFrame) -> pd.DataFrame:
